@@ -13,7 +13,7 @@ from tidecast.fixed_values import (ALL_FEATURES, BASE_FEATURES, CALENDAR_EXTRA_F
 from tidecast.functions.calendar import promo_flag_by_day_of_year
 from tidecast.functions.scalars import cogs_ratio, pct_change, ratio
 from tidecast.operators.boosted import (SAMPLED, SHALLOW, BoostParams, gbt_fit, gbt_predict, training_rows)
-from tidecast.operators.features import future_safe_features, with_exog
+from tidecast.operators.features import exog_lags, future_safe_features, with_exog
 from tidecast.operators.forecasting import (clipped_ratio, cogs_from_ratio, forecast_metrics, metric_columns)
 from tidecast.operators.recursive import patch_actual_residuals, recursive_forecast
 from tidecast.operators.spine import KEYS, date_spine
@@ -37,15 +37,14 @@ def model_state(panel: DataFrame, exog: DataFrame | None, train_end: str, horizo
     days = date_spine(panel, keys, end=horizon_end)
     state = structural_predict(coef, days, params, keys)
     if exog is not None:
-        state = with_exog(state, exog)
+        state = with_exog(state, exog_lags(exog))
     actual = panel.select(*keys, "ds", F.col(target).alias("actual"))
     known = F.when(F.col("ds") <= F.to_date(F.lit(train_end)), F.col("actual") - F.col("structural_pred"))
     return state.join(actual, [*keys, "ds"], "left").withColumn("residual", known)
 
 
-def hybrid_features(state: DataFrame, keys=KEYS, exog: bool = True) -> DataFrame:
-    from tidecast.operators.features import EXOG
-    return future_safe_features(state, keys, EXOG if exog else (), keep=("actual", "structural_pred", "residual"))
+def hybrid_features(state: DataFrame, keys=KEYS) -> DataFrame:
+    return future_safe_features(state, keys, keep=("actual", "structural_pred", "residual"))
 
 
 def hybrid_validation(panel: DataFrame, exog: DataFrame | None, split: dict, target: str = "revenue",
@@ -53,7 +52,7 @@ def hybrid_validation(panel: DataFrame, exog: DataFrame | None, split: dict, tar
                       boost: BoostParams = SHALLOW, keys=KEYS) -> DataFrame:
     """(keys, ds, actual, structural_pred, pred) over the validation year: structural model plus residual learner."""
     state = model_state(panel, exog, split["train_end"], split["val_end"], target, structural, keys)
-    feats = cut_lineage(hybrid_features(state, keys, exog is not None))
+    feats = cut_lineage(hybrid_features(state, keys))
     train = feats.where(F.col("ds") <= F.to_date(F.lit(split["train_end"])))
     model = gbt_fit(train, "residual", columns, boost)
     scored = gbt_predict(model, between(feats, split["val_start"], split["val_end"]), columns)

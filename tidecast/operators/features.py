@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tidecast.fixed_values import (CALENDAR_EXTRA_FEATURES, CALENDAR_FEATURES, REGIME_FEATURES)
+from tidecast.fixed_values import (CALENDAR_EXTRA_FEATURES, CALENDAR_FEATURES, EXOG_ANCHOR_FEATURES, EXOG_FEATURES,
+                                   REGIME_FEATURES)
 from tidecast.functions.calendar import calendar_columns
 from tidecast.operators.spine import KEYS, daily_total, monthly_mean, monthly_to_daily
 from tidecast.operators.windows import lag_days, lagged_mean
@@ -21,25 +22,38 @@ def exog_table(spine: DataFrame, traffic: DataFrame, snapshots: DataFrame) -> Da
     return daily.join(sessions, "ds", "left").select("ds", *EXOG)
 
 
+def exog_lags(exog: DataFrame) -> DataFrame:
+    """(ds, …_lag365, …_lag730): drivers as they were one and two years before each day.
+
+    Lags are taken once on the driver table, which has one row per calendar day, not once per series.
+    """
+    company = [F.lit("company")]
+    lagged = [lag_days(F.col(c), 365, company).alias(f"{c}_lag365") for c in EXOG]
+    lagged += [lag_days(F.col(c), 730, company).alias(f"{c}_lag730") for c in ("fill_rate", "sessions")]
+    return exog.select("ds", *lagged)
+
+
 def with_exog(panel: DataFrame, exog: DataFrame) -> DataFrame:
     """Company-level drivers for every series. One row per calendar day, so the table is bounded and broadcast."""
     return panel.join(F.broadcast(exog), "ds", "left")
 
 
-def feature_columns(residual: Column, keys=KEYS, exog=EXOG) -> list[Column]:
-    """All features as expressions over one window layout: every lag and mean shares a single sort.
+def feature_columns(residual: Column, keys=KEYS) -> list[Column]:
+    """Residual lags and calendar as expressions over one window layout: all lags and means share a single sort.
 
-    Residuals and exogenous values are read at least 364 days back; the rest is known calendar.
+    Residuals are read at least 364 days back; the rest is known calendar.
     """
     ds = F.col("ds")
     cols = [lag_days(residual, n, keys).alias(f"resid_lag{n}") for n in (365, 364, 366, 730)]
     cols.append(lagged_mean(residual, 365, 28, keys).alias("resid_roll28_lag365"))
-    cols += [lag_days(F.col(c), 365, keys).alias(f"{c}_lag365") for c in exog]
-    cols += [lag_days(F.col(c), 730, keys).alias(f"{c}_lag730") for c in ("fill_rate", "sessions") if c in exog]
     cols += calendar_columns(ds, (*CALENDAR_FEATURES, *CALENDAR_EXTRA_FEATURES, *REGIME_FEATURES))
     return cols
 
 
-def future_safe_features(df: DataFrame, keys=KEYS, exog=EXOG, keep=()) -> DataFrame:
-    """``df``: (keys, ds, residual, structural_trend, exog…) -> keys, ds, ``keep`` and the 23 features."""
-    return df.select(*keys, "ds", *keep, "structural_trend", *feature_columns(F.col("residual"), keys, exog))
+def future_safe_features(df: DataFrame, keys=KEYS, keep=()) -> DataFrame:
+    """``df``: (keys, ds, residual, structural_trend, driver lags…) -> keys, ds, ``keep`` and the features.
+
+    With the six driver lags of ``exog_lags`` attached, the result has all 23 features; without them, 17.
+    """
+    drivers = [c for c in (*EXOG_FEATURES, *EXOG_ANCHOR_FEATURES) if c in df.columns]
+    return df.select(*keys, "ds", *keep, "structural_trend", *drivers, *feature_columns(F.col("residual"), keys))

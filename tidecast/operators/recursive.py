@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, functions as F
 
 from tidecast.functions.scalars import ratio
-from tidecast.operators.features import EXOG, future_safe_features
+from tidecast.operators.features import future_safe_features
 from tidecast.operators.joins import patch_update
 from tidecast.operators.spine import KEYS
 from tidecast.session import cut_lineage
@@ -35,8 +35,8 @@ def patch_actual_residuals(state: DataFrame, actual: DataFrame, start: str, end:
     return joined.withColumn("residual", F.coalesce(F.col("_y") - F.col("structural_pred"), "residual")).drop("_y")
 
 
-def recursive_forecast(state: DataFrame, learner: Learner, start: str, end: str, keys=KEYS, exog=EXOG) -> DataFrame:
-    """``state``: (keys, ds, residual, structural_pred, structural_trend, exog…) over history and horizon.
+def recursive_forecast(state: DataFrame, learner: Learner, start: str, end: str, keys=KEYS) -> DataFrame:
+    """``state``: (keys, ds, residual, structural_pred, structural_trend, driver lags…) over history and horizon.
 
     Years run one after the other because a year needs its predecessor's residuals; inside a year all series and
     days are predicted at once. The residual table is written out between years, so the plan does not grow.
@@ -45,7 +45,7 @@ def recursive_forecast(state: DataFrame, learner: Learner, start: str, end: str,
     blocks = year_blocks(start, end)
     done = []
     for i, (lo, hi) in enumerate(blocks):
-        feats = future_safe_features(state, keys, exog, keep=("structural_pred",)).where(F.col("ds").between(lo, hi))
+        feats = future_safe_features(state, keys, keep=("structural_pred",)).where(F.col("ds").between(lo, hi))
         block = learner(feats).select(*keys, "ds", "structural_pred", F.col("residual_pred").alias("residual"))
         if i + 1 < len(blocks):
             block = cut_lineage(block)

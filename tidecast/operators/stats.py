@@ -177,3 +177,9 @@ def seasonal_decompose(df: DataFrame, col: str, period: int = 365, keys=KEYS) ->
 def seasonal_share(parts: DataFrame, col: str, keys=KEYS) -> DataFrame:
     return parts.groupBy(*keys).agg(
         (ratio(F.var_pop("seasonal"), F.var_pop(col)) * 100).alias("seasonal_share_pct"))
+
+
+def to_levels(df: DataFrame, attributes, y: str) -> DataFrame:
+    """Order attributes -> (feature, level, y), one pass over the rows."""
+    cells = F.array(*[F.struct(F.lit(a).alias("feature"), F.col(a).alias("level")) for a in attributes])
+    return df.select(F.col(y).alias("y"), F.explode(cells).alias("_c")).select("y", "_c.*")
