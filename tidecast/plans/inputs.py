@@ -59,3 +59,14 @@ def naive_errors(spark, folder) -> DataFrame:
     e = F.col("revenue") - F.col("structural_pred")
     return v.select(*KEYS, "ds", F.col("revenue").alias("y"), F.col("structural_pred").alias("pred"), e.alias("error"),
                     F.try_divide(e, F.col("structural_pred")).alias("rel_error"))
+
+
+def profile_state(spark, folder) -> DataFrame:
+    """(series_id, ds, revenue, structural_pred, structural_trend, residual) over history and horizon, where the
+    structure is the seasonal profile on the grown base level; model-free, so plain SQL can repeat it."""
+    p = panel(spark, folder)
+    days = date_spine(p, end=SPLIT["test_end"])
+    s = profile_forecast(p, days, 2000, ["revenue"]).withColumnRenamed("revenue_pred", "structural_pred")
+    out = s.join(p.select(*KEYS, "ds", "revenue"), [*KEYS, "ds"], "left")
+    return out.withColumn("structural_trend", F.col("structural_pred")).withColumn(
+        "residual", F.col("revenue") - F.col("structural_pred"))

@@ -127,6 +127,15 @@ FRAGMENTS: dict[str, str] = {
                   FROM x_annual b JOIN x_growth g USING (series_id) CROSS JOIN x_horizon h
                   LEFT JOIN x_profile p ON p.series_id = b.series_id AND p.month = month(h.ds) AND p.day = day(h.ds)
                   WHERE b.year = 2000""",
+    # seasonal profile structure over history and horizon, with the residual where revenue is known
+    "x_state": """SELECT b.series_id, d.ds, q.revenue,
+                  b.revenue / 365 * pow(g.revenue_growth, year(d.ds) - 2000) * coalesce(p.revenue_profile, 1.0) AS structural_pred,
+                  q.revenue - b.revenue / 365 * pow(g.revenue_growth, year(d.ds) - 2000) * coalesce(p.revenue_profile, 1.0) AS residual
+                  FROM x_annual b JOIN x_growth g USING (series_id) JOIN (SELECT series_id, CAST(unnest(generate_series(
+                      CAST(min(ds) AS TIMESTAMP), TIMESTAMP '2002-07-01', INTERVAL 1 DAY)) AS DATE) AS ds FROM x_panel GROUP BY 1) d
+                      ON d.series_id = b.series_id
+                  LEFT JOIN x_profile p ON p.series_id = b.series_id AND p.month = month(d.ds) AND p.day = day(d.ds)
+                  LEFT JOIN x_panel q ON q.series_id = b.series_id AND q.ds = d.ds WHERE b.year = 2000""",
     # validation-year errors of the same-day-last-year forecast
     "x_err": """SELECT series_id, ds, revenue AS y, structural_pred AS pred,
                   revenue - structural_pred AS error, (revenue - structural_pred) / nullif(structural_pred, 0) AS rel_error
