@@ -14,15 +14,16 @@ def average_rank(x: Column, group) -> Column:
 
 def histogram_ranks(counts: DataFrame, group, value: str = "value", n: str = "n", cells: int = 1024,
                     rows_per_cell: int = 100_000) -> DataFrame:
-    """Average rank of every distinct value from its row count, with no group ever in one task.
+    """Average rank of every distinct value from row counts, with no group ever in one task.
 
-    ``counts`` has one row per (group, value), so a value shared by a third of all rows is still one row here. The
-    value range is cut into equal-width cells; a crowded cell is cut again over its own value range. Minimum,
-    maximum and counts are exact, so a replayed task assigns the same cell. Running counts are taken inside
-    cells, and the totals of the earlier cells (a small table) are added back.
+    ``counts`` has one row per (group, value) or a few (one per level), so a value shared by a third of all rows is still
+    that small here. The value range is cut into equal-width cells; a crowded cell is cut again over its own value
+    range. Minimum, maximum and counts are exact, so a replayed task assigns the same cell. Running counts are taken
+    inside cells, and the totals of the earlier cells (a small table) are added back.
 
-    Returns (group, value, n, avg_rank).
+    Adds ``ties`` (rows that share the value) and ``avg_rank``.
     """
+    kept = counts.columns
     limits = counts.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
     coarse = counts.join(limits, list(group)).withColumn("_c", _cell(F.col(value), F.lit(cells)))
     coarse = coarse.drop("_lo", "_hi")
@@ -36,10 +37,11 @@ def histogram_ranks(counts: DataFrame, group, value: str = "value", n: str = "n"
     # one row per cell: at most ``cells`` plus one per ``rows_per_cell`` distinct values
     earlier = W.partitionBy(*group).orderBy("_c", "_f").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*cell, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"))
-    inside = W.partitionBy(*cell).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
-    ranked = fine.withColumn("_upto", F.sum(n).over(inside)).join(offsets, cell)
-    rank = F.col("_before") + F.col("_upto") - F.col(n) + (F.col(n) + 1) / 2
-    return ranked.select(*group, value, n, rank.alias("avg_rank"))
+    upto = F.sum(n).over(W.partitionBy(*cell).orderBy(value).rangeBetween(W.unboundedPreceding, 0))
+    ties = F.sum(n).over(W.partitionBy(*cell, value))
+    ranked = fine.select("*", upto.alias("_upto"), ties.alias("ties")).join(offsets, cell)
+    rank = F.col("_before") + F.col("_upto") - F.col("ties") + (F.col("ties") + 1) / 2
+    return ranked.select(*kept, "ties", rank.alias("avg_rank"))
 
 
 def _cell(x: Column, k: Column) -> Column:

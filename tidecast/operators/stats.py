@@ -75,17 +75,12 @@ def kruskal(long: DataFrame, y: str, level: str, group, min_size: int = 2) -> Da
 def kruskal_rows(long: DataFrame, y: str, level: str, group, **cells) -> DataFrame:
     """H on raw rows (one per order): rows are counted per value before any shuffle, then ranked by histogram."""
     rows = long.where(F.col(y).isNotNull() & F.col(level).isNotNull())
-    by_level = rows.groupBy(*group, F.col(y).alias("value"), level).agg(F.count("*").alias("_k"))
-    # one row per value with its count per level: the level list of an attribute is short
-    by_value = by_level.groupBy(*group, "value").agg(
-        F.sum("_k").alias("n"), F.collect_list(F.struct(level, "_k")).alias("_levels"))
-    ranked = histogram_ranks(by_value.select(*group, "value", "n"), group, **cells)
-    flat = by_value.select(*group, "value", F.explode("_levels").alias("_l"))
-    placed = flat.join(ranked, [*group, "value"]).select(
-        *group, f"_l.{level}", "_l._k", "avg_rank", F.col("n").cast("double").alias("n"))
-    sums = placed.groupBy(*group, level).agg(
-        F.sum(F.col("_k") * F.col("avg_rank")).alias("_r"), F.sum("_k").cast("double").alias("_n"),
-        F.sum(F.col("_k") * (F.col("n") * F.col("n") - 1)).alias("_tie"))
+    counted = rows.groupBy(*group, F.col(y).alias("value"), level).agg(F.count("*").alias("n"))
+    ranked = histogram_ranks(counted, group, **cells)
+    n, ties = F.col("n"), F.col("ties").cast("double")
+    sums = ranked.groupBy(*group, level).agg(
+        F.sum(n * F.col("avg_rank")).alias("_r"), F.sum(n).cast("double").alias("_n"),
+        F.sum(n * (ties * ties - 1)).alias("_tie"))
     return _kruskal_from_rank_sums(sums, group, 1)
 
 
@@ -101,15 +96,16 @@ def with_z_verdict(df: DataFrame, alpha: float = 0.05) -> DataFrame:
 def cross_correlation(df: DataFrame, x: str, y: str, max_lag: int = 14, keys=KEYS) -> DataFrame:
     """corr(x shifted by lag, y) for every lag, in one window pass and one aggregate.
 
+    The 29 copies of a row are made after the exchange and folded by the partial aggregate before the next one.
+
     Correlation does not change under standardising, so the raw columns are used.
     """
     lags = range(-max_lag, max_lag + 1)
+    pairs = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_l{k + max_lag}").alias("x")) for k in lags])
     wide = df.select(*keys, y, *[shift_rows(F.col(x), k, keys).alias(f"_l{k + max_lag}") for k in lags])
-    agg = wide.groupBy(*keys).agg(F.count("*").alias("n"), *[
-        F.corr(f"_l{k + max_lag}", y).alias(f"_c{k + max_lag}") for k in lags])
-    cells = F.array(*[F.struct(F.lit(k).alias("lag"), F.col(f"_c{k + max_lag}").alias("corr")) for k in lags])
-    return agg.select(*keys, "n", F.explode(cells).alias("_e")).select(
-        *keys, "_e.lag", "_e.corr", (1.96 / F.sqrt("n")).alias("ci"))
+    long = wide.select(*keys, y, F.explode(pairs).alias("_p"))
+    return long.groupBy(*keys, F.col("_p.lag").alias("lag")).agg(
+        F.corr("_p.x", y).alias("corr"), (1.96 / F.sqrt(F.count("*"))).alias("ci"))
 
 
 def peak_lag(ccf: DataFrame, keys=KEYS) -> DataFrame:

@@ -231,7 +231,7 @@ def ffill(spark, sf):
 def average_rank_q(spark, sf):
     """Average rank of every order value inside its priority, by distributed value histogram."""
     counts = read_parquet(spark, sf, "orders").groupBy("o_orderpriority", F.col("o_totalprice").alias("value")).agg(F.count("*").alias("n"))
-    return histogram_ranks(counts, ["o_orderpriority"])
+    return histogram_ranks(counts, ["o_orderpriority"]).drop("ties")
 
 
 @query("average_rank_daily", """SELECT series_id, ds, rank() OVER (PARTITION BY series_id ORDER BY revenue)

@@ -7,9 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tidecast.operators.baselines import naive_structure, profile_forecast
 from tidecast.operators.denoise import denoise_target
 from tidecast.operators.evaluation import between
-from tidecast.operators.features import exog_table, with_exog
+from tidecast.operators.features import exog_table
 from tidecast.operators.spine import KEYS, daily_total, date_spine, load_panel
-from tidecast.sources.bindings import SPLIT, daily_sales, inventory, web_traffic
+from tidecast.sources.bindings import SPLIT, daily_sales, inventory, orders_by_day, web_traffic
 
 
 def panel(spark: SparkSession, folder: str, series: str | None = "p_type") -> DataFrame:
@@ -24,15 +24,14 @@ def traffic(spark, folder) -> DataFrame:
     return daily_total(web_traffic(spark, folder), ["sessions"])
 
 
-def full_days(p: DataFrame) -> DataFrame:
-    """Every day from the start of the panel to the end of the horizon."""
-    company = p.select(F.lit("ALL").alias("series_id"), "ds")
-    return date_spine(company, end=SPLIT["test_end"]).select("ds")
+def full_days(spark, folder) -> DataFrame:
+    """Every day from the first order to the end of the horizon."""
+    days = orders_by_day(spark, folder).select(F.lit("ALL").alias("series_id"), "ds")
+    return date_spine(days, end=SPLIT["test_end"]).select("ds")
 
 
-def exog(spark, folder, days: DataFrame | None = None) -> DataFrame:
-    days = full_days(panel(spark, folder, None)) if days is None else days
-    return exog_table(days, web_traffic(spark, folder), inventory(spark, folder))
+def exog(spark, folder) -> DataFrame:
+    return exog_table(full_days(spark, folder), web_traffic(spark, folder), inventory(spark, folder))
 
 
 def horizon(p: DataFrame) -> DataFrame:

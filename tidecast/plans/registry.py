@@ -96,7 +96,7 @@ FRAGMENTS: dict[str, str] = {
                   CAST(end_date AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS ds FROM x_promos""",
     "x_horizon": """SELECT CAST(unnest(generate_series(TIMESTAMP '2001-01-01', TIMESTAMP '2002-07-01', INTERVAL 1 DAY))
                   AS DATE) AS ds""",
-    "x_full_days": """SELECT CAST(unnest(generate_series((SELECT CAST(min(ds) AS TIMESTAMP) FROM x_panel_all),
+    "x_full_days": """SELECT CAST(unnest(generate_series((SELECT CAST(min(ds) AS TIMESTAMP) FROM x_orders),
                   TIMESTAMP '2002-07-01', INTERVAL 1 DAY)) AS DATE) AS ds""",
     "x_exog": """SELECT d.ds, t.sessions,
                   CASE WHEN d.ds <= z.top THEN m.overstock_pct END AS overstock_pct,

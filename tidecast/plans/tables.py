@@ -13,7 +13,7 @@ from tidecast.operators.baselines import seasonal_profile
 from tidecast.plans import inputs as src
 from tidecast.plans.registry import query, settled as R
 from tidecast.session import shared_folder
-from tidecast.sources.bindings import (SPLIT, daily_sales, inventory, order_lines, orders_by_day, promotions, web_traffic)
+from tidecast.sources.bindings import (SPLIT, daily_sales, exact_total, inventory, order_lines, orders_by_day, promotions, web_traffic)
 from tidecast.sources.tables import read_csv, read_parquet, write_csv
 
 KEYS = ["series_id"]
@@ -102,7 +102,7 @@ def month_key(spark, sf):
 def monthly_to_daily(spark, sf):
     monthly = sp.monthly_mean(inventory(spark, sf).withColumnRenamed("overstock_flag", "overstock_pct"),
                               ["overstock_pct", "days_of_supply", "fill_rate"])
-    out = sp.monthly_to_daily(monthly, src.full_days(src.panel(spark, sf, None)),
+    out = sp.monthly_to_daily(monthly, src.full_days(spark, sf),
                               ["overstock_pct", "days_of_supply", "fill_rate"])
     return out.select("ds", sc.settle(F.col("overstock_pct"), 6).alias("overstock_pct"),
                       sc.settle(F.col("days_of_supply"), 4).alias("days_of_supply"),
@@ -113,7 +113,7 @@ def monthly_to_daily(spark, sf):
     FROM x_full_days d ASOF LEFT JOIN x_month m ON d.ds >= m.snap CROSS JOIN (SELECT max(snap) AS top FROM x_month) z""")
 def inventory_flags_daily(spark, sf):
     monthly = inventory(spark, sf).groupBy("snap").agg(F.max("stockout_flag").alias("stockout_flag"))
-    return sp.monthly_to_daily(monthly, src.full_days(src.panel(spark, sf, None)), ["stockout_flag"])
+    return sp.monthly_to_daily(monthly, src.full_days(spark, sf), ["stockout_flag"])
 
 
 @query("daily_traffic", """SELECT ds, CAST(sum(sessions) AS BIGINT) AS sessions,
@@ -173,8 +173,8 @@ def line_amounts(spark, sf):
         sc.line_revenue(F.col("l_quantity"), F.col("p_retailprice"), F.col("l_discount") * 100).alias("revenue"),
         (F.col("l_quantity") * 1.75 * F.col("p_retailprice")).alias("cogs"))
     return lines.groupBy("category").agg(
-        F.count("*").alias("n_lines"), F.sum(F.col("revenue").cast("decimal(18,4)")).cast("double").alias("line_revenue"),
-        F.sum(F.col("cogs").cast("decimal(18,4)")).cast("double").alias("line_cogs"))
+        F.count("*").alias("n_lines"), exact_total(F.col("revenue")).alias("line_revenue"),
+        exact_total(F.col("cogs")).alias("line_cogs"))
 
 
 @query("clip_range", f"""SELECT series_id, ds, {R('least(greatest(cogs / revenue, 0.5), 1.6)', 6)} AS ratio_clipped,
@@ -267,10 +267,10 @@ def join_items_products_orders(spark, sf):
 def join_orders_payments(spark, sf):
     """Orders with the payment total of their lines; lines are pre-aggregated, so a hot order shrinks map-side."""
     paid = (read_parquet(spark, sf, "lineitem").groupBy("l_orderkey")
-            .agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("paid")))
+            .agg(exact_total(F.col("l_extendedprice")).alias("paid")))
     o = read_parquet(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
     return (o.join(paid, o.o_orderkey == paid.l_orderkey).groupBy("o_orderpriority")
-             .agg(F.count("*").alias("n_orders"), F.sum("paid").cast("double").alias("payment_value")))
+             .agg(F.count("*").alias("n_orders"), exact_total(F.col("paid")).alias("payment_value")))
 
 
 @query("join_profile_left", f"""SELECT s.series_id, s.ds, {R('coalesce(p.revenue_profile, 1.0)', 6)} AS factor FROM x_sales s

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from tidecast.functions.scalars import pct_change
 from tidecast.operators.decisions import warning_zone
 from tidecast.session import shared_folder
+from tidecast.sources.bindings import exact_total
 from tidecast.sources.schemas import PARQUET_TABLES
 
 
@@ -34,7 +35,7 @@ def daily_rollup(events: DataFrame, watermark: str = "2 days") -> DataFrame:
     if events.isStreaming:
         instant = instant.withWatermark("at", watermark)
     rolled = instant.groupBy(F.window("at", "1 day"), "event_type").agg(
-        F.count("*").alias("n"), F.sum(F.col("value").cast("decimal(18,4)")).cast("double").alias("total"))
+        F.count("*").alias("n"), exact_total(F.col("value")).alias("total"))
     day = F.to_utc_timestamp(F.col("window.start"), F.current_timezone()).cast("date")
     return rolled.select(day.alias("day"), "event_type", "n", "total")
 
