@@ -46,6 +46,12 @@ def z_score(x: Column, mean: Column, std: Column) -> Column:
     return ratio(x - mean, std)
 
 
+def correlation(x: Column, y: Column) -> Column:
+    """Pearson correlation over the pairs with both sides known; NULL (not an error) when either side is constant."""
+    both = x.isNotNull() & y.isNotNull()
+    return ratio(F.covar_pop(x, y), F.stddev_pop(F.when(both, x)) * F.stddev_pop(F.when(both, y)))
+
+
 def strip_year(title: Column) -> Column:
     """Promotion title without its trailing four-digit year."""
     return F.regexp_replace(title, r"\s*\d{4}$", "")

@@ -86,7 +86,7 @@ def expanding_folds(df: DataFrame, n_splits: int = 3, keys=KEYS) -> DataFrame:
     pos = F.row_number().over(W.partitionBy(*keys).orderBy("ds"))
     size = F.floor(n / (n_splits + 1))
     first = n - size * n_splits
-    fold = F.when(pos <= first, 0).otherwise(F.floor((pos - first - 1) / size) + 1)
+    fold = F.when(pos <= first, 0).otherwise(F.floor(ratio(pos - first - 1, size)) + 1)
     return df.withColumn("fold", fold.cast("int"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidecast.functions.calendar import day_number, month_start
+from tidecast.functions.scalars import ratio
 
 KEYS = ("series_id",)
 
@@ -70,7 +71,7 @@ def interpolate_time(df: DataFrame, columns, keys=KEYS, ds: str = "ds") -> DataF
     for c in columns:
         p, n = F.col(f"_p_{c}"), F.col(f"_n_{c}")
         span, gone = F.datediff(n["d"], p["d"]), F.datediff(F.col(ds), p["d"])
-        between = p["v"] + (n["v"] - p["v"]) * gone / span
+        between = p["v"] + ratio((n["v"] - p["v"]) * gone, span)
         out = out.withColumn(c, F.coalesce(F.col(c), F.when(n.isNull(), p["v"]).otherwise(between)))
     return out.drop(*[f"_{s}_{c}" for s in "pn" for c in columns])
 

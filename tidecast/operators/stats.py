@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidecast.fixed_values import COINTEGRATION_CRITICAL
-from tidecast.functions.scalars import ratio
+from tidecast.functions.scalars import correlation, ratio
 from tidecast.functions.tails import chi_square_p, correlation_p, normal_p
 from tidecast.operators.ranks import average_rank, histogram_ranks
 from tidecast.operators.spine import KEYS, by_day
@@ -22,7 +22,7 @@ def spearman(long: DataFrame, x: str, y: str, group) -> DataFrame:
     """Rank correlation per group of a daily long table; rows with a missing side are left out."""
     pairs = long.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     ranked = pairs.select(*group, average_rank(F.col(x), group).alias("_rx"), average_rank(F.col(y), group).alias("_ry"))
-    return ranked.groupBy(*group).agg(F.corr("_rx", "_ry").alias("r"), F.count("*").alias("n"))
+    return ranked.groupBy(*group).agg(correlation(F.col("_rx"), F.col("_ry")).alias("r"), F.count("*").alias("n"))
 
 
 def with_correlation_verdict(df: DataFrame, min_r: float = 0.1, alpha: float = 0.05) -> DataFrame:
@@ -44,7 +44,7 @@ def mann_whitney(df: DataFrame, y: str, flag: str, group) -> DataFrame:
     n1, n2 = F.col("_n1"), F.col("_n2")
     n = n1 + n2
     u = F.col("_r1") - n1 * (n1 + 1) / 2
-    sd = F.sqrt(n1 * n2 / 12 * (n + 1 - F.col("_ties") / (n * (n - 1))))
+    sd = F.sqrt(n1 * n2 / 12 * (n + 1 - F.coalesce(ratio(F.col("_ties"), n * (n - 1)), F.lit(0.0))))
     z = ratio(F.greatest(F.abs(u - n1 * n2 / 2) - 0.5, F.lit(0.0)), sd)
     return s.select(*group, n1.cast("bigint").alias("n_flagged"), n2.cast("bigint").alias("n_other"), u.alias("u"),
                     z.alias("z"), (ratio(F.col("_m1") - F.col("_m2"), F.col("_m2")) * 100).alias("effect_pct"))
@@ -105,7 +105,7 @@ def cross_correlation(df: DataFrame, x: str, y: str, max_lag: int = 14, keys=KEY
     wide = df.select(*keys, y, *[shift_rows(F.col(x), k, keys).alias(f"_l{k + max_lag}") for k in lags])
     long = wide.select(*keys, y, F.explode(pairs).alias("_p"))
     return long.groupBy(*keys, F.col("_p.lag").alias("lag")).agg(
-        F.corr("_p.x", y).alias("corr"), (1.96 / F.sqrt(F.count("*"))).alias("ci"))
+        correlation(F.col("_p.x"), F.col(y)).alias("corr"), (1.96 / F.sqrt(F.count("*"))).alias("ci"))
 
 
 def peak_lag(ccf: DataFrame, keys=KEYS) -> DataFrame:
@@ -150,7 +150,7 @@ def cointegration(df: DataFrame, y: str = "revenue", x: str = "cogs", keys=KEYS)
     s = s.withColumn("rho", ratio(F.col("ad") * F.col("bb") - F.col("bd") * F.col("ab"), det))
     s = s.withColumn("_g", ratio(F.col("bd") * F.col("aa") - F.col("ad") * F.col("ab"), det))
     rss = F.col("dd") - F.col("rho") * F.col("ad") - F.col("_g") * F.col("bd")
-    se = F.sqrt(rss / (F.col("n") - 2) * ratio(F.col("bb"), det))
+    se = F.sqrt(ratio(rss, F.col("n") - 2) * ratio(F.col("bb"), det))
     out = s.select(*keys, "n", "rho", ratio(F.col("rho"), se).alias("t_stat"))
     return out.withColumn("is_cointegrated", F.col("t_stat") < COINTEGRATION_CRITICAL["5%"])
 
