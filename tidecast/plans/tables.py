@@ -220,11 +220,11 @@ def drop_nulls(spark, sf):
 
 
 @query("membership", """SELECT s.series_id, s.ds, s.revenue FROM x_sales s WHERE year(s.ds) IN (
-    SELECT year(ds) FROM x_orders GROUP BY 1 HAVING count(DISTINCT ds) >= 360) AND s.series_id LIKE 'S%'""")
+    SELECT year(ds) FROM x_spine_all GROUP BY 1 HAVING count(*) >= 360) AND s.series_id LIKE 'S%'""")
 def membership(spark, sf):
     """Years that qualify (semi join) and a name prefix."""
-    valid = (orders_by_day(spark, sf).groupBy(F.year("ds").alias("_y")).agg(F.countDistinct("ds").alias("n"))
-             .where(F.col("n") >= 360).select("_y"))
+    days = sp.date_spine(daily_sales(spark, sf, None))
+    valid = days.groupBy(F.year("ds").alias("_y")).agg(F.count("*").alias("n")).where(F.col("n") >= 360).select("_y")
     s = daily_sales(spark, sf).where(F.col("series_id").startswith("S")).withColumn("_y", F.year("ds"))
     return s.join(valid, "_y", "left_semi").select("series_id", "ds", "revenue")
 
