@@ -25,7 +25,8 @@ def write_csv(df: DataFrame, path: str, columns, order=("ds",)) -> None:
     out.write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_panel(df: DataFrame, path: str, ds: str = "ds") -> None:
-    """Parquet partitioned by year, clustered so that each year is written by few tasks and date filters prune."""
-    (df.withColumn("year", F.year(ds)).repartition("year", F.month(ds)).sortWithinPartitions("year", ds)
+def write_panel(df: DataFrame, path: str, keys=("series_id",), ds: str = "ds") -> None:
+    """Parquet partitioned by year. Range partitions on day and series keep every task and file of similar size, however
+    many series a day has, and leave tight date statistics for pruning."""
+    (df.withColumn("year", F.year(ds)).repartitionByRange("year", ds, *keys).sortWithinPartitions("year", ds, *keys)
        .write.mode("overwrite").partitionBy("year").parquet(path))
