@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import day, series
 from tidecast.operators import baselines as bl, denoise as dn, spine as sp, stats as st, windows as wn
-from tidecast.operators.ranks import average_rank, histogram_ranks
+from tidecast.operators.ranks import histogram_quantiles, histogram_ranks
 from tidecast.operators.structural import StructuralParams, structural_fit, structural_predict
 
 RNG = np.random.default_rng(7)
@@ -139,6 +139,14 @@ def test_hot_value_and_outlier_in_rank_histogram(spark):
     assert got == want
 
 
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(hs.lists(hs.integers(-30, 30), min_size=1, max_size=50), hs.sampled_from([1, 4, 1024]))
+def test_exact_quantiles(spark, values, cells):
+    counts = spark.createDataFrame([("g", float(v)) for v in values], "g STRING, value DOUBLE").groupBy("g", "value").agg(F.count("*").alias("n"))
+    got = histogram_quantiles(counts, ["g"], {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}, cells=cells, rows_per_cell=3).collect()[0]
+    assert [got[k] for k in "abcde"] == pytest.approx(list(np.quantile(values, [0, 0.25, 0.5, 0.9, 1])))
+
+
 def test_capped_never_above_raw_and_spine_contiguous(noisy):
     df, _ = noisy
     out = dn.cap_outliers(sp.interpolate_time(sp.fill_gaps(df), ["revenue"]), "revenue")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidecast.functions.calendar import parity
 from tidecast.functions.scalars import ratio, strip_year
+from tidecast.operators.ranks import histogram_quantiles
 from tidecast.operators.spine import KEYS
 
 
@@ -63,14 +64,16 @@ def flag_share_stats(snapshots: DataFrame, flags, snap: str = "snap") -> DataFra
 
 
 def describe(df: DataFrame, columns, keys=()) -> DataFrame:
-    """Count, mean, deviation, quartiles and range per column, long form."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])
-    out = df.select(*keys, F.explode(cells).alias("_c")).groupBy(*keys, "_c.column").agg(
-        F.count("_c.x").alias("n"), F.avg("_c.x").alias("mean"), F.stddev_samp("_c.x").alias("std"),
-        F.min("_c.x").alias("min"), F.percentile("_c.x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
-        F.max("_c.x").alias("max"))
-    return out.select(*keys, "column", "n", "mean", "std", "min", F.col("_q")[0].alias("q25"),
-                      F.col("_q")[1].alias("q50"), F.col("_q")[2].alias("q75"), "max")
+    """Count, mean, deviation, quartiles and range per column, long form, for groups of any size."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
+    long = df.select(*keys, F.explode(cells).alias("_c")).select(*keys, "_c.*").where(F.col("value").isNotNull())
+    group = [*keys, "column"]
+    basic = long.groupBy(*group).agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    counts = long.groupBy(*group, "value").agg(F.count("*").alias("n"))
+    return basic.join(histogram_quantiles(counts, group, {"q25": 0.25, "q50": 0.5, "q75": 0.75}), group).select(
+        *group, "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def kpi_totals(df: DataFrame, keys=()) -> DataFrame:

@@ -29,6 +29,7 @@ class BoostParams:
     subsample: float = 1.0
     feature_subset: str = "all"
     seed: int = 42
+    validation_tol: float = 1e-4          # stop once a round improves the held-out error by less than this share
 
 
 # the two settings in use: shallow trees on everything, and the sampled variant
@@ -56,7 +57,7 @@ def gbt_fit(features: DataFrame, label: str, columns=ALL_FEATURES, params: Boost
                            minInstancesPerNode=params.min_instances, subsamplingRate=params.subsample,
                            featureSubsetStrategy=params.feature_subset, seed=params.seed)
     if validation:
-        learner = learner.setValidationIndicatorCol(validation)
+        learner = learner.setValidationIndicatorCol(validation).setParams(validationTol=params.validation_tol)
     try:
         model = learner.fit(train)
     finally:

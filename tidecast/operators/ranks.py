@@ -12,16 +12,14 @@ def average_rank(x: Column, group) -> Column:
     return place + (ties - 1) / 2
 
 
-def histogram_ranks(counts: DataFrame, group, value: str = "value", n: str = "n", cells: int = 1024,
-                    rows_per_cell: int = 100_000) -> DataFrame:
-    """Average rank of every distinct value from row counts, with no group ever in one task.
+def cumulative_counts(counts: DataFrame, group, value: str = "value", n: str = "n", cells: int = 1024,
+                      rows_per_cell: int = 100_000) -> DataFrame:
+    """Adds ``before`` (rows with a smaller value in the group) and ``ties`` (rows that share the value).
 
-    ``counts`` has one row per (group, value) or a few (one per level), so a value shared by a third of all rows is still
-    that small here. The value range is cut into equal-width cells; a crowded cell is cut again over its own value
-    range. Minimum, maximum and counts are exact, so a replayed task assigns the same cell. Running counts are taken
-    inside cells, and the totals of the earlier cells (a small table) are added back.
-
-    Adds ``ties`` (rows that share the value) and ``avg_rank``.
+    No group is ever in one task. ``counts`` has one row per (group, value) or a few (one per level), so a value shared by
+    a third of all rows is still that small here. The value range is cut into equal-width cells; a crowded cell is
+    cut again over its own value range. Minimum, maximum and counts are exact, so a replayed task assigns the same
+    cell. Running counts are taken inside cells, and the totals of the earlier cells (a small table) are added back.
     """
     kept = counts.columns
     limits = counts.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
@@ -39,9 +37,38 @@ def histogram_ranks(counts: DataFrame, group, value: str = "value", n: str = "n"
     offsets = totals.select(*cell, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"))
     upto = F.sum(n).over(W.partitionBy(*cell).orderBy(value).rangeBetween(W.unboundedPreceding, 0))
     ties = F.sum(n).over(W.partitionBy(*cell, value))
-    ranked = fine.select("*", upto.alias("_upto"), ties.alias("ties")).join(offsets, cell)
-    rank = F.col("_before") + F.col("_upto") - F.col("ties") + (F.col("ties") + 1) / 2
-    return ranked.select(*kept, "ties", rank.alias("avg_rank"))
+    placed = fine.select("*", upto.alias("_upto"), ties.alias("ties")).join(offsets, cell)
+    return placed.select(*kept, (F.col("_before") + F.col("_upto") - F.col("ties")).alias("before"), "ties")
+
+
+def histogram_ranks(counts: DataFrame, group, value: str = "value", n: str = "n", **cells) -> DataFrame:
+    """Adds ``ties`` and the average rank of every value, from row counts (see ``cumulative_counts``)."""
+    placed = cumulative_counts(counts, group, value, n, **cells)
+    return placed.select(*counts.columns, "ties", (F.col("before") + (F.col("ties") + 1) / 2).alias("avg_rank"))
+
+
+def histogram_quantiles(counts: DataFrame, group, quantiles: dict[str, float], value: str = "value", n: str = "n",
+                        **cells) -> DataFrame:
+    """Exact quantiles (linear interpolation) of groups of any size, one column per entry of ``quantiles``.
+
+    Position (N − 1)·q falls between two places of the sorted rows; the values that cover those places are picked by their
+    cumulative counts, so nothing is collected.
+    """
+    size = counts.groupBy(*group).agg(F.sum(n).alias("_size"))
+    placed = cumulative_counts(counts, group, value, n, **cells).join(size, list(group))
+    first, after = F.col("before"), F.col("before") + F.col("ties")
+
+    def at(place: Column) -> Column:
+        return F.max(F.when((place >= first) & (place < after), F.col(value)))
+
+    aggs = []
+    for name, q in quantiles.items():
+        spot = (F.col("_size") - 1) * q
+        aggs += [at(F.floor(spot)).alias(f"_l_{name}"), at(F.ceil(spot)).alias(f"_u_{name}"),
+                 F.max(spot - F.floor(spot)).alias(f"_w_{name}")]
+    picked = placed.groupBy(*group).agg(*aggs)
+    return picked.select(*group, *[
+        (F.col(f"_l_{k}") + (F.col(f"_u_{k}") - F.col(f"_l_{k}")) * F.col(f"_w_{k}")).alias(k) for k in quantiles])
 
 
 def _cell(x: Column, k: Column) -> Column:
