@@ -8,6 +8,7 @@ from tidecast.functions import calendar as cal, scalars as sc
 from tidecast.operators import aggregates as ag, decisions as de
 from tidecast.plans import inputs as src
 from tidecast.plans.registry import query, settled as R
+from tidecast.session import cut_lineage
 from tidecast.sources.bindings import daily_sales, exact_total, inventory, order_lines
 
 S = sc.settle
@@ -48,8 +49,8 @@ def margin_heatmap(spark, sf):
 def category_mix(spark, sf):
     """Revenue by category and year, with each category's share of the total and the running share."""
     amount = sc.line_revenue(F.col("l_quantity"), F.col("p_retailprice"), F.col("l_discount") * 100)
-    yearly = order_lines(spark, sf).groupBy(F.col("p_type").alias("category"), F.year("ds").alias("year")).agg(
-        exact_total(amount).alias("revenue"))
+    yearly = cut_lineage(order_lines(spark, sf).groupBy(F.col("p_type").alias("category"), F.year("ds").alias("year")).agg(
+        exact_total(amount).alias("revenue")))
     totals = ag.share_cumulative(yearly.groupBy("category").agg(F.sum("revenue").alias("total")), "category", "total")
     return yearly.join(totals, "category").select(
         "category", "year", S(F.col("revenue") / 1e9, 6).alias("revenue_bn"), S(F.col("share_pct"), 5).alias("share_pct"), S(F.col("cum_pct"), 5).alias("cum_pct"))

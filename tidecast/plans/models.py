@@ -30,7 +30,7 @@ MANY_SAMPLED = replace(bo.SAMPLED, max_iter=10)
 
 def _model_inputs(spark, sf):
     """Denoised panel and driver table, written once because several models read them."""
-    return cut_lineage(src.clean_panel(spark, sf)), cut_lineage(src.exog(spark, sf))
+    return src.clean_panel_once(spark, sf), cut_lineage(src.exog(spark, sf))
 
 
 # --- model-free forecasts ----------------------------------------------------------------------
@@ -95,14 +95,14 @@ def structural_fit(spark, sf):
 def structural_fit_additive(spark, sf):
     """Additive model without promotion events, scored on the validation year."""
     params = su.StructuralParams(mode="additive").without_promos()
-    state = evl.model_state(src.clean_panel(spark, sf), None, SPLIT["train_end"], SPLIT["val_end"], "revenue", params)
+    state = evl.model_state(src.clean_panel_once(spark, sf), None, SPLIT["train_end"], SPLIT["val_end"], "revenue", params)
     val = evl.between(state, SPLIT["val_start"], SPLIT["val_end"])
     return fc.forecast_metrics(val, "actual", "structural_pred", by=("series_id",))
 
 
 @query("structural_predict")
 def structural_predict(spark, sf):
-    p = src.clean_panel(spark, sf)
+    p = src.clean_panel_once(spark, sf)
     coef = su.structural_fit(p, "clean_revenue", train_end=SPLIT["train_end"])
     return su.structural_predict(coef, src.date_spine(p, end=SPLIT["test_end"]))
 
@@ -155,7 +155,8 @@ RECURSE = f"""WITH b1 AS (SELECT * FROM (SELECT series_id, ds, structural_pred,
 
 
 def _recursed(spark, sf):
-    return rc.recursive_forecast(cut_lineage(src.profile_state(spark, sf)), rc.naive_residual, SPLIT["test_start"], SPLIT["test_end"])
+    state = cut_lineage(src.profile_state(spark, sf))
+    return state, rc.recursive_forecast(state, rc.naive_residual, SPLIT["test_start"], SPLIT["test_end"])
 
 
 @query("blend", f"""SELECT series_id, ds, {R('structural_pred + proxy', 2)} AS forecast FROM (SELECT series_id, ds, structural_pred, {LEARNER_SQL} AS proxy FROM x_state) WHERE ds {VAL}""")
@@ -168,14 +169,15 @@ def blend(spark, sf):
 @query("seasonal_ratio", f"""SELECT f.series_id, f.ds, {R('f.revenue', 2)} AS revenue_pred, {R('f.revenue * coalesce(r.ratio, d.ratio_default)', 2)} AS cogs_pred FROM x_fc f
     LEFT JOIN x_ratio r ON r.series_id = f.series_id AND r.parity = year(f.ds) % 2 AND r.month = month(f.ds) LEFT JOIN x_ratio_default d ON d.series_id = f.series_id""")
 def seasonal_ratio(spark, sf):
-    rev = src.profile_fc(spark, sf).select("series_id", "ds", F.col("revenue").alias("revenue_pred"))
-    out = fc.cogs_from_ratio(rev, src.panel(spark, sf), SPLIT["train_end"])
+    p = src.panel_once(spark, sf)
+    rev = src.profile_fc(spark, sf, p).select("series_id", "ds", F.col("revenue").alias("revenue_pred"))
+    out = fc.cogs_from_ratio(rev, p, SPLIT["train_end"])
     return out.select("series_id", "ds", S(F.col("revenue_pred"), 2).alias("revenue_pred"), S(F.col("cogs_pred"), 2).alias("cogs_pred"))
 
 
 @query("recursive_forecast", RECURSE + f" SELECT series_id, ds, {R('proxy', 2)} AS residual, {R('structural_pred + proxy', 2)} AS forecast FROM rec")
 def recursive_forecast(spark, sf):
-    return _recursed(spark, sf).select("series_id", "ds", S(F.col("residual"), 2).alias("residual"), S(F.col("forecast"), 2).alias("forecast"))
+    return _recursed(spark, sf)[1].select("series_id", "ds", S(F.col("residual"), 2).alias("residual"), S(F.col("forecast"), 2).alias("forecast"))
 
 
 @query("recursive_forecast_boosted")
@@ -188,9 +190,10 @@ def recursive_forecast_boosted(spark, sf):
 @query("patch_actual_residuals", f"""SELECT series_id, ds, {R('residual', 2)} AS residual FROM x_state""")
 def patch_actual_residuals(spark, sf):
     """Residuals known to the end of training, then patched with every actual up to the horizon."""
-    state = src.profile_state(spark, sf)
+    p = src.panel_once(spark, sf)
+    state = src.profile_state(spark, sf, p)
     known = state.withColumn("residual", F.when(F.col("ds") <= F.to_date(F.lit(SPLIT["train_end"])), F.col("residual"))).drop("revenue")
-    out = rc.patch_actual_residuals(known, src.panel(spark, sf), SPLIT["val_start"], "2000-12-31")
+    out = rc.patch_actual_residuals(known, p, SPLIT["val_start"], "2000-12-31")
     return out.select("series_id", "ds", S(F.col("residual"), 2).alias("residual"))
 
 
@@ -198,8 +201,8 @@ def patch_actual_residuals(spark, sf):
     SELECT series_id, CAST(year(ds) AS INTEGER) AS year, {R('avg(abs(proxy))', 2)} AS proxy_mae, {R('any_value(b)', 2)} AS baseline_mae, {R('avg(abs(proxy)) / any_value(b)', 6)} AS drift
     FROM rec JOIN base USING (series_id) GROUP BY 1, 2""")
 def drift_ratio(spark, sf):
-    base = evl.between(src.profile_state(spark, sf), SPLIT["val_start"], SPLIT["val_end"])
-    out = fc.drift_ratio(_recursed(spark, sf), base)
+    state, forecast = _recursed(spark, sf)
+    out = fc.drift_ratio(forecast, evl.between(state, SPLIT["val_start"], SPLIT["val_end"]))
     return out.select("series_id", "year", S(F.col("proxy_mae"), 2).alias("proxy_mae"), S(F.col("baseline_mae"), 2).alias("baseline_mae"), S(F.col("drift"), 6).alias("drift"))
 
 
@@ -221,8 +224,9 @@ def loss_audit(spark, sf):
 @query("prediction_interval", f"""SELECT f.series_id, f.ds, {R('f.revenue', 2)} AS forecast, {R('greatest(f.revenue - 1.96 * s.sd, 0)', 2)} AS lower_95, {R('f.revenue + 1.96 * s.sd', 2)} AS upper_95
     FROM x_fc f JOIN (SELECT series_id, stddev_samp(error) AS sd FROM x_err GROUP BY 1) s USING (series_id)""")
 def prediction_interval(spark, sf):
-    f = src.profile_fc(spark, sf).select("series_id", "ds", F.col("revenue").alias("forecast"))
-    out = fc.prediction_interval(f, src.naive_errors(spark, sf))
+    p = src.panel_once(spark, sf)
+    f = src.profile_fc(spark, sf, p).select("series_id", "ds", F.col("revenue").alias("forecast"))
+    out = fc.prediction_interval(f, src.naive_errors(spark, sf, p))
     return out.select("series_id", "ds", *[S(F.col(c), 2).alias(c) for c in ("forecast", "lower_95", "upper_95")])
 
 
@@ -291,7 +295,7 @@ def independent_cogs(spark, sf):
 @query("ratio_structural")
 def ratio_structural(spark, sf):
     """Cost ratio extrapolated by the structural model, against the actual ratio."""
-    panel = src.clean_panel(spark, sf)
+    panel = src.clean_panel_once(spark, sf)
     params = su.StructuralParams(mode="additive").without_promos()
     pred = evl.ratio_structural(panel, SPLIT, params)
     actual = panel.select("series_id", "ds", sc.cogs_ratio(F.col("revenue"), F.col("cogs")).alias("y"))
@@ -344,6 +348,6 @@ def permutation_importance(spark, sf):
 
 @query("ar_baseline")
 def ar_baseline(spark, sf):
-    panel = src.panel(spark, sf)
+    panel = src.panel_once(spark, sf)
     pred = evl.ar_baseline(panel, "revenue", SPLIT["train_end"], SPLIT["val_end"])
     return pred.join(panel.select("series_id", "ds", F.col("revenue").alias("y")), ["series_id", "ds"])

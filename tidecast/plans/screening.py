@@ -11,6 +11,7 @@ from tidecast.operators.aggregates import argmax_row
 from tidecast.operators.features import exog_lags, with_exog
 from tidecast.plans import inputs as src
 from tidecast.plans.registry import query, settled as R
+from tidecast.session import cut_lineage
 from tidecast.sources.bindings import daily_sales, inventory, orders_by_day, promotions, web_traffic
 from tidecast.sources.tables import read_parquet
 
@@ -146,7 +147,7 @@ def kruskal_wallis_orders(spark, sf):
 def lag_vs_now_leakage(spark, sf):
     """Same-day drivers against the target, next to their lag of a year: concurrent ones leak."""
     p = src.panel(spark, sf, None).select("ds", "revenue")
-    ex = src.exog(spark, sf)
+    ex = cut_lineage(src.exog(spark, sf))
     daily = with_exog(with_exog(p, ex), exog_lags(ex))
     from tidecast.sources.bindings import order_lines
     qty = order_lines(spark, sf).groupBy("ds").agg(F.sum("l_quantity").alias("total_qty"))

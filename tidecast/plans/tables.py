@@ -12,7 +12,7 @@ from tidecast.operators.forecasting import cogs_from_ratio, seasonal_ratio, appl
 from tidecast.operators.baselines import seasonal_profile
 from tidecast.plans import inputs as src
 from tidecast.plans.registry import query, settled as R
-from tidecast.session import shared_folder
+from tidecast.session import cut_lineage, shared_folder
 from tidecast.sources.bindings import (SPLIT, daily_sales, exact_total, inventory, order_lines, orders_by_day, promotions, web_traffic)
 from tidecast.sources.tables import read_csv, read_parquet, write_csv
 
@@ -59,8 +59,9 @@ def sink_csv(spark, sf):
           FROM t FULL JOIN f ON t.series_id = f.series_id AND t.ds = f.ds) GROUP BY 1""")
 def submission_contract_q(spark, sf):
     """Horizon template against the days that really have sales."""
-    produced = daily_sales(spark, sf).where(F.col("ds") >= F.to_date(F.lit("2001-01-01")))
-    return submission_contract(src.horizon(src.panel(spark, sf)), produced)
+    daily = src.daily_once(spark, sf)
+    produced = daily.where(F.col("ds") >= F.to_date(F.lit("2001-01-01")))
+    return submission_contract(src.horizon(sp.load_panel(daily)), produced)
 
 
 # --- spines ------------------------------------------------------------------------------------
@@ -223,9 +224,10 @@ def drop_nulls(spark, sf):
     SELECT year(ds) FROM x_spine_all GROUP BY 1 HAVING count(*) >= 360) AND s.series_id LIKE 'S%'""")
 def membership(spark, sf):
     """Years that qualify (semi join) and a name prefix."""
-    days = sp.date_spine(daily_sales(spark, sf, None))
+    daily = src.daily_once(spark, sf)
+    days = sp.date_spine(daily.select(F.lit("ALL").alias("series_id"), "ds"))
     valid = days.groupBy(F.year("ds").alias("_y")).agg(F.count("*").alias("n")).where(F.col("n") >= 360).select("_y")
-    s = daily_sales(spark, sf).where(F.col("series_id").startswith("S")).withColumn("_y", F.year("ds"))
+    s = daily.where(F.col("series_id").startswith("S")).withColumn("_y", F.year("ds"))
     return s.join(valid, "_y", "left_semi").select("series_id", "ds", "revenue")
 
 
@@ -277,8 +279,9 @@ def join_orders_payments(spark, sf):
     LEFT JOIN x_profile p ON p.series_id = s.series_id AND p.month = month(s.ds) AND p.day = day(s.ds)
     WHERE s.ds >= DATE '2001-01-01'""")
 def join_profile_left(spark, sf):
-    profile = seasonal_profile(src.panel(spark, sf), ["revenue"])
-    late = daily_sales(spark, sf).where(F.col("ds") >= F.to_date(F.lit("2001-01-01"))).select("series_id", "ds")
+    daily = src.daily_once(spark, sf)
+    profile = seasonal_profile(sp.load_panel(daily), ["revenue"])
+    late = daily.where(F.col("ds") >= F.to_date(F.lit("2001-01-01"))).select("series_id", "ds")
     late = late.withColumn("month", F.month("ds")).withColumn("day", F.dayofmonth("ds"))
     out = jn.lookup_default(late, profile, ["series_id", "month", "day"], "revenue_profile", F.lit(1.0))
     return out.select("series_id", "ds", sc.settle(F.col("revenue_profile"), 6).alias("factor"))
@@ -340,7 +343,7 @@ def lag_calendar(spark, sf):
     LEFT JOIN x_ratio r ON r.series_id = f.series_id AND r.parity = year(f.ds) % 2 AND r.month = month(f.ds)
     LEFT JOIN x_ratio_default d ON d.series_id = f.series_id""")
 def lookup_default(spark, sf):
-    p = src.panel(spark, sf)
+    p = src.panel_once(spark, sf)
     table, default = seasonal_ratio(p, SPLIT["train_end"])
     out = apply_ratio(src.horizon(p), table, default)
     return out.select("series_id", "ds", sc.settle(F.col("ratio_pred"), 6).alias("ratio_pred"))
@@ -350,7 +353,7 @@ def lookup_default(spark, sf):
     SELECT series_id, ds, CASE WHEN ds <= DATE '1999-12-31' THEN residual END AS residual FROM x_naive) n
     LEFT JOIN x_err v ON v.series_id = n.series_id AND v.ds = n.ds""")
 def patch_update(spark, sf):
-    n = src.naive_panel(spark, sf)
+    n = cut_lineage(src.naive_panel(spark, sf))
     known = n.select("series_id", "ds", F.when(F.col("ds") <= F.to_date(F.lit(SPLIT["train_end"])), F.col("residual")).alias("residual"))
     fresh = between(n, SPLIT["val_start"], SPLIT["val_end"]).select("series_id", "ds", "residual")
     out = jn.patch_update(known, fresh, ["series_id", "ds"], ["residual"])
@@ -363,7 +366,7 @@ def patch_update(spark, sf):
     ON hot.series_id = s.series_id AND hot.m = month(s.ds) AND hot.d = day(s.ds)""")
 def semi_recurring(spark, sf):
     """Mark the (month, day) pairs of a series that are loss days in at least half of the years."""
-    s = daily_sales(spark, sf)
+    s = src.daily_once(spark, sf)
     hot = (s.groupBy("series_id", F.month("ds").alias("month"), F.dayofmonth("ds").alias("day"))
             .agg(F.avg((F.col("cogs") > F.col("revenue")).cast("int")).alias("_r")).where(F.col("_r") >= 0.5))
     return jn.mark_recurring(s, hot).select("series_id", "ds", "is_recurring")
