@@ -182,6 +182,7 @@ def test_postprocess_and_contract(spark):
     template = spark.createDataFrame([("a", date(2023, 1, d)) for d in (1, 2, 3)], "series_id STRING, ds DATE")
     c = fc.submission_contract(template, f).collect()[0]
     assert (c["expected"], c["produced"], c["missing"], c["extra"], c["matches"]) == (3, 3, 1, 1, True)
+    assert column(fc.follow_template(template, out), "revenue") == [0.0, 0.38, None]
 
 
 def test_interval_clips_at_zero(spark):

@@ -75,6 +75,11 @@ def submission_contract(template: DataFrame, forecast: DataFrame, keys=KEYS) ->
     return out.withColumn("matches", F.col("expected") == F.col("produced"))
 
 
+def follow_template(template: DataFrame, forecast: DataFrame, keys=KEYS) -> DataFrame:
+    """One row per template date, in the template's dates; NULL where nothing was predicted, other dates left out."""
+    return template.select(*keys, "ds").join(forecast, [*keys, "ds"], "left")
+
+
 def prediction_interval(forecast: DataFrame, errors: DataFrame, pred: str = "forecast", error: str = "error",
                         z: float = 1.96, keys=KEYS) -> DataFrame:
     """± z·σ of the validation errors around the forecast, lower end at zero."""

@@ -349,7 +349,7 @@ def scale_units(spark, sf):
 
 @query("yoy_accuracy", f"""SELECT series_id, CAST(year(ds) AS INTEGER) AS year, count(residual) AS n, {R('avg(abs(residual))', 2)} AS mae,
     {R('sqrt(avg(residual * residual))', 2)} AS rmse,
-    {R('1 - sum(residual * residual) / (count(residual) * var_pop(CASE WHEN residual IS NOT NULL THEN revenue END))', 5)} AS r2,
+    {R('1 - sum(residual * residual) / nullif(count(residual) * var_pop(CASE WHEN residual IS NOT NULL THEN revenue END), 0)', 5)} AS r2,
     {R('avg(abs(residual / nullif(revenue, 0))) * 100', 3)} AS mape FROM x_naive WHERE residual IS NOT NULL GROUP BY 1, 2""")
 def yoy_accuracy(spark, sf):
     """From line items to panel to forecast to error table: how good is the same-day-last-year forecast?"""

@@ -230,7 +230,7 @@ def prediction_interval(spark, sf):
     return out.select("series_id", "ds", *[S(F.col(c), 2).alias(c) for c in ("forecast", "lower_95", "upper_95")])
 
 
-METRICS_SQL = f"""count(e) AS n, {R('avg(abs(e))', 2)} AS mae, {R('sqrt(avg(e * e))', 2)} AS rmse, {R('1 - sum(e * e) / (count(e) * var_pop(y))', 5)} AS r2,
+METRICS_SQL = f"""count(e) AS n, {R('avg(abs(e))', 2)} AS mae, {R('sqrt(avg(e * e))', 2)} AS rmse, {R('1 - sum(e * e) / nullif(count(e) * var_pop(y), 0)', 5)} AS r2,
     {R('avg(abs(e / nullif(y, 0))) * 100', 3)} AS mape"""
 
 
