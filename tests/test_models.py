@@ -3,7 +3,6 @@
 from datetime import date
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 

@@ -3,7 +3,6 @@
 import re
 
 import pytest
-from pyspark.sql import functions as F
 
 from tests.conftest import SMALL
 from tidecast.operators import denoise as dn, stats as st

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import random
-from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -11,11 +10,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from tidecast.fixed_values import (ALL_FEATURES, BASE_FEATURES, CALENDAR_EXTRA_FEATURES, EXOG_FEATURES)
 from tidecast.functions.calendar import promo_flag_by_day_of_year
-from tidecast.functions.scalars import cogs_ratio, pct_change, ratio
+from tidecast.functions.scalars import pct_change, ratio
 from tidecast.operators.boosted import (SAMPLED, SHALLOW, BoostParams, gbt_fit, gbt_predict, training_rows)
 from tidecast.operators.features import exog_lags, future_safe_features, with_exog
 from tidecast.operators.forecasting import (clipped_ratio, cogs_from_ratio, forecast_metrics, metric_columns)
-from tidecast.operators.recursive import patch_actual_residuals, recursive_forecast
+from tidecast.operators.recursive import recursive_forecast
 from tidecast.operators.spine import KEYS, date_spine
 from tidecast.operators.structural import StructuralParams, structural_fit, structural_predict
 from tidecast.operators.windows import lag_days

@@ -7,7 +7,6 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, functions as F
 
-from tidecast.functions.scalars import ratio
 from tidecast.operators.features import future_safe_features
 from tidecast.operators.joins import patch_update
 from tidecast.operators.spine import KEYS

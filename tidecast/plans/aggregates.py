@@ -7,13 +7,12 @@ from pyspark.sql import Window as W, functions as F
 from tidecast.functions import calendar as cal, scalars as sc
 from tidecast.operators import aggregates as ag, baselines as bl, windows as wn
 from tidecast.operators.evaluation import between
-from tidecast.operators.events import event_lift
 from tidecast.operators.forecasting import forecast_metrics
 from tidecast.operators.joins import interval_flag
 from tidecast.operators.ranks import average_rank, histogram_ranks
 from tidecast.plans import inputs as src
 from tidecast.plans.registry import query, settled as R
-from tidecast.sources.bindings import SPLIT, daily_sales, inventory, order_lines, promotions, web_traffic
+from tidecast.sources.bindings import SPLIT, daily_sales, inventory, orders_by_day, promotions
 from tidecast.sources.tables import read_parquet
 
 S = sc.settle
@@ -278,7 +277,6 @@ PARTS = ("year", "month", "day", "quarter", "dayofyear", "dayofweek", "weekofyea
     CAST(weekofyear(ds) AS INTEGER) AS weekofyear, CAST(day(last_day(ds)) AS INTEGER) AS days_in_month,
     CASE WHEN last_day(ds) = ds THEN 1 ELSE 0 END AS is_month_end FROM x_orders""")
 def calendar_parts(spark, sf):
-    from tidecast.sources.bindings import orders_by_day
     days = orders_by_day(spark, sf).select("ds").distinct()
     return days.select("ds", *cal.calendar_columns(F.col("ds"), PARTS))
 
@@ -290,7 +288,6 @@ def calendar_plus(spark, sf):
 
 
 def _days(spark, sf, *names):
-    from tidecast.sources.bindings import orders_by_day
     return orders_by_day(spark, sf).select("ds").distinct().select("ds", *cal.calendar_columns(F.col("ds"), names))
 
 
@@ -307,7 +304,6 @@ def days_to_promo(spark, sf):
 
 @query("parity_month", "SELECT CAST(year(ds) % 2 AS INTEGER) AS parity, CAST(month(ds) AS INTEGER) AS month, count(*) AS n_orders FROM x_orders GROUP BY 1, 2")
 def parity_month(spark, sf):
-    from tidecast.sources.bindings import orders_by_day
     o = orders_by_day(spark, sf)
     return o.groupBy(cal.parity(F.col("ds")).alias("parity"), F.month("ds").alias("month")).agg(F.count("*").alias("n_orders"))
 

@@ -15,7 +15,7 @@ from tidecast.operators.windows import lag_days
 from tidecast.plans import inputs as src
 from tidecast.plans.registry import query, settled as R
 from tidecast.session import cut_lineage
-from tidecast.sources.bindings import SPLIT, daily_sales
+from tidecast.sources.bindings import SPLIT
 
 S = sc.settle
 KEYS = ["series_id"]

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from tidecast.functions import calendar as cal, scalars as sc
 from tidecast.operators import joins as jn, spine as sp, windows as wn
 from tidecast.operators.evaluation import between
-from tidecast.operators.features import with_exog
-from tidecast.operators.forecasting import cogs_from_ratio, seasonal_ratio, apply_ratio, submission_contract
+from tidecast.operators.forecasting import apply_ratio, seasonal_ratio, submission_contract
 from tidecast.operators.baselines import seasonal_profile
 from tidecast.plans import inputs as src
 from tidecast.plans.registry import query, settled as R
