@@ -1,6 +1,6 @@
 """Imports every operator with a registered query."""
 
-from tidecast.llm import chat, divergence, token_counts, toxicity, warc  # noqa: F401
+from tidecast.llm import chat, divergence, mixing, token_counts, toxicity, warc  # noqa: F401
 from tidecast.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

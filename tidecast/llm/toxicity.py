@@ -26,14 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidecast.llm.common import map_batches, query, remainder, scan, worker_cache
+from tidecast.llm.common import map_batches, query, remainder, scan, stored, words, worker_cache
 
-LABELLED = 20_000
+LABELLED = 10_000
 MAX_ENTRIES = 20_000
 STEM_LENGTHS = (4, 5, 6, 7)
-MIN_DOCS, MIN_ODDS = 5, 3.0
+MIN_DOCS, MIN_ODDS = 5, 3.5
 #: Least Poisson deviance of an entry's toxic documents against the base rate: among a million entries none by chance.
-MIN_EVIDENCE = 12.0
+MIN_EVIDENCE = 8.0
 THRESHOLD = 0.3
 CACHE_ENTRIES = 300_000
 # fixed values: function words of the grammar
@@ -153,11 +153,24 @@ def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     share = F.lit(0.0)
     for y, k in n.items():
         share = F.when(F.col("y") == y, min(1.0, LABELLED / k)).otherwise(share)
-    # bounded by LABELLED ids of each label, 16 bytes each
-    ids = train.where(hashed < share).withColumn("half", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("int"))
+    # both tables of ids are bounded by LABELLED ids of each label, some 30 bytes each
+    sampled = docs.select("doc_id", "text").join(F.broadcast(train.where(hashed < share)), "doc_id")
+    first = stored(sampled.groupBy("y", sketch("text").alias("copies")).agg(F.min("doc_id").alias("doc_id")), "toxicity-ids")
+    ids = first.groupBy("doc_id", "y").agg(F.min("copies").alias("copies"))
+    ids = ids.select("doc_id", "y", F.pmod(F.xxhash64("copies"), F.lit(2)).cast("int").alias("half"))
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
+def sketch(text: str, size: int = 5):
+    """The least hash of a text's word windows: near copies mostly share it, so that copies of one toxic document do not
+    make all its words look toxic, and stay within one half."""
+    w = words(F.col(text))
+    window = lambda x, i: F.xxhash64(*[F.get(x, i + k) for k in range(size)])
+    least = F.transform(F.array(w), lambda x: F.array_min(F.transform(
+        F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(x) - size)), lambda i: window(x, i))))[0]
+    return least
+
+
 def learn(rows: DataFrame) -> tuple[dict, dict]:
     """Weights of words and stems by half: keys 0 and 1 hold what the half's own documents gave, 2 what all gave."""
     seen = (rows.select("y", "half", F.explode(F.array_distinct(F.regexp_extract_all(
@@ -180,11 +193,11 @@ def learn(rows: DataFrame) -> tuple[dict, dict]:
     kept = (counted.select("stem", "entry", odds([0]).alias("w0"), odds([1]).alias("w1"), odds([0, 1]).alias("w2"))
             .where(F.greatest("w0", "w1", "w2") >= MIN_ODDS)
             .orderBy(F.desc("w2"), "stem", "entry").limit(MAX_ENTRIES).collect())
-    words, stems = {}, {}
+    whole, stems = {}, {}
     for k in range(3):
-        words[k] = {r["entry"]: r[f"w{k}"] for r in kept if r["stem"] == 0 and (r[f"w{k}"] or 0) >= MIN_ODDS}
+        whole[k] = {r["entry"]: r[f"w{k}"] for r in kept if r["stem"] == 0 and (r[f"w{k}"] or 0) >= MIN_ODDS}
         stems[k] = {r["entry"]: r[f"w{k}"] for r in kept if r["stem"] > 0 and (r[f"w{k}"] or 0) >= MIN_ODDS}
-    return words, stems
+    return whole, stems
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 3.0) -> np.ndarray:
@@ -216,10 +229,10 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     rows = training_rows(docs, labels)
-    words, stems = learn(rows)
+    whole, stems = learn(rows)
 
     def features(batch: pa.RecordBatch) -> list:
-        pair = [Lexicon(words[1 - h], stems[1 - h]) for h in (0, 1)]
+        pair = [Lexicon(whole[1 - h], stems[1 - h]) for h in (0, 1)]
         x = np.array([channels(t, pair[h]) for t, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())])
         return [batch.column(1), pa.array(list(x), pa.list_(pa.float64()))]
 
@@ -228,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if len(set(y)) < 2:
         return Model({}, {}, np.zeros(len(PRIOR) + 1), float(y.mean()) if len(y) else 0.0)
     x = np.array([r["x"] for r in got])
-    return Model(words[2], stems[2], fit_logistic(x, y, PRIOR / 4), None)
+    return Model(whole[2], stems[2], fit_logistic(x, y, PRIOR / 4), None)
 
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:

@@ -85,7 +85,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0) -> DataFrame:
                     fsys, root = store(folder)
                     fsys.create_dir(root, recursive=True)
                     name = f"{uuid.uuid4().hex}.warc.gz"
-                    sink, pack = fsys.open_output_stream(f"{root}/{name}"), zlib.compressobj(LEVEL, wbits=31)
+                    sink, pack = fsys.open_output_stream(f"{root}/{name}", compression=None), zlib.compressobj(LEVEL, wbits=31)
                 sink.write(pack.compress(record(page_id, url, payload, sha1_base32(payload), refers_to)))
                 records += 1
         if sink is not None:
@@ -162,7 +162,7 @@ def normalise(report: DataFrame, source: str, target: str) -> DataFrame:
             for file in batch.column(0).to_pylist():
                 name = f"{uuid.uuid4().hex}.warc.gz"
                 offset, index = 0, []
-                with fsys.open_input_stream(f"{root}/{file}") as f, to.open_output_stream(f"{out}/{name}") as sink, \
+                with fsys.open_input_stream(f"{root}/{file}", compression=None) as f, to.open_output_stream(f"{out}/{name}", compression=None) as sink, \
                         to.open_output_stream(f"{out}/{name}.index") as sidecar:
                     for fields, whole in split_records(inflated(f)):
                         pack = zlib.compressobj(LEVEL, wbits=31)
