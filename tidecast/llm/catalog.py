@@ -1,6 +1,6 @@
 """Imports every operator with a registered query."""
 
-from tidecast.llm import chat, crf, divergence, mixing, prefix_join, token_counts, toxicity, warc  # noqa: F401
+from tidecast.llm import bloom_lm, chat, crf, decontaminate, divergence, mixing, prefix_join, token_counts, toxicity, warc  # noqa: F401
 from tidecast.llm.common import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
