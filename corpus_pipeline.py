@@ -13,6 +13,7 @@ from tidecast.llm import crf, decontaminate as leaks, mixing, prefix_join, toxic
 from tidecast.llm.common import scan, stored
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+LEAST_SHARE = 0.4
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +23,10 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without any language, and those predicted in another language than they claim."""
+    """Drops documents without a letter and those in which no language holds ``LEAST_SHARE`` of the words. A label that the
+    prediction contradicts is no reason: it may be the label that is wrong."""
     found = crf.label(docs, crf.train(docs), *COLUMNS)
-    agrees = F.col("lang").isNull() | (F.col("lang") == F.col("lang_pred"))
-    return found.where((F.col("lang_pred") != "und") & agrees).select(*COLUMNS)
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
