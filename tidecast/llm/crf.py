@@ -7,7 +7,7 @@ passage in another language is followed where it is long enough. Labels come fro
 language is the one with most posterior mass over its words, and the score is its share.
 
 Training maximises the conditional likelihood by gradient steps (Adam) over whole documents, from rows outside the hold-out with a language: at most about
-``PER_LANGUAGE`` documents of each language, chosen by the hash of the id and of at most ``MAX_TRAIN_CHARS`` characters; a documented bound for
+``PER_LANGUAGE`` documents of each language, chosen by the hash of the id (null ids come last) and of at most ``MAX_TRAIN_CHARS`` characters; a documented bound for
 the fit alone. Every text is labelled whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0; without any training row every text is ``und``; with
@@ -227,8 +227,8 @@ def training_sample(docs: DataFrame) -> DataFrame:
 
 def train(docs: DataFrame) -> tuple:
     """Fits the field in one task on the bounded sample (a few MB), ordered so that reruns agree."""
-    got = sorted((r["doc_id"], r["text"], r["lang"]) for r in training_sample(docs).collect())
-    return fit([t for _, t, _ in got], [x for _, _, x in got])
+    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"], r["lang"]) for r in training_sample(docs).collect())
+    return fit([r[2] for r in got], [r[3] for r in got])
 
 
 def label(docs: DataFrame, model: tuple, *keep: str) -> DataFrame:
