@@ -31,10 +31,12 @@ def build_session(app: str = "tidecast", master: str | None = None, **conf) -> S
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder (``spark.checkpoint.dir``); a temporary one only where it is unset."""
+    """The cluster's shared scratch folder (``spark.checkpoint.dir``); where it is unset, a temporary one in local mode, an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not folder:
         folder = tempfile.mkdtemp(prefix="tidecast-")
     return folder
