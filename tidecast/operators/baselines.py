@@ -46,13 +46,16 @@ def seasonal_profile(df: DataFrame, columns=("revenue", "cogs"), keys=KEYS) -> D
 
 def profile_forecast(history: DataFrame, days: DataFrame, base_year: int, columns=("revenue", "cogs"),
                      keys=KEYS) -> DataFrame:
-    """Base-year level × growth^years ahead × seasonal profile (1.0 where the day was never seen)."""
+    """Base-year level × growth^years ahead × seasonal profile (1.0 where the day was never seen).
+
+    A series without the base year, or with too few full years for a growth, keeps its days with NULL forecasts.
+    """
     annual = annual_totals(history, columns, keys)
     base = annual.where(F.col("year") == base_year).select(
         *keys, *[(F.col(c) / 365).alias(f"{c}_base") for c in columns])
     level = base.join(geo_growth(annual, columns, keys), list(keys))
     out = days.withColumn("month", F.month("ds")).withColumn("day", F.dayofmonth("ds"))
-    out = out.join(level, list(keys)).join(seasonal_profile(history, columns, keys), [*keys, "month", "day"], "left")
+    out = out.join(level, list(keys), "left").join(seasonal_profile(history, columns, keys), [*keys, "month", "day"], "left")
     ahead = F.year("ds") - base_year
     preds = [(F.col(f"{c}_base") * F.pow(f"{c}_growth", ahead) * F.coalesce(f"{c}_profile", F.lit(1.0)))
              .alias(f"{c}_pred") for c in columns]

@@ -134,7 +134,7 @@ def backtest(panel: DataFrame, exog: DataFrame, folds: list[dict], boost: BoostP
              structural: StructuralParams = StructuralParams(), keys=KEYS) -> DataFrame:
     """Fixed architecture on every fold: (fold, target, errors, improvement over last year's value, % loss days).
 
-    Structural models of all folds are fitted in one grouped job; the residual learner is pooled per fold, and later
+    Folds run one after the other, each with structural models of its own; the residual learner is pooled per fold, and later
     years of a fold read predicted residuals, never actual ones.
     """
     parts = []
@@ -245,7 +245,7 @@ def architecture_predictions(panel: DataFrame, exog: DataFrame, split: dict, boo
     extras = drivers + CALENDAR_EXTRA_FEATURES
     runs = [
         tag("M1.0", naive, "pred"),
-        tag("M1.1", ar, "pred"),
+        tag("M1.1", val(ar), "pred"),
         tag("M2.0", only, "structural_pred"),
         tag("M2.1", own, "pred", F.col("_c").alias("cogs_pred")),
         tag("M2.2", via, "pred", (F.col("pred") * F.col("ratio_pred")).alias("cogs_pred")),
@@ -270,18 +270,15 @@ def model_comparison(panel: DataFrame, exog: DataFrame, split: dict, boost: Boos
 
 # --- ablation and search -----------------------------------------------------------------------
 
-ABLATION_SETS = {
-    "base": (),
-    "+sessions": ("sessions_lag365",),
-    "+overstock": ("overstock_pct_lag365",),
-    "+days_supply": ("days_of_supply_lag365",),
-    "+fill_rate": ("fill_rate_lag365",),
-    "+sess+overstock": ("sessions_lag365", "overstock_pct_lag365"),
-    "+promo_lag365": ("is_promo_lag365",),
-    "+promo_lag730": ("is_promo_lag730",),
-    "+odd_year": ("is_odd_year",),
-    "ALL_inv+sess": EXOG_FEATURES,
-}
+#: Candidates outside the feature matrix.
+REJECTED_FEATURES = ("is_promo_lag365", "is_promo_lag730", "is_odd_year")
+
+
+def candidate_sets() -> dict[str, tuple[str, ...]]:
+    """What is added to the base features: nothing, each driver or rejected candidate alone, traffic with overstock, all drivers."""
+    alone = {name: (name,) for name in (*EXOG_FEATURES, *REJECTED_FEATURES)}
+    pair = ("sessions_lag365", "overstock_pct_lag365")
+    return {"base": (), **alone, " and ".join(pair): pair, "all drivers": EXOG_FEATURES}
 
 
 def ablation_features(state: DataFrame, keys=KEYS) -> DataFrame:
@@ -289,13 +286,13 @@ def ablation_features(state: DataFrame, keys=KEYS) -> DataFrame:
     flagged = state.withColumn("is_promo", promo_flag_by_day_of_year(F.col("ds")))
     lags = [lag_days(F.col("is_promo"), n, keys).alias(f"is_promo_lag{n}") for n in (365, 730)]
     extra = flagged.select(*flagged.columns, *lags, F.pmod(F.year("ds"), F.lit(2)).alias("is_odd_year"))
-    keep = ("actual", "structural_pred", "residual", "is_promo_lag365", "is_promo_lag730", "is_odd_year")
+    keep = ("actual", "structural_pred", "residual", *REJECTED_FEATURES)
     return future_safe_features(extra, keys, keep=keep)
 
 
 def feature_ablation(features: DataFrame, split: dict, sets: dict | None = None, boost: BoostParams = SAMPLED) -> DataFrame:
     """Validation error of each feature set against the base set; keep at −0.5 % or better, drop above +0.5 %."""
-    sets = sets or ABLATION_SETS
+    sets = sets or candidate_sets()
     features = cut_lineage(features)
     train = features.where(F.col("ds") <= F.to_date(F.lit(split["train_end"])))
     val = between(features, split["val_start"], split["val_end"])

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tidecast.session import cut_lineage
+
 
 def average_rank(x: Column, group) -> Column:
     """Average rank inside groups that the calendar bounds (daily series). Ties share the mean of their places."""
@@ -16,15 +18,15 @@ def cumulative_counts(counts: DataFrame, group, value: str = "value", n: str = "
                       rows_per_cell: int = 100_000) -> DataFrame:
     """Adds ``before`` (rows with a smaller value in the group) and ``ties`` (rows that share the value).
 
-    No group is ever in one task. ``counts`` has one row per (group, value) or a few (one per level), so a value shared by
-    a third of all rows is still that small here. The value range is cut into equal-width cells; a crowded cell is
-    cut again over its own value range. Minimum, maximum and counts are exact, so a replayed task assigns the same
-    cell. Running counts are taken inside cells, and the totals of the earlier cells (a small table) are added back.
+    ``counts`` has one row per (group, value) or a few (one per level), so a value shared by a third of all rows is still that
+    small here. It is written out once, as several passes read it. A group of more than ``rows_per_cell`` rows is cut at ``cells`` − 1
+    quantiles of its own values, so cells are even whatever the distribution; a cell that is crowded still is cut again
+    over its own value range. Quantiles are approximate but written out, so a replayed task assigns the same cell; the
+    ranks are exact for any cut. Running counts are taken inside cells, and the totals of the earlier cells (a small table) are added back.
     """
     kept = counts.columns
-    limits = counts.groupBy(*group).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    coarse = counts.join(limits, list(group)).withColumn("_c", _cell(F.col(value), F.lit(cells)))
-    coarse = coarse.drop("_lo", "_hi")
+    counts = cut_lineage(counts)
+    coarse = value_cells(counts, group, value, cells, rows_per_cell)
     crowd = coarse.groupBy(*group, "_c").agg(
         F.min(value).alias("_lo"), F.max(value).alias("_hi"),
         F.ceil(F.count("*") / rows_per_cell).cast("int").alias("_k"))
@@ -32,7 +34,7 @@ def cumulative_counts(counts: DataFrame, group, value: str = "value", n: str = "
     fine = fine.drop("_lo", "_hi", "_k")
     cell = [*group, "_c", "_f"]
     totals = fine.groupBy(*cell).agg(F.sum(n).alias("_t"))
-    # one row per cell: at most ``cells`` plus one per ``rows_per_cell`` distinct values
+    # one row per cell: at most twice ``cells`` plus one per ``rows_per_cell`` distinct values
     earlier = W.partitionBy(*group).orderBy("_c", "_f").rowsBetween(W.unboundedPreceding, -1)
     offsets = totals.select(*cell, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"))
     upto = F.sum(n).over(W.partitionBy(*cell).orderBy(value).rangeBetween(W.unboundedPreceding, 0))
@@ -41,6 +43,25 @@ def cumulative_counts(counts: DataFrame, group, value: str = "value", n: str = "
     return placed.select(*kept, (F.col("_before") + F.col("_upto") - F.col("ties")).alias("before"), "ties")
 
 
+def value_cells(counts: DataFrame, group, value: str, cells: int, rows_per_cell: int) -> DataFrame:
+    """Adds ``_c``, the cell of a value among the quantiles of its group; 0 in groups of at most ``rows_per_cell`` rows.
+
+    The cut points are held as blocks of about the square root of their number, so a value is compared with one cut
+    point of each block and then with those of a single block.
+    """
+    shares = [k / cells for k in range(1, cells)]
+    step = int(cells ** 0.5) + 1
+    cuts = (counts.groupBy(*group).agg(F.count("*").alias("_k"), F.percentile_approx(value, shares, 10 * cells).alias("_cuts"))
+            .where(F.col("_k") > rows_per_cell))
+    blocks = F.array(*[F.slice("_cuts", k + 1, step) for k in range(0, len(shares), step)])
+    cuts = cut_lineage(cuts.select(*group, blocks.alias("_blocks")))
+    x = F.col(value)
+    block = F.coalesce(F.size(F.filter("_blocks", lambda b: F.element_at(b, -1) < x)), F.lit(0))
+    within = F.coalesce(F.size(F.filter(F.get("_blocks", F.col("_b")), lambda e: e < x)), F.lit(0))
+    placed = counts.join(cuts, list(group), "left").withColumn("_b", F.greatest(block, F.lit(0)))
+    return placed.select(*counts.columns, (F.col("_b") * step + F.greatest(within, F.lit(0))).alias("_c"))
+
+
 def histogram_ranks(counts: DataFrame, group, value: str = "value", n: str = "n", **cells) -> DataFrame:
     """Adds ``ties`` and the average rank of every value, from row counts (see ``cumulative_counts``)."""
     placed = cumulative_counts(counts, group, value, n, **cells)

@@ -34,9 +34,10 @@ def _bound(value, fallback: Column) -> Column:
 
 
 def date_spine(df: DataFrame, keys=KEYS, start=None, end=None, ds: str = "ds") -> DataFrame:
-    """Every day from first to last (or to the given bounds) of each series."""
+    """Every day from first to last (or to the given bounds) of each series; none for a series that begins after ``end``."""
     bounds = df.groupBy(*keys).agg(F.min(ds).alias("_lo"), F.max(ds).alias("_hi"))
-    days = F.sequence(_bound(start, F.col("_lo")), _bound(end, F.col("_hi")))
+    first, last = _bound(start, F.col("_lo")), _bound(end, F.col("_hi"))
+    days = F.when(first <= last, F.sequence(first, F.greatest(first, last)))
     return bounds.select(*keys, F.explode(days).alias(ds))
 
 
@@ -49,10 +50,12 @@ def fill_gaps(df: DataFrame, keys=KEYS, ds: str = "ds") -> DataFrame:
     """Insert the missing days between first and last row of each series, values NULL.
 
     Same result as ``densify`` on the series' own spine, but each row emits the gap behind it: one window and an
-    explode in place of an aggregate and a join.
+    explode in place of an aggregate and a join. Two rows of a series on one day are an error; sum them first (``daily_total``).
     """
     values = [c for c in df.columns if c not in (*keys, ds)]
-    until = F.coalesce(F.date_sub(F.lead(ds).over(by_day(keys, ds)), 1), F.col(ds))
+    following = F.lead(ds).over(by_day(keys, ds))
+    twice = F.raise_error(F.concat(F.lit("two rows of a series on "), F.col(ds).cast("string")))
+    until = F.when(following == F.col(ds), twice).otherwise(F.coalesce(F.date_sub(following, 1), F.col(ds)))
     run = df.withColumn("_until", until).select(
         *keys, F.col(ds).alias("_from"), *values, F.explode(F.sequence(ds, "_until")).alias(ds))
     first = F.col(ds) == F.col("_from")

@@ -119,8 +119,11 @@ def _dot(a: Column, b: Column) -> Column:
 
 def structural_predict(coef: DataFrame, days: DataFrame, params: StructuralParams = StructuralParams(), keys=KEYS,
                        pred: str = "structural_pred", trend: str = "structural_trend") -> DataFrame:
-    """Adds prediction and trend to a table of (keys, ds, …); evaluated in the JVM, one dot product per half."""
-    joined = days.join(coef, list(keys))
+    """Adds prediction and trend to a table of (keys, ds, …); evaluated in the JVM, one dot product per half.
+
+    A series without coefficients keeps its days with NULL predictions.
+    """
+    joined = days.join(coef, list(keys), "left")
     t = scaled_time(F.col("ds"), F.col("t_start"), F.col("t_end"))
     level = _dot(trend_array(t, params), F.col("trend_coef"))
     season = _dot(season_array(F.col("ds"), params), F.col("season_coef"))
