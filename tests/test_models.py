@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import day, series
-from tidecast.operators import boosted as bo, evaluation as evl, recursive as rc
+from tidecast.operators import boosted as bo, boosting as bt, evaluation as evl, recursive as rc
 from tidecast.operators.spine import date_spine
 
 
@@ -27,9 +27,6 @@ def test_boosting_learns_and_accepts_missing_features(labelled):
     out = bo.gbt_predict(model, holes, ("f1", "f2"))
     assert out.where(F.col("residual_pred").isNull()).count() == 0
     assert out.where(F.col("f1").isNull()).count() == holes.where(F.col("f1").isNull()).count()
-    ranked = bo.permutation_importance(model, labelled, "label", ("f1", "f2")).collect()
-    delta = {r["feature"]: r["delta_mae"] for r in ranked}
-    assert delta["f1"] > delta["f2"] > 0
 
 
 def test_training_rows_need_every_feature(labelled):
@@ -73,19 +70,13 @@ def test_autoregression_follows_a_known_recurrence(spark):
     assert [r["pred"] for r in out] == pytest.approx(y[40:45], abs=1e-3)
 
 
-def test_sampled_settings_are_seeded_and_in_range():
-    a, b = evl.sample_params(20), evl.sample_params(20)
-    assert a == b
-    assert all(0.01 <= p.step_size <= 0.1 and 3 <= p.max_depth <= 7 and 10 <= p.min_instances <= 60 for p in a)
-
-
 def test_hybrid_runs_end_to_end(spark):
     i = np.arange(3 * 365 + 366 + 365)
     y = 100 + 20 * np.sin(2 * np.pi * i / 365.25) + (i % 7)
     df = series(spark, "2015-01-01", y).withColumn("cogs", F.col("revenue") * 0.8)
     panel = df.withColumn("clean_revenue", F.col("revenue")).withColumn("clean_cogs", F.col("cogs"))
     split = dict(train_end="2018-12-31", val_start="2019-01-01", val_end="2019-12-31", test_start="2020-01-01", test_end="2021-02-28")
-    out = evl.hybrid_validation(panel, None, split, columns=evl.BASE_FEATURES, boost=bo.BoostParams(max_iter=2))
+    out = evl.hybrid_validation(panel, None, split, columns=evl.BASE_FEATURES, boost=bt.TreeParams(rounds=2))
     assert out.count() == 365
     err = out.agg(F.avg(F.abs(F.col("actual") - F.col("pred")))).collect()[0][0]
     assert err < 5

@@ -1,8 +1,7 @@
-"""Boosted residual learner on Spark ML.
+"""One boosted model over rows of any number of series, on Spark ML.
 
-Differs from the two external boosting libraries: one gradient-boosted model is trained on all series together by
-``GBTRegressor``, which distributes the split search over the cluster. Missing values at prediction time are
-sent to the lowest bin, as a learner does that treats missing as the minimum.
+``GBTRegressor`` distributes the split search over the cluster, at the price of several Spark jobs a round whatever the data size; ``boosting`` fits one model per
+series instead. Missing values at prediction time are sent to the lowest bin, as a learner does that treats missing as the minimum.
 """
 
 from __future__ import annotations
@@ -12,10 +11,9 @@ from dataclasses import dataclass
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from tidecast.fixed_values import ALL_FEATURES
-from tidecast.operators.spine import KEYS
 
 MISSING = -1e15
 
@@ -84,30 +82,3 @@ def feature_importance(spark, model: PipelineModel) -> DataFrame:
     rows = [(c, float(w)) for c, w in zip(columns, weights)]
     out = spark.createDataFrame(rows, "feature STRING, importance DOUBLE")
     return out.orderBy(F.col("importance").desc(), "feature")
-
-
-def permutation_importance(model: PipelineModel, features: DataFrame, label: str, columns=ALL_FEATURES, seed: int = 42,
-                           keys=KEYS) -> DataFrame:
-    """Rise in mean absolute error when one feature is shuffled among the days of its series.
-
-    Stands in for per-row tree attributions. Every row is emitted once per feature; the shuffled value comes from the row
-    holding the same place in a seeded hash order. Both orders and the join that pairs them are keyed by
-    (keys, feature), so one layout serves them, and one scoring pass covers all features.
-    """
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("own")) for c in columns])
-    wide = features.where(F.col(label).isNotNull()).withColumn("_row", F.struct(
-        *[F.col(c).cast("double").alias(c) for c in columns]))
-    long = wide.select(*keys, "ds", F.col(label).alias("_y"), "_row", F.explode(cells).alias("_c")).select(
-        *keys, "ds", "_y", "_row", "_c.feature", "_c.own")
-    part = W.partitionBy(*keys, "feature")
-    drawn = F.row_number().over(part.orderBy(F.xxhash64("ds", "feature", F.lit(seed)), "ds"))
-    placed = long.withColumn("_k", F.row_number().over(part.orderBy("ds"))).withColumn("_h", drawn)
-    donor = placed.select(*keys, "feature", F.col("_h").alias("_k"), F.coalesce("own", F.lit(MISSING)).alias("_v"))
-    swapped = placed.join(donor, [*keys, "feature", "_k"])
-    tried = swapped.select("feature", "_y", *[
-        F.when(F.col("feature") == c, F.col("_v")).otherwise(F.col("_row")[c]).alias(c) for c in columns])
-    base = gbt_predict(model, features.where(F.col(label).isNotNull()), columns)
-    mae = base.agg(F.avg(F.abs(F.col(label) - F.col("residual_pred"))).alias("base_mae"))
-    out = gbt_predict(model, tried, columns).groupBy("feature").agg(
-        F.avg(F.abs(F.col("_y") - F.col("residual_pred"))).alias("permuted_mae"))
-    return out.crossJoin(F.broadcast(mae)).withColumn("delta_mae", F.col("permuted_mae") - F.col("base_mae"))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import random
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F, types as T
@@ -11,7 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 from tidecast.fixed_values import (ALL_FEATURES, BASE_FEATURES, CALENDAR_EXTRA_FEATURES, EXOG_FEATURES)
 from tidecast.functions.calendar import promo_flag_by_day_of_year
 from tidecast.functions.scalars import pct_change, ratio
-from tidecast.operators.boosted import (SAMPLED, SHALLOW, BoostParams, gbt_fit, gbt_predict, training_rows)
+from tidecast.operators.boosting import (SAMPLED_TREES, SHALLOW_TREES, TreeParams, fit_settings, fit_trees, predict_trees)
 from tidecast.operators.features import exog_lags, future_safe_features, with_exog
 from tidecast.operators.forecasting import (clipped_ratio, cogs_from_ratio, forecast_metrics, metric_columns)
 from tidecast.operators.recursive import recursive_forecast
@@ -48,28 +46,29 @@ def hybrid_features(state: DataFrame, keys=KEYS) -> DataFrame:
 
 def hybrid_validation(panel: DataFrame, exog: DataFrame | None, split: dict, target: str = "revenue",
                       structural: StructuralParams = StructuralParams(), columns=ALL_FEATURES,
-                      boost: BoostParams = SHALLOW, keys=KEYS) -> DataFrame:
+                      boost: TreeParams = SHALLOW_TREES, keys=KEYS) -> DataFrame:
     """(keys, ds, actual, structural_pred, pred) over the validation year: structural model plus residual learner."""
     state = model_state(panel, exog, split["train_end"], split["val_end"], target, structural, keys)
     feats = cut_lineage(hybrid_features(state, keys))
     train = feats.where(F.col("ds") <= F.to_date(F.lit(split["train_end"])))
-    model = gbt_fit(train, "residual", columns, boost)
-    scored = gbt_predict(model, between(feats, split["val_start"], split["val_end"]), columns)
+    trees = fit_trees(train, "residual", columns, boost, keys)
+    scored = predict_trees(trees, between(feats, split["val_start"], split["val_end"]), keys)
     return scored.select(*keys, "ds", "actual", "structural_pred",
                          (F.col("structural_pred") + F.col("residual_pred")).alias("pred"))
 
 
 def full_forecast(panel: DataFrame, exog: DataFrame, split: dict, structural: StructuralParams = StructuralParams(),
-                  boost: BoostParams = SHALLOW, keys=KEYS) -> DataFrame:
+                  boost: TreeParams = SHALLOW_TREES, keys=KEYS) -> DataFrame:
     """The whole pipeline: fit, patch the validation year, recurse over the horizon, derive cost from the ratio."""
     state = cut_lineage(model_state(panel, exog, split["train_end"], split["test_end"], "revenue", structural, keys))
     feats = hybrid_features(state, keys)
-    model = gbt_fit(feats.where(F.col("ds") <= F.to_date(F.lit(split["train_end"]))), "residual", ALL_FEATURES, boost)
+    train = feats.where(F.col("ds") <= F.to_date(F.lit(split["train_end"])))
+    trees = cut_lineage(fit_trees(train, "residual", ALL_FEATURES, boost, keys))
     last_actual = F.date_sub(F.to_date(F.lit(split["test_start"])), 1)
     patched = state.withColumn("residual", F.when(
         F.col("ds") <= last_actual, F.coalesce(F.col("actual") - F.col("structural_pred"), F.col("residual")))
         .otherwise(F.col("residual")))
-    fc = recursive_forecast(patched, lambda f: gbt_predict(model, f), split["test_start"], split["test_end"], keys)
+    fc = recursive_forecast(patched, lambda f: predict_trees(trees, f, keys), split["test_start"], split["test_end"], keys)
     out = cogs_from_ratio(fc.withColumnRenamed("forecast", "revenue_pred"), panel, split["val_end"], keys=keys)
     return out.select(*keys, "ds", F.col("revenue_pred").alias("revenue"), F.col("cogs_pred").alias("cogs"))
 
@@ -89,20 +88,21 @@ def expanding_folds(df: DataFrame, n_splits: int = 3, keys=KEYS) -> DataFrame:
     return df.withColumn("fold", fold.cast("int"))
 
 
-def expanding_cv(features: DataFrame, label: str = "residual", columns=ALL_FEATURES, boost: BoostParams = SHALLOW,
+def fold_rows(features: DataFrame, label: str = "residual", n_splits: int = 3, columns=ALL_FEATURES, keys=KEYS) -> DataFrame:
+    """Every complete row once per fold that uses it: trains fold k if its block is lower (``held_out`` false), is judged by the fold of its own block."""
+    folded = expanding_folds(features.dropna(subset=[*columns, label]), n_splits, keys).withColumnRenamed("fold", "_block")
+    return (folded.withColumn("fold", F.explode(F.sequence(F.greatest("_block", F.lit(1)), F.lit(n_splits))))
+            .withColumn("held_out", F.col("fold") == F.col("_block")).drop("_block"))
+
+
+def expanding_cv(features: DataFrame, label: str = "residual", columns=ALL_FEATURES, boost: TreeParams = SAMPLED_TREES,
                  n_splits: int = 3, keys=KEYS) -> DataFrame:
-    """Per fold error of the residual learner, plus a ``mean``/``std`` row pair."""
-    folded = cut_lineage(expanding_folds(training_rows(features, label, columns), n_splits, keys))
-    parts = []
-    for k in range(1, n_splits + 1):
-        model = gbt_fit(folded.where(F.col("fold") < k), label, columns, boost)
-        scored = gbt_predict(model, folded.where(F.col("fold") == k), columns)
-        parts.append(scored.select(F.lit(str(k)).alias("fold"), F.col(label).alias("y"),
-                                   F.col("residual_pred").alias("pred")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    per_fold = forecast_metrics(rows, by=("fold",)).select("fold", "mae", "r2")
+    """Per fold error of the residual learner, plus a ``mean``/``std`` row pair. All folds of all series are fitted in one job."""
+    rows = cut_lineage(fold_rows(features, label, n_splits, columns, keys))
+    trees = fit_trees(rows.where(~F.col("held_out")), label, columns, boost, ("fold", *keys))
+    scored = predict_trees(trees, rows.where("held_out"), ("fold", *keys)).withColumn("fold", F.col("fold").cast("string"))
+    per_fold = forecast_metrics(scored, label, "residual_pred", by=("fold",)).select("fold", "mae", "r2")
+    per_fold = cut_lineage(per_fold)
     total = per_fold.agg(F.avg("mae").alias("m"), F.stddev_samp("mae").alias("s"), F.avg("r2").alias("mr"),
                          F.stddev_samp("r2").alias("sr"))
     mean = total.select(F.lit("mean").alias("fold"), F.col("m").alias("mae"), F.col("mr").alias("r2"))
@@ -130,22 +130,27 @@ def backtest_naive(panel: DataFrame, folds: list[dict], target: str = "revenue",
                             target, "pred", by=("fold", *keys))
 
 
-def backtest(panel: DataFrame, exog: DataFrame, folds: list[dict], boost: BoostParams = SAMPLED,
+def backtest(panel: DataFrame, exog: DataFrame, folds: list[dict], boost: TreeParams = SAMPLED_TREES,
              structural: StructuralParams = StructuralParams(), keys=KEYS) -> DataFrame:
     """Fixed architecture on every fold: (fold, target, errors, improvement over last year's value, % loss days).
 
-    Folds run one after the other, each with structural models of its own; the residual learner is pooled per fold, and later
+    Folds are one more key of the residual models, which are fitted in one job. Only the recursion runs fold by fold, as the years differ; later
     years of a fold read predicted residuals, never actual ones.
     """
+    by = ("fold", *keys)
+    parts = [model_state(panel.where(F.col("ds") <= f["val_end"]), exog, f["train_end"], f["val_end"], "revenue", structural, keys)
+             .withColumn("fold", F.lit(f["name"])) for f in folds]
+    states = parts[0]
+    for p in parts[1:]:
+        states = states.unionByName(p)
+    states = cut_lineage(states)
+    trees = cut_lineage(fit_trees(hybrid_features(states, by), "residual", ALL_FEATURES, boost, by))
     parts = []
     for f in folds:
-        state = cut_lineage(model_state(panel.where(F.col("ds") <= f["val_end"]), exog, f["train_end"], f["val_end"],
-                                        "revenue", structural, keys))
-        feats = hybrid_features(state, keys)
-        model = gbt_fit(feats.where(F.col("ds") <= F.to_date(F.lit(f["train_end"]))), "residual", ALL_FEATURES, boost)
-        fc = recursive_forecast(state, lambda x, m=model: gbt_predict(m, x), f["val_start"], f["val_end"], keys)
+        own = F.col("fold") == f["name"]
+        fc = recursive_forecast(states.where(own), lambda x, m=trees.where(own): predict_trees(m, x, by), f["val_start"], f["val_end"], by)
         fc = cogs_from_ratio(fc.withColumnRenamed("forecast", "revenue_pred"), panel, f["train_end"], keys=keys)
-        parts.append(fc.select(F.lit(f["name"]).alias("fold"), *keys, "ds", "revenue_pred", "cogs_pred"))
+        parts.append(fc.select("fold", *keys, "ds", "revenue_pred", "cogs_pred"))
     preds = parts[0]
     for p in parts[1:]:
         preds = preds.unionByName(p)
@@ -217,8 +222,8 @@ def ratio_structural(panel: DataFrame, split: dict, structural: StructuralParams
     return structural_predict(coef, days, structural, keys, "ratio_pred", "_trend").drop("_trend")
 
 
-def architecture_predictions(panel: DataFrame, exog: DataFrame, split: dict, boost: BoostParams = SAMPLED,
-                             shallow: BoostParams = SHALLOW, keys=KEYS) -> DataFrame:
+def architecture_predictions(panel: DataFrame, exog: DataFrame, split: dict, boost: TreeParams = SAMPLED_TREES,
+                             shallow: TreeParams = SHALLOW_TREES, keys=KEYS) -> DataFrame:
     """(model, keys, ds, revenue_pred, cogs_pred) of eleven architectures on one split."""
     plain = StructuralParams(mode="additive").without_promos()
     promo = StructuralParams(mode="additive")
@@ -262,8 +267,8 @@ def architecture_predictions(panel: DataFrame, exog: DataFrame, split: dict, boo
     return out
 
 
-def model_comparison(panel: DataFrame, exog: DataFrame, split: dict, boost: BoostParams = SAMPLED,
-                     shallow: BoostParams = SHALLOW, keys=KEYS) -> DataFrame:
+def model_comparison(panel: DataFrame, exog: DataFrame, split: dict, boost: TreeParams = SAMPLED_TREES,
+                     shallow: TreeParams = SHALLOW_TREES, keys=KEYS) -> DataFrame:
     preds = architecture_predictions(panel, exog, split, boost, shallow, keys)
     return comparison_metrics(preds.join(panel.select(*keys, "ds", "revenue", "cogs"), [*keys, "ds"]))
 
@@ -290,53 +295,80 @@ def ablation_features(state: DataFrame, keys=KEYS) -> DataFrame:
     return future_safe_features(extra, keys, keep=keep)
 
 
-def feature_ablation(features: DataFrame, split: dict, sets: dict | None = None, boost: BoostParams = SAMPLED) -> DataFrame:
-    """Validation error of each feature set against the base set; keep at −0.5 % or better, drop above +0.5 %."""
+def feature_ablation(features: DataFrame, split: dict, sets: dict | None = None, boost: TreeParams = SAMPLED_TREES, keys=KEYS) -> DataFrame:
+    """Validation error of each feature set against the base set; keep at −0.5 % or better, drop above +0.5 %. All sets are fitted in one job."""
     sets = sets or candidate_sets()
     features = cut_lineage(features)
     train = features.where(F.col("ds") <= F.to_date(F.lit(split["train_end"])))
-    val = between(features, split["val_start"], split["val_end"])
-    parts = []
-    for name, extra in sets.items():
-        columns = (*BASE_FEATURES, *extra)
-        scored = gbt_predict(gbt_fit(train, "residual", columns, boost), val, columns)
-        parts.append(scored.select(F.lit(name).alias("config"), F.col("actual").alias("y"),
-                                   (F.col("structural_pred") + F.col("residual_pred")).alias("pred")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    m = forecast_metrics(rows, by=("config",)).select("config", "mae", "r2")
+    trees = fit_settings(train, "residual", {name: ((*BASE_FEATURES, *extra), boost) for name, extra in sets.items()}, keys)
+    val = between(features, split["val_start"], split["val_end"]).withColumn("setting", F.explode(F.array(*map(F.lit, sets))))
+    scored = predict_trees(trees, val, ("setting", *keys))
+    rows = scored.select(F.col("setting").alias("config"), F.col("actual").alias("y"), (F.col("structural_pred") + F.col("residual_pred")).alias("pred"))
+    m = cut_lineage(forecast_metrics(rows, by=("config",)).select("config", "mae", "r2"))
     base = m.where(F.col("config") == next(iter(sets))).select(F.col("mae").alias("_base"))
     out = m.crossJoin(F.broadcast(base)).withColumn("delta_mae_pct", pct_change(F.col("mae"), F.col("_base"))).drop("_base")
     delta = F.col("delta_mae_pct")
     return out.withColumn("verdict", F.when(delta <= -0.5, "keep").when(delta > 0.5, "drop").otherwise("neutral"))
 
 
-def sample_params(n_trials: int, seed: int = 42, max_iter: int = 300) -> list[BoostParams]:
-    """Seeded random draws over the learner's ranges (uniform draws, no adaptive sampler)."""
-    rng = random.Random(seed)
-    return [BoostParams(max_iter=max_iter, step_size=round(10 ** rng.uniform(-2, -1), 4), max_depth=rng.randint(3, 7),
-                        min_instances=rng.randint(10, 60), subsample=round(rng.uniform(0.6, 1.0), 2),
-                        feature_subset=str(round(rng.uniform(0.6, 1.0), 2)), seed=seed) for _ in range(n_trials)]
+#: Axes of the search: (lowest, highest, on a logarithmic scale, whole numbers). Depth stands for the depth and the number of leaves of a tree.
+SEARCH_AXES = {"step": (0.01, 0.1, True, False), "depth": (3, 6, False, True), "min_leaf": (10, 60, False, True), "row_share": (0.6, 1.0, False, False),
+               "column_share": (0.6, 1.0, False, False), "l1": (1e-3, 10.0, True, False), "l2": (1e-3, 10.0, True, False)}
+#: Rungs of the search: new trials and the rounds every trial of the rung may use.
+RUNGS = ((20, 120), (15, 350), (15, 1000))
+SURVIVORS = 1 / 3
 
 
-def param_search(features: DataFrame, label: str = "residual", columns=ALL_FEATURES, n_trials: int = 50,
-                 max_iter: int = 300, n_splits: int = 3, seed: int = 42, keys=KEYS) -> DataFrame:
-    """Mean absolute error over expanding folds for each sampled setting, best first."""
-    folded = cut_lineage(expanding_folds(training_rows(features, label, columns), n_splits, keys))
-    parts = []
-    for i, p in enumerate(sample_params(n_trials, seed, max_iter)):
-        for k in range(1, n_splits + 1):
-            scored = gbt_predict(gbt_fit(folded.where(F.col("fold") < k), label, columns, p),
-                                 folded.where(F.col("fold") == k), columns)
-            parts.append(scored.select(
-                F.lit(i).alias("trial"), F.lit(k).alias("fold"), F.lit(p.step_size).alias("step_size"),
-                F.lit(p.max_depth).alias("max_depth"), F.lit(p.min_instances).alias("min_instances"),
-                F.lit(p.subsample).alias("subsample"), F.lit(p.feature_subset).alias("feature_subset"),
-                F.abs(F.col(label) - F.col("residual_pred")).alias("_e")))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    settings = ["trial", "step_size", "max_depth", "min_instances", "subsample", "feature_subset"]
-    per_fold = rows.groupBy(*settings, "fold").agg(F.avg("_e").alias("_m"))
-    return per_fold.groupBy(*settings).agg(F.avg("_m").alias("cv_mae")).orderBy("cv_mae", "trial")
+def trial_params(point: np.ndarray, rounds: int, patience: int = 50, seed: int = 42) -> TreeParams:
+    """Parameters at a point of the unit cube, one coordinate per axis."""
+    chosen = {}
+    for u, (name, (low, high, logarithmic, whole)) in zip(point, SEARCH_AXES.items()):
+        value = low * (high / low) ** u if logarithmic else low + (high - low) * u
+        chosen[name] = min(high, int(low + (high - low + 1) * u)) if whole else round(float(value), 6)
+    return TreeParams(rounds=rounds, patience=patience, seed=seed, bins=64, **chosen)
+
+
+def propose(points: np.ndarray, losses: np.ndarray, rng: np.random.Generator, candidates: int = 24, best_share: float = 0.25) -> np.ndarray:
+    """The candidate with the greatest ratio of the density of good trials to that of the others, per-axis normal kernels around each trial."""
+    order = np.argsort(losses, kind="stable")
+    n = max(2, round(len(points) * best_share))
+    good, rest = points[order[:n]], points[order[n:]]
+    width = lambda p: np.clip(p.std(0) * len(p) ** -0.2, 0.05, 0.5)
+
+    def log_density(x: np.ndarray, p: np.ndarray) -> np.ndarray:
+        k = np.exp(-((x[:, None, :] - p[None]) / width(p)) ** 2 / 2) / width(p)
+        return np.log(k.mean(1) + 1e-12).sum(1)
+
+    drawn = good[rng.integers(0, n, candidates)] + rng.normal(size=(candidates, points.shape[1])) * width(good)
+    drawn = 1 - np.abs(1 - np.abs(drawn) % 2)        # reflected at the faces of the cube
+    return drawn[np.argmax(log_density(drawn, good) - log_density(drawn, rest))]
+
+
+def param_search(features: DataFrame, label: str = "residual", columns=ALL_FEATURES, rungs=RUNGS, n_splits: int = 3, seed: int = 42, keys=KEYS) -> DataFrame:
+    """Successive halving over expanding folds, best trial first: (trial, rung, rounds, trees, cv_mae, parameters).
+
+    The first rung draws its trials evenly. Later rungs keep the best ``SURVIVORS`` of the rung before and add trials where good ones are dense. Every trial stops early on the mean
+    absolute error of each fold's test block. A rung is one Spark job with a model per (trial, fold, series); only one mean per trial comes back. ``rung``, ``rounds`` and ``trees`` tell how far a
+    trial went: its allowed rounds and the trees it kept over all folds.
+    """
+    spark = features.sparkSession
+    rows = cut_lineage(fold_rows(features, label, n_splits, columns, keys))
+    rng = np.random.default_rng(seed)
+    points, reached, alive = [], {}, []
+    for rung, (new, rounds) in enumerate(rungs, 1):
+        known = sorted(reached)
+        for _ in range(new):
+            points.append(rng.random(len(SEARCH_AXES)) if not known else propose(
+                np.array([points[t] for t in known]), np.array([-reached[t]["rung"] * 1e12 + reached[t]["cv_mae"] for t in known]), rng))
+        alive += range(len(points) - new, len(points))
+        settings = {str(t): (tuple(columns), trial_params(points[t], rounds, seed=seed)) for t in alive}
+        trees = fit_settings(rows, label, settings, ("fold", *keys), "held_out")
+        folds = trees.groupBy("setting", "fold", *keys).agg(F.count("*").alias("trees"), F.max("held_out_mae").alias("mae"))
+        means = folds.groupBy("setting").agg(F.sum("trees").alias("trees"), F.avg("mae").alias("cv_mae"))
+        for r in means.collect():
+            reached[int(r["setting"])] = {"rung": rung, "rounds": rounds, "trees": r["trees"], "cv_mae": r["cv_mae"]}
+        alive = sorted((t for t in alive if t in reached), key=lambda t: (reached[t]["cv_mae"], t))[:max(1, round(len(alive) * SURVIVORS))]
+    out = [(t, r["rung"], r["rounds"], r["trees"], r["cv_mae"], *(getattr(trial_params(points[t], r["rounds"]), a) for a in SEARCH_AXES))
+           for t, r in sorted(reached.items(), key=lambda e: (-e[1]["rung"], e[1]["cv_mae"], e[0]))]
+    kinds = ", ".join(f"{a} {'int' if whole else 'double'}" for a, (_, _, _, whole) in SEARCH_AXES.items())
+    return spark.createDataFrame(out, f"trial int, rung int, rounds int, trees bigint, cv_mae double, {kinds}")

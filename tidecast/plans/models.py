@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidecast.fixed_values import ALL_FEATURES
 from tidecast.functions import scalars as sc
-from tidecast.operators import baselines as bl, boosted as bo, evaluation as evl, forecasting as fc, recursive as rc
+from tidecast.operators import baselines as bl, boosting as bt, evaluation as evl, forecasting as fc, recursive as rc
 from tidecast.operators import structural as su
 from tidecast.operators.features import exog_lags, future_safe_features, with_exog
 from tidecast.operators.windows import lag_days
@@ -21,13 +21,6 @@ S = sc.settle
 KEYS = ["series_id"]
 VAL = "BETWEEN DATE '2000-01-01' AND DATE '2000-12-31'"
 
-# Boosting rounds of the registered queries. The library default is 300; every round costs a few Spark jobs whatever the
-# data size, so queries that fit one model use 20 rounds and queries that fit many use 10.
-ONE_FIT = replace(bo.SHALLOW, max_iter=20)
-MANY_FITS = replace(bo.SHALLOW, max_iter=10)
-MANY_SAMPLED = replace(bo.SAMPLED, max_iter=10)
-
-
 def _model_inputs(spark, sf):
     """Denoised panel and driver table, written once because several models read them."""
     return src.clean_panel_once(spark, sf), cut_lineage(src.exog(spark, sf))
@@ -107,41 +100,78 @@ def structural_predict(spark, sf):
     return su.structural_predict(coef, src.date_spine(p, end=SPLIT["test_end"]))
 
 
-def _fitted(spark, sf, boost=ONE_FIT):
+def _fitted(spark, sf, boost=bt.SHALLOW_TREES):
+    """Tree tables of all series, the feature matrix, and its training part."""
     panel, exog = _model_inputs(spark, sf)
     state = evl.model_state(panel, exog, SPLIT["train_end"], SPLIT["val_end"])
     feats = cut_lineage(evl.hybrid_features(state))
     train = feats.where(F.col("ds") <= F.to_date(F.lit(SPLIT["train_end"])))
-    return bo.gbt_fit(train, "residual", ALL_FEATURES, boost), feats, train
+    return cut_lineage(bt.fit_trees(train, "residual", ALL_FEATURES, boost)), feats, train
+
+
+# rows of the training matrix that have every feature: all lags of the residual and of the drivers
+TRAIN_ROWS = """SELECT p.series_id, p.ds FROM x_panel p JOIN x_exog e ON e.ds = p.ds - 365 JOIN x_exog f ON f.ds = p.ds - 730 """ + " ".join(
+    f"JOIN x_panel l{k} ON l{k}.series_id = p.series_id AND l{k}.ds = p.ds - {k}" for k in (364, 365, 366, 730)) + """ WHERE p.ds <= DATE '1999-12-31'
+    AND e.fill_rate IS NOT NULL AND e.days_of_supply IS NOT NULL AND e.overstock_pct IS NOT NULL AND e.sessions IS NOT NULL AND f.fill_rate IS NOT NULL AND f.sessions IS NOT NULL"""
 
 
 @query("gbt_residual_fit")
 def gbt_residual_fit(spark, sf):
     """Training error of the residual learner next to the size of the residual itself."""
-    model, _, train = _fitted(spark, sf)
-    scored = bo.gbt_predict(model, bo.training_rows(train, "residual"))
+    trees, _, train = _fitted(spark, sf)
+    scored = bt.predict_trees(trees, train.dropna(subset=[*ALL_FEATURES, "residual"]))
     return scored.groupBy("series_id").agg(
         F.count("*").alias("n"), F.avg(F.abs("residual")).alias("residual_mae"),
         F.avg(F.abs(F.col("residual") - F.col("residual_pred"))).alias("fitted_mae"))
 
 
+@query("gbt_residual_trees", f"""SELECT series_id, CAST(300 AS BIGINT) AS rounds, count(*) AS train_rows, true AS three_questions, true AS covers_all_rows, true AS error_reduced FROM ({TRAIN_ROWS}) GROUP BY 1""")
+def gbt_residual_trees(spark, sf):
+    """The fitted forest in numbers: 300 trees of three questions a series on all complete rows, and what it explains of them."""
+    trees, _, train = _fitted(spark, sf)
+    shape = trees.groupBy("series_id").agg(
+        F.count("*").alias("rounds"), F.max("train_rows").alias("train_rows"), F.bool_and(F.size("features") == 3).alias("three_questions"),
+        F.bool_and(F.aggregate("covers", F.lit(0).cast("bigint"), lambda a, x: a + x) == F.col("train_rows")).alias("covers_all_rows"))
+    scored = bt.predict_trees(trees, train.dropna(subset=[*ALL_FEATURES, "residual"]))
+    error = scored.groupBy("series_id").agg((F.avg(F.abs(F.col("residual") - F.col("residual_pred"))) < F.avg(F.abs("residual"))).alias("error_reduced"))
+    return shape.join(error, "series_id")
+
+
+SPLIT_FEATURES = ("month", "dayofweek", "is_month_end", "week_of_month", "is_even_year", "urban_expected")
+
+
+@query("boosting_first_split", f"""WITH r AS (SELECT series_id, ds, residual FROM x_naive WHERE residual IS NOT NULL AND ds <= DATE '1999-12-31'),
+    m AS (SELECT series_id, avg(residual) AS mean, count(*) AS n, var_pop(residual) * count(*) AS ss FROM r GROUP BY 1),
+    c AS (SELECT r.series_id, residual - mean AS g, unnest([{{'f': 0, 'v': month(ds)}}, {{'f': 1, 'v': isodow(ds) - 1}}, {{'f': 2, 'v': CASE WHEN last_day(ds) = ds THEN 1 ELSE 0 END}},
+        {{'f': 3, 'v': (day(ds) - 1) // 7 + 1}}, {{'f': 4, 'v': 1 - year(ds) % 2}}, {{'f': 5, 'v': CASE WHEN month(ds) IN (7, 8) AND year(ds) % 2 = 1 THEN 1 ELSE 0 END}}], recursive := true) FROM r JOIN m USING (series_id)),
+    b AS (SELECT series_id, f, v, sum(g) AS g, count(*) AS n FROM c GROUP BY 1, 2, 3),
+    s AS (SELECT *, sum(g) OVER o AS lg, sum(n) OVER o AS ln, lead(v) OVER (PARTITION BY series_id, f ORDER BY v) AS next FROM b WINDOW o AS (PARTITION BY series_id, f ORDER BY v)),
+    k AS (SELECT s.series_id, f, (v + next) / 2 AS cut, round((lg * lg / (ln + 3) + lg * lg / (m.n - ln + 3)) / ss, 9) AS gain FROM s JOIN m USING (series_id) WHERE next IS NOT NULL)
+    SELECT series_id, list_extract({list(SPLIT_FEATURES)}, f + 1) AS feature, CAST(cut AS DOUBLE) AS cut, {R('gain', 6)} AS gain_share FROM k QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY gain DESC, f, cut) = 1""")
+def boosting_first_split(spark, sf):
+    """The first question of the first tree over calendar features, and the share of the variation it removes (L2 of 3)."""
+    rows = src.naive_panel(spark, sf).where(F.col("ds") <= F.to_date(F.lit(SPLIT["train_end"])))
+    rows = cut_lineage(future_safe_features(rows, keep=("residual",)).where(F.col("residual").isNotNull()))
+    trees = bt.fit_trees(rows, "residual", SPLIT_FEATURES, bt.TreeParams(rounds=1, depth=1))
+    spread = rows.groupBy("series_id").agg((F.var_pop("residual") * F.count("*")).alias("ss"))
+    return trees.join(spread, "series_id").select("series_id", F.col("features")[0].alias("feature"), F.col("cuts")[0].alias("cut"),
+                                                  S(F.col("gains")[0] / F.col("ss"), 6).alias("gain_share"))
+
+
 @query("gbt_residual_fit_early_stop")
 def gbt_residual_fit_early_stop(spark, sf):
-    """The last training year held out to stop the rounds early."""
+    """The sampled learner with the last training year held out: trees kept of up to 1000, and the held-out error."""
     panel, exog = _model_inputs(spark, sf)
     state = evl.model_state(panel, exog, SPLIT["train_end"], SPLIT["val_end"])
-    feats = cut_lineage(evl.hybrid_features(state).withColumn("held_out", F.year("ds") == 1999))
-    train = feats.where(F.col("ds") <= F.to_date(F.lit(SPLIT["train_end"])))
-    model = bo.gbt_fit(train, "residual", ALL_FEATURES, replace(bo.SAMPLED, max_iter=20), validation="held_out")
-    scored = bo.gbt_predict(model, bo.training_rows(train, "residual"))
-    return scored.groupBy("series_id", "held_out").agg(
-        F.lit(model.stages[1].getNumTrees).alias("rounds"), F.avg(F.abs(F.col("residual") - F.col("residual_pred"))).alias("mae"))
+    rows = evl.hybrid_features(state).withColumn("held_out", F.year("ds") == 1999)
+    trees = bt.fit_trees(rows, "residual", ALL_FEATURES, replace(bt.SAMPLED_TREES, rounds=1000, patience=50), held_out="held_out")
+    return trees.groupBy("series_id").agg(F.count("*").alias("trees"), F.max("train_rows").alias("train_rows"), F.max("held_out_mae").alias("held_out_mae"))
 
 
 @query("gbt_residual_predict")
 def gbt_residual_predict(spark, sf):
-    model, feats, _ = _fitted(spark, sf)
-    return bo.gbt_predict(model, feats).select("series_id", "ds", "structural_pred", "residual_pred")
+    trees, feats, _ = _fitted(spark, sf)
+    return bt.predict_trees(trees, feats).select("series_id", "ds", "structural_pred", "residual_pred")
 
 
 # --- blending, ratio, recursion ----------------------------------------------------------------
@@ -184,7 +214,7 @@ def recursive_forecast(spark, sf):
 def recursive_forecast_boosted(spark, sf):
     """The whole pipeline: denoise, structure, boosted residual, recursion, cost ratio, post-processing."""
     panel, exog = _model_inputs(spark, sf)
-    return fc.postprocess(evl.full_forecast(panel, exog, SPLIT, boost=ONE_FIT))
+    return fc.postprocess(evl.full_forecast(panel, exog, SPLIT))
 
 
 @query("patch_actual_residuals", f"""SELECT series_id, ds, {R('residual', 2)} AS residual FROM x_state""")
@@ -274,13 +304,13 @@ def backtest_naive(spark, sf):
 @query("backtest")
 def backtest(spark, sf):
     panel, exog = _model_inputs(spark, sf)
-    return evl.backtest(panel, exog, FOLDS[1:], MANY_SAMPLED)
+    return evl.backtest(panel, exog, FOLDS)
 
 
 @query("model_comparison")
 def model_comparison(spark, sf):
     panel, exog = _model_inputs(spark, sf)
-    return evl.model_comparison(panel, exog, SPLIT, MANY_SAMPLED, MANY_FITS)
+    return evl.model_comparison(panel, exog, SPLIT)
 
 
 @query("independent_cogs")
@@ -288,7 +318,7 @@ def independent_cogs(spark, sf):
     """Cost from a model of its own, against actual cost."""
     panel, _ = _model_inputs(spark, sf)
     params = su.StructuralParams(mode="additive").without_promos()
-    own = evl.hybrid_validation(panel, None, SPLIT, "cogs", params, evl.BASE_FEATURES, MANY_SAMPLED)
+    own = evl.hybrid_validation(panel, None, SPLIT, "cogs", params, evl.BASE_FEATURES, bt.SAMPLED_TREES)
     return fc.forecast_metrics(own, "actual", "pred", by=("series_id",))
 
 
@@ -306,7 +336,7 @@ def ratio_structural(spark, sf):
 def feature_ablation(spark, sf):
     panel, exog = _model_inputs(spark, sf)
     state = evl.model_state(panel, exog, SPLIT["train_end"], SPLIT["val_end"])
-    return evl.feature_ablation(evl.ablation_features(state), SPLIT, boost=MANY_SAMPLED)
+    return evl.feature_ablation(evl.ablation_features(state), SPLIT)
 
 
 @query("expanding_folds", """SELECT series_id, ds, CAST(CASE WHEN i <= n - 3 * (n // 4) THEN 0 ELSE (i - (n - 3 * (n // 4)) - 1) // (n // 4) + 1 END AS INTEGER) AS fold FROM (
@@ -316,34 +346,53 @@ def expanding_folds(spark, sf):
     return evl.expanding_folds(train).select("series_id", "ds", "fold")
 
 
-def _train_features(spark, sf):
-    panel, exog = _model_inputs(spark, sf)
+def _train_features(spark, sf, series: str | None = "p_type"):
+    panel, exog = src.clean_panel_once(spark, sf, series), cut_lineage(src.exog(spark, sf))
     state = evl.model_state(panel, exog, SPLIT["train_end"], SPLIT["val_end"])
     return evl.hybrid_features(state).where(F.col("ds") <= F.to_date(F.lit(SPLIT["train_end"])))
 
 
 @query("expanding_cv")
 def expanding_cv(spark, sf):
-    return evl.expanding_cv(_train_features(spark, sf), boost=MANY_FITS)
+    return evl.expanding_cv(_train_features(spark, sf))
 
 
 @query("param_search")
 def param_search(spark, sf):
-    """Three draws of the seeded search (the library default is fifty)."""
-    return evl.param_search(_train_features(spark, sf), n_trials=3, max_iter=5)
+    """Fifty trials over three folds of the company's residual."""
+    return evl.param_search(_train_features(spark, sf, None))
 
 
 @query("feature_importance")
 def feature_importance(spark, sf):
-    model, _, _ = _fitted(spark, sf)
-    return bo.feature_importance(spark, model)
+    """Share of the gain per series and feature."""
+    return bt.split_importance(_fitted(spark, sf)[0], ("series_id",))
 
 
 @query("permutation_importance")
 def permutation_importance(spark, sf):
-    model, feats, _ = _fitted(spark, sf)
+    trees, feats, _ = _fitted(spark, sf)
     val = evl.between(feats, SPLIT["val_start"], SPLIT["val_end"]).withColumn("label", F.col("actual") - F.col("structural_pred"))
-    return bo.permutation_importance(model, val, "label")
+    return bt.shuffled_errors(trees, val, "label")
+
+
+def _explained(spark, sf):
+    trees, feats, _ = _fitted(spark, sf)
+    return bt.shapley_values(trees, evl.between(feats, SPLIT["val_start"], SPLIT["val_end"]))
+
+
+@query("shapley_importance")
+def shapley_importance(spark, sf):
+    """Mean and mean absolute Shapley value of each feature over the validation year, all series."""
+    return bt.shapley_importance(_explained(spark, sf))
+
+
+@query("shapley_additivity", f"""SELECT series_id, count(*) AS days, true AS adds_up FROM x_panel WHERE ds {VAL} GROUP BY 1""")
+def shapley_additivity(spark, sf):
+    """Do the base value and the effects of every day add up to its prediction?"""
+    total = F.aggregate("effects", F.col("base_value"), lambda a, x: a + x)
+    return _explained(spark, sf).groupBy("series_id").agg(
+        F.count("*").alias("days"), (F.max(F.abs(total - F.col("prediction"))) <= 1e-6 * F.max(F.abs("prediction"))).alias("adds_up"))
 
 
 @query("ar_baseline")
