@@ -9,8 +9,8 @@ from hypothesis import HealthCheck, given, settings, strategies as hs
 from pyspark.sql import functions as F
 
 from tests.conftest import day, series
-from tidecast.operators import baselines as bl, denoise as dn, spine as sp, stats as st, windows as wn
-from tidecast.operators.ranks import histogram_quantiles, histogram_ranks
+from tidecast.operators import aggregates as ag, baselines as bl, denoise as dn, spine as sp, stats as st, windows as wn
+from tidecast.operators.ranks import histogram_quantiles, histogram_ranks, ranged
 from tidecast.operators.structural import StructuralParams, structural_fit, structural_predict
 
 RNG = np.random.default_rng(7)
@@ -117,11 +117,11 @@ def test_seasonal_profile_against_pandas(noisy):
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(hs.lists(hs.integers(-50, 50), min_size=1, max_size=60), hs.sampled_from([1, 3, 64]), hs.sampled_from([1, 5, 1000]))
-def test_rank_properties(spark, values, cells, per_cell):
+@given(hs.lists(hs.integers(-50, 50), min_size=1, max_size=60), hs.sampled_from([1, 3, 16]))
+def test_rank_properties(spark, values, ranges):
     df = spark.createDataFrame([("g", float(v)) for v in values], "g STRING, value DOUBLE")
     counts = df.groupBy("g", "value").agg(F.count("*").alias("n"))
-    got = histogram_ranks(counts, ["g"], cells=cells, rows_per_cell=per_cell).collect()
+    got = histogram_ranks(counts, ["g"], ranges=ranges).collect()
     want = pd.Series(values, dtype=float).rank()
     lookup = dict(zip(map(float, values), want))
     assert {r["value"]: r["avg_rank"] for r in got} == lookup
@@ -133,20 +133,35 @@ def test_hot_value_and_outlier_in_rank_histogram(spark):
     df = spark.range(9000).select(F.lit("g").alias("g"), F.when(F.col("id") % 3 == 0, 7.0).when(F.col("id") == 1, 1e12)
                                   .otherwise((F.col("id") % 997).cast("double")).alias("value"))
     counts = df.groupBy("g", "value").agg(F.count("*").alias("n"))
-    got = {r["value"]: r["avg_rank"] for r in histogram_ranks(counts, ["g"], cells=16, rows_per_cell=50).collect()}
+    got = {r["value"]: r["avg_rank"] for r in histogram_ranks(counts, ["g"], ranges=16).collect()}
     values = df.toPandas()["value"]
     want = dict(zip(values, values.rank()))
     assert got == want
 
 
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(hs.lists(hs.integers(-30, 30), min_size=1, max_size=50), hs.sampled_from([1, 4, 1024]))
-def test_exact_quantiles(spark, values, cells):
+@given(hs.lists(hs.integers(-30, 30), min_size=1, max_size=50), hs.sampled_from([1, 4, 20]))
+def test_exact_quantiles(spark, values, ranges):
     counts = spark.createDataFrame([("g", float(v)) for v in values], "g STRING, value DOUBLE").groupBy("g", "value").agg(F.count("*").alias("n"))
-    got = histogram_quantiles(counts, ["g"], {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}, cells=cells, rows_per_cell=3).collect()[0]
+    got = histogram_quantiles(counts, ["g"], {"a": 0.0, "b": 0.25, "c": 0.5, "d": 0.9, "e": 1.0}, ranges=ranges).collect()[0]
     assert [got[k] for k in "abcde"] == pytest.approx(list(np.quantile(values, [0, 0.25, 0.5, 0.9, 1])))
 
 
+@pytest.mark.parametrize("keys", [(), ("k",)])
+def test_running_share_over_many_labels(spark, keys):
+    """Thousands of labels, most of one key: no range holds a whole group."""
+    df = spark.range(4000).select(F.when(F.col("id") % 5 == 0, "small").otherwise("large").alias("k"), F.format_string("l%05d", "id").alias("label"),
+                                  (F.col("id") * 37 % 101 + 1).cast("double").alias("v"))
+    got = {r["label"]: (r["share_pct"], r["cum_pct"]) for r in ag.share_cumulative(df, "label", "v", keys).collect()}
+    pdf = df.toPandas().sort_values(["v", "label"], ascending=[False, True])
+    by = pdf["k"] if keys else pd.Series("all", pdf.index)
+    total = pdf["v"].groupby(by).transform("sum")
+    want = zip(pdf["label"], 100 * pdf["v"] / total, 100 * pdf["v"].groupby(by).cumsum() / total)
+    assert got == {label: (pytest.approx(a), pytest.approx(b)) for label, a, b in want}
+    layout = ranged(df, list(keys), [F.col("v").desc(), F.col("label")], 8).groupBy("_range").count().collect()
+    assert len(layout) == 8 and max(r["count"] for r in layout) < 4000 / 8 * 2
+
+
 def test_capped_never_above_raw_and_spine_contiguous(noisy):
     df, _ = noisy
     out = dn.cap_outliers(sp.interpolate_time(sp.fill_gaps(df), ["revenue"]), "revenue")

@@ -137,8 +137,8 @@ def test_ranks_with_ties(spark):
     assert by_window == [("g", 1.0, 1.0), ("g", 2.0, 2.5), ("g", 2.0, 2.5), ("g", 3.0, 5.0), ("g", 3.0, 5.0), ("g", 3.0, 5.0),
                          ("k", 7.0, 2.0), ("k", 7.0, 2.0), ("k", 7.0, 2.0)]
     counts = df.groupBy("g", "value").agg(F.count("*").alias("n"))
-    for cells, per in ((1, 1), (2, 1), (1024, 100)):
-        got = sorted((r["g"], r["value"], r["avg_rank"]) for r in histogram_ranks(counts, ["g"], cells=cells, rows_per_cell=per).collect())
+    for ranges in (1, 2, 40):
+        got = sorted((r["g"], r["value"], r["avg_rank"]) for r in histogram_ranks(counts, ["g"], ranges=ranges).collect())
         assert got == sorted(set(by_window))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from tidecast.functions.calendar import parity
 from tidecast.functions.scalars import ratio, strip_year
-from tidecast.operators.ranks import histogram_quantiles
+from tidecast.operators.ranks import histogram_quantiles, running_share
 from tidecast.operators.spine import KEYS
 
 
@@ -27,13 +27,10 @@ def pivot_months(df: DataFrame, value: Column, fn, keys=KEYS, ds: str = "ds", pr
 
 
 def share_cumulative(totals: DataFrame, label: str, value: str, keys=()) -> DataFrame:
-    """Share and running share in descending order, on already aggregated rows (one per label)."""
-    part = list(keys) or [F.lit(1)]
-    whole = W.partitionBy(*part)
-    down = W.partitionBy(*part).orderBy(F.col(value).desc(), label).rowsBetween(W.unboundedPreceding, 0)
-    total = F.sum(value).over(whole)
-    return totals.select(*keys, label, value, (ratio(F.col(value), total) * 100).alias("share_pct"),
-                         (ratio(F.sum(value).over(down), total) * 100).alias("cum_pct"))
+    """Share and running share in descending order, on already aggregated rows (one per label); any number of labels."""
+    down = running_share(totals.select(*keys, label, value), label, value, keys)
+    return down.select(*keys, label, value, (ratio(F.col(value), F.col("_total")) * 100).alias("share_pct"),
+                       (ratio(F.col("_running"), F.col("_total")) * 100).alias("cum_pct"))
 
 
 def argmax_row(df: DataFrame, value: str, order: str, keys=KEYS) -> DataFrame:

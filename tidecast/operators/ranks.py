@@ -1,4 +1,4 @@
-"""Average ranks with ties, on bounded groups by window and on raw rows by a distributed value histogram."""
+"""Average ranks, quantiles and running shares: by window on groups that the calendar bounds, by distributed prefix sums on raw rows."""
 
 from __future__ import annotations
 
@@ -14,69 +14,64 @@ def average_rank(x: Column, group) -> Column:
     return place + (ties - 1) / 2
 
 
-def cumulative_counts(counts: DataFrame, group, value: str = "value", n: str = "n", cells: int = 1024,
-                      rows_per_cell: int = 100_000) -> DataFrame:
-    """Adds ``before`` (rows with a smaller value in the group) and ``ties`` (rows that share the value).
+def ranged(rows: DataFrame, group, order, ranges: int | None = None) -> DataFrame:
+    """The rows in key ranges of about equal size, with the number of the range as ``_range``.
 
-    ``counts`` has one row per (group, value) or a few (one per level), so a value shared by a third of all rows is still that
-    small here. It is written out once, as several passes read it. A group of more than ``rows_per_cell`` rows is cut at ``cells`` − 1
-    quantiles of its own values, so cells are even whatever the distribution; a cell that is crowded still is cut again
-    over its own value range. Quantiles are approximate but written out, so a replayed task assigns the same cell; the
-    ranks are exact for any cut. Running counts are taken inside cells, and the totals of the earlier cells (a small table) are added back.
+    Ranges follow (group, order), so a group of any size spans as many ranges as it needs, and rows with equal keys share one. The layout is written out: a sampled boundary that a
+    replayed task chose anew would move rows between ranges.
     """
-    kept = counts.columns
-    counts = cut_lineage(counts)
-    coarse = value_cells(counts, group, value, cells, rows_per_cell)
-    crowd = coarse.groupBy(*group, "_c").agg(
-        F.min(value).alias("_lo"), F.max(value).alias("_hi"),
-        F.ceil(F.count("*") / rows_per_cell).cast("int").alias("_k"))
-    fine = coarse.join(crowd, [*group, "_c"]).withColumn("_f", _cell(F.col(value), F.col("_k")))
-    fine = fine.drop("_lo", "_hi", "_k")
-    cell = [*group, "_c", "_f"]
-    totals = fine.groupBy(*cell).agg(F.sum(n).alias("_t"))
-    # one row per cell: at most twice ``cells`` plus one per ``rows_per_cell`` distinct values
-    earlier = W.partitionBy(*group).orderBy("_c", "_f").rowsBetween(W.unboundedPreceding, -1)
-    offsets = totals.select(*cell, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"))
-    upto = F.sum(n).over(W.partitionBy(*cell).orderBy(value).rangeBetween(W.unboundedPreceding, 0))
-    ties = F.sum(n).over(W.partitionBy(*cell, value))
-    placed = fine.select("*", upto.alias("_upto"), ties.alias("ties")).join(offsets, cell)
-    return placed.select(*kept, (F.col("_before") + F.col("_upto") - F.col("ties")).alias("before"), "ties")
-
-
-def value_cells(counts: DataFrame, group, value: str, cells: int, rows_per_cell: int) -> DataFrame:
-    """Adds ``_c``, the cell of a value among the quantiles of its group; 0 in groups of at most ``rows_per_cell`` rows.
-
-    The cut points are held as blocks of about the square root of their number, so a value is compared with one cut
-    point of each block and then with those of a single block.
+    ranges = ranges or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut_lineage(rows.repartitionByRange(ranges, *group, *order).withColumn("_range", F.spark_partition_id()))
+
+
+def range_offsets(rows: DataFrame, group, total: Column) -> DataFrame:
+    """(group, _range, _before, _all): ``total`` of the group's earlier ranges and of the whole group. A group has at most one row per range here."""
+    sums = rows.groupBy(*group, "_range").agg(total.alias("_t"))
+    whole = W.partitionBy(*(group or [F.lit(1)]))
+    earlier = whole.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    return sums.select(*group, "_range", F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_before"), F.sum("_t").over(whole).alias("_all"))
+
+
+def cumulative_counts(counts: DataFrame, group, value: str = "value", n: str = "n", ranges: int | None = None) -> DataFrame:
+    """Adds ``before`` (rows with a smaller value in the group), ``ties`` (rows that share the value) and ``_size`` (rows of the group).
+
+    ``counts`` has one row per (group, value) or a few (one per level), so a value shared by a third of all rows is still that
+    small here. Running counts are taken inside key ranges, and the totals of the earlier ranges are added back: no group and no list of values is in one task.
     """
-    shares = [k / cells for k in range(1, cells)]
-    step = int(cells ** 0.5) + 1
-    cuts = (counts.groupBy(*group).agg(F.count("*").alias("_k"), F.percentile_approx(value, shares, 10 * cells).alias("_cuts"))
-            .where(F.col("_k") > rows_per_cell))
-    blocks = F.array(*[F.slice("_cuts", k + 1, step) for k in range(0, len(shares), step)])
-    cuts = cut_lineage(cuts.select(*group, blocks.alias("_blocks")))
-    x = F.col(value)
-    block = F.coalesce(F.size(F.filter("_blocks", lambda b: F.element_at(b, -1) < x)), F.lit(0))
-    within = F.coalesce(F.size(F.filter(F.get("_blocks", F.col("_b")), lambda e: e < x)), F.lit(0))
-    placed = counts.join(cuts, list(group), "left").withColumn("_b", F.greatest(block, F.lit(0)))
-    return placed.select(*counts.columns, (F.col("_b") * step + F.greatest(within, F.lit(0))).alias("_c"))
-
-
-def histogram_ranks(counts: DataFrame, group, value: str = "value", n: str = "n", **cells) -> DataFrame:
+    group = list(group)
+    placed = ranged(counts, group, [F.col(value)], ranges)
+    inside = W.partitionBy(*group, "_range")
+    upto = F.sum(n).over(inside.orderBy(value).rangeBetween(W.unboundedPreceding, 0))
+    ties = F.sum(n).over(W.partitionBy(*group, "_range", value))
+    keys = [*group, "_range"]
+    joined = placed.select("*", upto.alias("_upto"), ties.alias("ties")).join(range_offsets(placed, group, F.sum(n)), keys)
+    return joined.select(*counts.columns, (F.col("_before") + F.col("_upto") - F.col("ties")).alias("before"), "ties", F.col("_all").alias("_size"))
+
+
+def running_share(rows: DataFrame, label: str, value: str, group=(), ranges: int | None = None) -> DataFrame:
+    """Adds ``_total`` (of the group) and ``_running`` (sum down to the row, greatest value first, ties by label)."""
+    group = list(group)
+    order = [F.col(value).desc(), F.col(label)]
+    placed = ranged(rows, group, order, ranges)
+    upto = F.sum(value).over(W.partitionBy(*group, "_range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    joined = placed.withColumn("_upto", upto).join(range_offsets(placed, group, F.sum(value)), [*group, "_range"])
+    return joined.select(*rows.columns, F.col("_all").alias("_total"), (F.col("_before") + F.col("_upto")).alias("_running"))
+
+
+def histogram_ranks(counts: DataFrame, group, value: str = "value", n: str = "n", ranges: int | None = None) -> DataFrame:
     """Adds ``ties`` and the average rank of every value, from row counts (see ``cumulative_counts``)."""
-    placed = cumulative_counts(counts, group, value, n, **cells)
+    placed = cumulative_counts(counts, group, value, n, ranges)
     return placed.select(*counts.columns, "ties", (F.col("before") + (F.col("ties") + 1) / 2).alias("avg_rank"))
 
 
 def histogram_quantiles(counts: DataFrame, group, quantiles: dict[str, float], value: str = "value", n: str = "n",
-                        **cells) -> DataFrame:
+                        ranges: int | None = None) -> DataFrame:
     """Exact quantiles (linear interpolation) of groups of any size, one column per entry of ``quantiles``.
 
     Position (N − 1)·q falls between two places of the sorted rows; the values that cover those places are picked by their
     cumulative counts, so nothing is collected.
     """
-    size = counts.groupBy(*group).agg(F.sum(n).alias("_size"))
-    placed = cumulative_counts(counts, group, value, n, **cells).join(size, list(group))
+    placed = cumulative_counts(counts, group, value, n, ranges)
     first, after = F.col("before"), F.col("before") + F.col("ties")
 
     def at(place: Column) -> Column:
@@ -90,9 +85,3 @@ def histogram_quantiles(counts: DataFrame, group, quantiles: dict[str, float], v
     picked = placed.groupBy(*group).agg(*aggs)
     return picked.select(*group, *[
         (F.col(f"_l_{k}") + (F.col(f"_u_{k}") - F.col(f"_l_{k}")) * F.col(f"_w_{k}")).alias(k) for k in quantiles])
-
-
-def _cell(x: Column, k: Column) -> Column:
-    width = F.col("_hi") - F.col("_lo")
-    share = F.coalesce(F.try_divide(x - F.col("_lo"), width), F.lit(0.0))
-    return F.least(F.floor(share * k), k - 1).cast("int")

@@ -72,11 +72,11 @@ def kruskal(long: DataFrame, y: str, level: str, group, min_size: int = 2) -> Da
     return _kruskal_from_rank_sums(sums, group, min_size)
 
 
-def kruskal_rows(long: DataFrame, y: str, level: str, group, **cells) -> DataFrame:
+def kruskal_rows(long: DataFrame, y: str, level: str, group, ranges: int | None = None) -> DataFrame:
     """H on raw rows (one per order): rows are counted per value before any shuffle, then ranked by histogram."""
     rows = long.where(F.col(y).isNotNull() & F.col(level).isNotNull())
     counted = rows.groupBy(*group, F.col(y).alias("value"), level).agg(F.count("*").alias("n"))
-    ranked = histogram_ranks(counted, group, **cells)
+    ranked = histogram_ranks(counted, group, ranges=ranges)
     n, ties = F.col("n"), F.col("ties").cast("double")
     sums = ranked.groupBy(*group, level).agg(
         F.sum(n * F.col("avg_rank")).alias("_r"), F.sum(n).cast("double").alias("_n"),
