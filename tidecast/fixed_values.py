@@ -20,7 +20,7 @@ PROMO_TITLES = {
     "promo_urban_blowout": "Urban Blowout",
 }
 
-# --- lunar new year, 1995-2002 (test tables) and 2012-2024 ---------------------------------------
+# --- lunar new year as listed, 1995-2002 (test tables) and 2012-2024: what the computed calendar must give ----
 LUNAR_NEW_YEAR = (
     "1995-01-31", "1996-02-19", "1997-02-07", "1998-01-28",
     "1999-02-16", "2000-02-05", "2001-01-24", "2002-02-12",
@@ -51,7 +51,6 @@ ALL_FEATURES = (
 )
 
 # --- planning tables ----------------------------------------------------------------------------
-SAFETY_BUFFERS = {10: (83, 6.1), 15: (90, 10.3), 20: (94, 14.8)}
 BUDGET_SHARES = {"Q1": 43, "Q2": 37, "Q3": 5, "Q4": 14}
 BAND_MULTIPLIER = 1.22
 # lower bound of traffic change vs last year (%), zone, chance of a sales drop, action

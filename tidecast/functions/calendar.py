@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import date, timedelta
-
 from pyspark.sql import Column, functions as F
 
-from tidecast.fixed_values import EVENTS, LUNAR_NEW_YEAR, PROMO_EVERY_YEAR, PROMO_ODD_YEARS
+from tidecast.fixed_values import EVENTS, PROMO_EVERY_YEAR, PROMO_ODD_YEARS
+from tidecast.functions.lunar import near_lunar_new_year
 
 
 def day_number(ds: Column) -> Column:
@@ -111,12 +110,6 @@ def promo_flag_by_day_of_year(ds: Column) -> Column:
     return hit.cast("int")
 
 
-def near_dates(ds: Column, days, before: int, after: int) -> Column:
-    """Within ``before`` days ahead of, or ``after`` days behind, one of a fixed list of dates."""
-    window = sorted({date.fromisoformat(d) + timedelta(days=k) for d in days for k in range(-before, after + 1)})
-    return ds.isin(window)
-
-
 def event_flag(ds: Column, event: str, first_year: int = 0, last_year: int | None = None) -> Column:
     """Boolean membership of a day in one of the nine events.
 
@@ -130,7 +123,7 @@ def event_flag(ds: Column, event: str, first_year: int = 0, last_year: int | Non
     if event == "start_of_month":
         return F.dayofmonth(ds) <= 3
     if event == "tet":
-        return near_dates(ds, LUNAR_NEW_YEAR, 2, 7)
+        return near_lunar_new_year(ds, 2, 7)
     return in_promo(ds, event, first_year)
 
 
