@@ -84,6 +84,29 @@ def structural_fit(spark, sf):
     return coef.select("series_id", F.explode(both).alias("_p")).select("series_id", "_p.part", F.posexplode("_p.c").alias("k", "coef"))
 
 
+@query("structural_optimality", """SELECT series_id, mode, 0.0 AS trend_violation, 0.0 AS season_violation, true AS sparse FROM (SELECT DISTINCT series_id FROM x_panel)
+    CROSS JOIN (VALUES ('additive'), ('multiplicative')) m(mode)""")
+def structural_optimality(spark, sf):
+    """Gradient of both fitted forms against the pull of their priors, to six digits of the series maximum, and whether the prior zeroed slope changes."""
+    p = src.clean_panel_once(spark, sf)
+    parts = []
+    for mode in ("additive", "multiplicative"):
+        params = su.StructuralParams(mode=mode)
+        coef = cut_lineage(su.structural_fit(p, "clean_revenue", params, SPLIT["train_end"]))
+        found = su.optimality(coef, p, "clean_revenue", params, SPLIT["train_end"])
+        parts.append(found.select("series_id", F.lit(mode).alias("mode"), S(F.col("trend_violation"), 6).alias("trend_violation"),
+                                  S(F.col("season_violation"), 6).alias("season_violation"), (F.col("changes") < params.n_knots).alias("sparse")))
+    return parts[0].unionByName(parts[1])
+
+
+@query("structural_interval")
+def structural_interval(spark, sf):
+    """Prediction with the bounds of simulated trend changes over the horizon."""
+    p = src.clean_panel_once(spark, sf)
+    coef = cut_lineage(su.structural_fit(p, "clean_revenue", train_end=SPLIT["val_end"]))
+    return su.simulated_interval(coef, src.horizon(p))
+
+
 @query("structural_fit_additive")
 def structural_fit_additive(spark, sf):
     """Additive model without promotion events, scored on the validation year."""
