@@ -62,3 +62,6 @@ WARNING_ZONES = (
 
 # --- critical values of the two-variable residual unit-root test with constant (MacKinnon 2010) ---
 COINTEGRATION_CRITICAL = {"1%": -3.89644, "5%": -3.33613, "10%": -3.04445}
+# --- response surface of its p-value (MacKinnon 1994): polynomials in the statistic below and above the bend ---
+COINTEGRATION_SURFACE = {"lowest": -18.86, "bend": -2.62, "highest": 0.92,
+                         "low": (2.92, 1.5012, 0.039796), "high": (2.1945, 0.64695, -0.29198, -0.042377)}

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from tidecast.fixed_values import (ALL_FEATURES, BASE_FEATURES, CALENDAR_EXTRA_FEATURES, EXOG_FEATURES)
 from tidecast.functions.calendar import promo_flag_by_day_of_year
 from tidecast.functions.scalars import pct_change, ratio
+from tidecast.operators.arma import arma_forecast
 from tidecast.operators.boosting import (SAMPLED_TREES, SHALLOW_TREES, TreeParams, fit_settings, fit_trees, predict_trees)
 from tidecast.operators.features import exog_lags, future_safe_features, with_exog
 from tidecast.operators.forecasting import (clipped_ratio, cogs_from_ratio, forecast_metrics, metric_columns)
@@ -171,38 +171,6 @@ def backtest(panel: DataFrame, exog: DataFrame, folds: list[dict], boost: TreePa
 
 # --- comparison --------------------------------------------------------------------------------
 
-def ar_baseline(panel: DataFrame, col: str, train_end: str, horizon_end: str, order: int = 5, keys=KEYS) -> DataFrame:
-    """Autoregression on first differences, extended recursively; no moving-average terms.
-
-    Differs from a full maximum-likelihood fit: coefficients are least squares on ``order`` lagged differences.
-    """
-    train = panel.where((F.col("ds") <= F.to_date(F.lit(train_end))) & F.col(col).isNotNull())
-    fields = [f for f in panel.schema.fields if f.name in keys]
-    schema = T.StructType([*fields, T.StructField("ds", T.DateType()), T.StructField("pred", T.DoubleType())])
-
-    def extend(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("ds")
-        y = pdf["y"].to_numpy()
-        steps = pd.date_range(pdf["ds"].iloc[-1], horizon_end)[1:]
-        d = np.diff(y)
-        if len(d) <= 2 * order:
-            path = np.zeros(len(steps))
-        else:
-            lagged = np.column_stack([d[order - k - 1:-k - 1] for k in range(order)])
-            phi = np.linalg.lstsq(lagged, d[order:], rcond=None)[0]
-            recent = list(d[-1:-order - 1:-1])
-            path = np.empty(len(steps))
-            for i in range(len(steps)):
-                path[i] = float(np.dot(phi, recent))
-                recent = [path[i], *recent[:-1]]
-        out = pd.DataFrame({"ds": steps.date, "pred": y[-1] + np.cumsum(path)})
-        for name, value in zip(keys, group):
-            out[name] = value
-        return out[schema.names]
-
-    return train.select(*keys, "ds", F.col(col).cast("double").alias("y")).groupBy(*keys).applyInPandas(extend, schema)
-
-
 def comparison_metrics(preds: DataFrame) -> DataFrame:
     """``preds``: (model, ds, revenue, cogs, revenue_pred, cogs_pred) -> one row of metrics per model."""
     r, c, rp, cp = (F.col(x) for x in ("revenue", "cogs", "revenue_pred", "cogs_pred"))
@@ -240,7 +208,7 @@ def architecture_predictions(panel: DataFrame, exog: DataFrame, split: dict, boo
         return tag(name, out, "revenue_pred", F.col("cogs_pred"))
 
     naive = val(panel.select(*cols, lag_days(F.col("revenue"), 365, keys).alias("pred")))
-    ar = ar_baseline(panel, "revenue", split["train_end"], split["val_end"], keys=keys)
+    ar = arma_forecast(panel, "revenue", split["train_end"], split["val_end"], keys=keys)
     only = val(model_state(panel, None, split["train_end"], split["val_end"], "revenue", plain, keys))
     base = hybrid_validation(panel, None, split, "revenue", plain, BASE_FEATURES, boost, keys)
     own_cost = hybrid_validation(panel, None, split, "cogs", plain, BASE_FEATURES, boost, keys)

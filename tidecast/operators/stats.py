@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from math import ceil, erfc, sqrt
 
-from tidecast.fixed_values import COINTEGRATION_CRITICAL
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F, types as T
+
+from tidecast.fixed_values import COINTEGRATION_CRITICAL, COINTEGRATION_SURFACE
 from tidecast.functions.scalars import correlation, ratio
 from tidecast.functions.tails import chi_square_p, correlation_p, normal_p
 from tidecast.operators.ranks import average_rank, histogram_ranks
@@ -155,6 +159,65 @@ def cointegration(df: DataFrame, y: str = "revenue", x: str = "cogs", keys=KEYS)
     return out.withColumn("is_cointegrated", F.col("t_stat") < COINTEGRATION_CRITICAL["5%"])
 
 
+def nested_errors(gram: np.ndarray) -> np.ndarray:
+    """Residual sums of squares of the regressions of the last column on the first 1, 2, … columns, from one factorisation of their Gram matrix."""
+    low = np.linalg.cholesky(gram + 1e-12 * np.trace(gram) / len(gram) * np.eye(len(gram)))
+    return gram[-1, -1] - np.cumsum(low[-1, :-1] ** 2)
+
+
+def unit_root(e: np.ndarray, max_lag: int | None = None) -> tuple[int, int, float]:
+    """(lag, rows, statistic) of a unit-root test without constant whose number of lagged differences has the lowest information criterion."""
+    n = len(e)
+    most = max_lag if max_lag is not None else min(ceil(12 * (n / 100) ** 0.25), n // 2 - 1)
+    d = np.diff(e)
+
+    def design(lag: int) -> np.ndarray:
+        return np.column_stack([e[lag:-1], *(d[lag - k:len(d) - k] for k in range(1, lag + 1)), d[lag:]])
+
+    x = design(most)
+    rss = nested_errors(x.T @ x)
+    criterion = len(x) * np.log(np.maximum(rss, 1e-300) / len(x)) + 2 * np.arange(1, len(rss) + 1)
+    lag = int(np.argmin(criterion))
+    x = design(lag)
+    gram = x.T @ x
+    inverse = np.linalg.pinv(gram[:-1, :-1])
+    beta = inverse @ gram[:-1, -1]
+    error = gram[-1, -1] - beta @ gram[:-1, -1]
+    return lag, len(x), float(beta[0] / np.sqrt(error / (len(x) - lag - 1) * inverse[0, 0]))
+
+
+def cointegration_auto(df: DataFrame, y: str = "revenue", x: str = "cogs", keys=KEYS) -> DataFrame:
+    """(keys, lag, n, t_stat, p_value, is_cointegrated): residual unit-root test with the number of lags chosen by information criterion.
+
+    All shorter regressions come from one factorisation of the Gram matrix of the longest. The p-value is the published response surface for two series with constant.
+    """
+    whole = W.partitionBy(*keys)
+    slope, intercept = F.regr_slope(y, x).over(whole), F.regr_intercept(y, x).over(whole)
+    rows = df.where(F.col(y).isNotNull() & F.col(x).isNotNull()).select(*keys, "ds", (F.col(y) - (slope * F.col(x) + intercept)).alias("_e"))
+    schema = T.StructType([*(df.schema[k] for k in keys), *T._parse_datatype_string("lag int, n bigint, t_stat double, p_value double").fields])
+
+    def test(key: tuple, table: pa.Table) -> pa.Table:
+        e = table.sort_by("ds").column("_e").to_numpy()
+        flat = len(e) < 12 or np.abs(e).max() <= 1e-9
+        lag, n, t = (None, len(e), None) if flat else unit_root(e)
+        values = [*([k.as_py()] for k in key), [lag], [n], [t], [None if flat else surface_p(t)]]
+        kinds = [*(table.schema.field(k).type for k in keys), pa.int32(), pa.int64(), pa.float64(), pa.float64()]
+        return pa.Table.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], schema.names)
+
+    out = rows.groupBy(*keys).applyInArrow(test, schema)
+    return out.withColumn("is_cointegrated", F.col("p_value") < 0.05)
+
+
+def surface_p(t: float) -> float:
+    """Probability of a lower statistic without cointegration, by polynomials under the normal distribution."""
+    if t > COINTEGRATION_SURFACE["highest"]:
+        return 1.0
+    if t < COINTEGRATION_SURFACE["lowest"]:
+        return 0.0
+    powers = COINTEGRATION_SURFACE["low" if t <= COINTEGRATION_SURFACE["bend"] else "high"]
+    return erfc(-sum(c * t ** k for k, c in enumerate(powers)) / sqrt(2)) / 2
+
+
 def seasonal_decompose(df: DataFrame, col: str, period: int = 365, keys=KEYS) -> DataFrame:
     """Trend, seasonal and residual parts.
 

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from tidecast.fixed_values import ALL_FEATURES
 from tidecast.functions import scalars as sc
-from tidecast.operators import baselines as bl, boosting as bt, evaluation as evl, forecasting as fc, recursive as rc
+from tidecast.operators import arma as am, baselines as bl, boosting as bt, evaluation as evl, forecasting as fc, recursive as rc
 from tidecast.operators import structural as su
 from tidecast.operators.features import exog_lags, future_safe_features, with_exog
-from tidecast.operators.windows import lag_days
+from tidecast.operators.windows import lag_days, shift_rows
 from tidecast.plans import inputs as src
 from tidecast.plans.registry import query, settled as R
 from tidecast.session import cut_lineage
@@ -420,6 +420,20 @@ def shapley_additivity(spark, sf):
 
 @query("ar_baseline")
 def ar_baseline(spark, sf):
+    """Forecast of the validation year by five autoregressive and two moving-average terms on differences."""
     panel = src.panel_once(spark, sf)
-    pred = evl.ar_baseline(panel, "revenue", SPLIT["train_end"], SPLIT["val_end"])
+    pred = am.arma_forecast(panel, "revenue", SPLIT["train_end"], SPLIT["val_end"])
     return pred.join(panel.select("series_id", "ds", F.col("revenue").alias("y")), ["series_id", "ds"])
+
+
+@query("ar_baseline_days", f"""SELECT series_id, count(*) AS days, count(*) AS forecasts, true AS below_spread FROM x_panel WHERE ds {VAL} GROUP BY 1""")
+def ar_baseline_days(spark, sf):
+    """Every day of the validation year has a forecast, and the one-step deviation is below that of the differences themselves."""
+    panel = src.panel_once(spark, sf)
+    pred = am.arma_forecast(panel, "revenue", SPLIT["train_end"], SPLIT["val_end"])
+    val = evl.between(panel, SPLIT["val_start"], SPLIT["val_end"]).join(pred, ["series_id", "ds"], "left")
+    counts = val.groupBy("series_id").agg(F.count("*").alias("days"), F.count("pred").alias("forecasts"))
+    train = panel.where(F.col("ds") <= F.to_date(F.lit(SPLIT["train_end"]))).withColumn("d", F.col("revenue") - shift_rows(F.col("revenue"), 1))
+    spread = train.groupBy("series_id").agg(F.stddev_pop("d").alias("spread"))
+    fit = am.arma_coefficients(panel, "revenue", SPLIT["train_end"])
+    return counts.join(fit, "series_id").join(spread, "series_id").select("series_id", "days", "forecasts", (F.col("sigma") < F.col("spread")).alias("below_spread"))

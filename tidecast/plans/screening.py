@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidecast.fixed_values import EVENTS, LUNAR_NEW_YEAR, PROMO_EVERY_YEAR, PROMO_ODD_YEARS
 from tidecast.functions import calendar as cal, scalars as sc
-from tidecast.operators import denoise as dn, events as ev, spine as sp, stats as st, windows as wn
+from tidecast.operators import denoise as dn, events as ev, smoothing as sm, spine as sp, stats as st, windows as wn
 from tidecast.operators.aggregates import argmax_row
 from tidecast.operators.features import exog_lags, with_exog
 from tidecast.plans import inputs as src
@@ -222,6 +222,12 @@ def cointegration(spark, sf):
     return out.select("series_id", "n", S(F.col("rho"), 6).alias("rho"), S(F.col("t_stat"), 4).alias("t_stat"), "is_cointegrated")
 
 
+@query("cointegration_auto")
+def cointegration_auto(spark, sf):
+    """Chosen lag, statistic and p-value of revenue against cost."""
+    return st.cointegration_auto(src.panel(spark, sf))
+
+
 DECOMPOSE = """WITH t AS (SELECT *, CASE WHEN count(revenue) OVER w >= 365 THEN avg(revenue) OVER w END AS trend FROM x_panel
       WINDOW w AS (PARTITION BY series_id ORDER BY ds ROWS BETWEEN 182 PRECEDING AND 182 FOLLOWING)),
     d AS (SELECT *, revenue - trend AS de FROM t),
@@ -240,6 +246,27 @@ def seasonal_share(spark, sf):
     return out.select("series_id", S(F.col("seasonal_share_pct"), 4).alias("seasonal_share_pct"))
 
 
+@query("seasonal_decompose_robust")
+def seasonal_decompose_robust(spark, sf):
+    """Trend, season and remainder by locally weighted regression, and the weight of each day."""
+    return sm.robust_decompose(src.panel(spark, sf), "revenue")
+
+
+@query("robust_decompose_adds_up", """SELECT series_id, count(*) AS days, true AS adds_up, true AS weighed FROM x_panel GROUP BY 1""")
+def robust_decompose_adds_up(spark, sf):
+    """The three parts add up on every day, and weights lie between zero and one."""
+    out = sm.robust_decompose(src.panel(spark, sf), "revenue")
+    gap = F.abs(F.col("revenue") - F.col("trend") - F.col("seasonal") - F.col("residual"))
+    return out.groupBy("series_id").agg(F.count("trend").alias("days"), (F.max(gap) < 1e-6 * F.max(F.abs("revenue"))).alias("adds_up"),
+                                        F.bool_and(F.col("weight").between(0, 1)).alias("weighed"))
+
+
+@query("seasonal_share_robust")
+def seasonal_share_robust(spark, sf):
+    """Share of the variance of revenue that the robust season holds."""
+    return st.seasonal_share(sm.robust_decompose(src.panel(spark, sf), "revenue"), "revenue")
+
+
 # --- denoising ---------------------------------------------------------------------------------
 
 def _recurring(col):
