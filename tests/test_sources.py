@@ -48,24 +48,60 @@ def test_cut_lineage_uses_the_shared_folder(spark):
     assert df.agg(F.sum("x")).collect()[0][0] == 20
 
 
-def test_stream_equals_batch_and_append_closes_days(spark, tmp_path):
+def rows(df):
+    return sorted(map(tuple, df.collect()))
+
+
+def two_files(spark, folder):
     events = read_parquet(spark, SMALL, "events")
-    batch = sorted(map(tuple, ru.daily_rollup(events).collect()))
-    stream = sorted(map(tuple, ru.run_available(ru.daily_rollup(ru.event_stream(spark, SMALL))).collect()))
-    assert stream == batch
-    # several files, one per micro-batch: complete mode still counts every event
-    early, late = events.where("ts < '2024-01-15'"), events.where("ts >= '2024-01-15'")
-    early.coalesce(1).write.parquet(str(tmp_path / "in/a"))
-    late.coalesce(1).write.parquet(str(tmp_path / "in/b"))
-    source = ru.event_stream(spark, str(tmp_path / "in/*"), "*.parquet", files_per_batch=1)
-    assert sorted(map(tuple, ru.run_available(ru.daily_rollup(source)).collect())) == batch
+    events.where("ts < '2024-01-15'").coalesce(1).write.parquet(f"{folder}/a")
+    events.where("ts >= '2024-01-15'").coalesce(1).write.parquet(f"{folder}/b")
+    return lambda: ru.event_stream(spark, f"{folder}/*", "*.parquet", files_per_batch=1)
+
+
+def test_stream_equals_batch_and_append_closes_days(spark, tmp_path):
+    batch = rows(ru.daily_rollup(read_parquet(spark, SMALL, "events")))
+    assert rows(ru.rollup_log(ru.event_stream(spark, SMALL), str(tmp_path / "one"))) == batch
+    # several files, one per micro-batch: the log still counts every event
+    source = two_files(spark, tmp_path / "in")
+    assert rows(ru.rollup_log(source(), str(tmp_path / "two"))) == batch
     # append mode emits a day once the watermark has passed it
-    source = ru.event_stream(spark, str(tmp_path / "in/*"), "*.parquet", files_per_batch=1)
-    closed = ru.run_available(ru.daily_rollup(source, "2 days"), "append", str(tmp_path / "out"), str(tmp_path / "ckpt")).collect()
+    closed = ru.run_available(ru.daily_rollup(source(), "2 days"), str(tmp_path / "out"), str(tmp_path / "ckpt")).collect()
     assert closed and set(map(tuple, closed)) <= set(batch)
     assert max(r["day"] for r in closed) < date(2024, 1, 29)
 
 
+def test_late_events_of_closed_days_are_dropped(spark, tmp_path):
+    source = two_files(spark, tmp_path / "in")
+    late = spark.sql("SELECT 9000001L AS event_id, TIMESTAMP_NTZ '2024-01-02 10:00:00' AS ts, 1L AS user_id, 'late' AS event_type, 5.0D AS value, '{}' AS props")
+    spark.createDataFrame(late.collect(), read_parquet(spark, SMALL, "events").schema).coalesce(1).write.parquet(str(tmp_path / "in/c"))
+    late.withColumn("ts", F.expr("TIMESTAMP_NTZ '2024-01-03 10:00:00'")).coalesce(1).write.parquet(str(tmp_path / "in/d"))
+    log = ru.rollup_log(source(), str(tmp_path / "log"))
+    assert log.where("event_type = 'late'").count() == 0
+    assert rows(log) == rows(ru.daily_rollup(read_parquet(spark, SMALL, "events")))
+
+
+def test_replayed_batch_adds_nothing(spark, tmp_path):
+    """The last batch runs again because its commit was lost."""
+    source, folder = two_files(spark, tmp_path / "in"), tmp_path / "log"
+    first = rows(ru.warning_log(source(), str(folder)))
+    days = rows(ru.logged(spark, str(folder), "days", ru.daily_rollup(source()).schema, ru.DAY))
+    files = sorted(f.name for f in (folder / "days").iterdir())
+    commits = sorted((f for f in (folder / "progress/commits").iterdir() if f.name.isdigit()), key=lambda f: int(f.name))
+    commits[-1].unlink()
+    (commits[-1].parent / f".{commits[-1].name}.crc").unlink(missing_ok=True)
+    assert rows(ru.warning_log(source(), str(folder))) == first
+    assert rows(ru.logged(spark, str(folder), "days", ru.daily_rollup(source()).schema, ru.DAY)) == days
+    assert sorted(f.name for f in (folder / "days").iterdir()) == files
+
+
+def test_warnings_refer_to_days_that_have_arrived(spark, tmp_path):
+    events = read_parquet(spark, SMALL, "events")
+    rolled = ru.daily_rollup(events)
+    want = rows(ru.day_change(rolled, rolled))
+    assert rows(ru.warning_log(two_files(spark, tmp_path / "in")(), str(tmp_path / "log"))) == want and want
+
+
 def test_rollup_days_do_not_depend_on_session_zone(spark):
     events = read_parquet(spark, SMALL, "events")
     utc = sorted(map(tuple, ru.daily_rollup(events).collect()))
