@@ -5,7 +5,7 @@ import corpus_pipeline
 from tests.llm.conftest import COPY, LONG, rows_of
 from tidecast.llm.catalog import QUERIES
 
-PER_DOCUMENT = [q for q in QUERIES if q.split("_")[0] in ("op1", "op2", "op4", "op6", "op8", "op9", "op10")]
+PER_DOCUMENT = [q for q in QUERIES if q.split("_")[0] in ("op1", "op2", "op4", "op6", "op8", "op9", "op10", "op11")]
 
 
 def found(df, doc_id):
@@ -18,7 +18,7 @@ def test_one_row_per_document(spark, odd, name):
     assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r["doc_id"]) for r in rows_of(spark, odd, "documents"))
     assert len({tuple(r) for r in found(got, 5)}) == 1, "repeated rows get one result"
     defined = [c for c in got[0].asDict() if c in ("n_bytes", "n_tokens", "over_limit", "kept", "base_failed", "lang_pred", "score", "predicted", "held_out",
-                                                    "n_shingles", "base_score", "taken", "size", "n_words")]
+                                                    "n_shingles", "base_score", "taken", "size", "n_words", "n_base", "labels")]
     assert all(r[c] is not None for r in got for c in defined)
 
 

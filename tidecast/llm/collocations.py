@@ -17,7 +17,6 @@ Defined results: a null text is empty; a null language is ``und``; repeated rows
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,73 +26,75 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from tidecast.llm.common import query, scan, stored, worker_cache
+from tidecast.llm.common import query, row_slices, scan, stored
+from tidecast.llm.hashing import LOWER, span_hashes, utf8
 
 OVERLAP, PERIOD = 3, 16
 LONGEST = OVERLAP + 1
 LEAST, COVER_PCT, TOP = 30, 80, 2000
 BITS, BLOCK_BITS = 27, 20
 SALTS = 64
-FLUSH_CHARS = 4_000_000
-CACHED_WORDS = 200_000
-PIECE_END = re.compile("[.,;:!?\n\x0b\x0c\r]")
-LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SLICE_BYTES = 4_000_000
+BREAK = np.zeros(256, bool)
+BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
+BLANK = np.zeros(256, bool)
+BLANK[list(b" \t")] = True
 MIX = np.uint64(0x9E3779B97F4A7C15)
 DICTIONARY = "lang string, chunk string, tail int, n long"
 
 
-class WordHashes(dict):
-    """Hashes of the words met lately."""
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh64_intdigest(word)
-        return h
-
-
-def word_hashes() -> WordHashes:
-    return worker_cache("collocation_words", WordHashes)
-
-
-def chunks_of(piece: str, hashes: WordHashes) -> Iterator[tuple[str, int]]:
-    """(chunk, tail) of a piece, in order."""
-    w = [x for x in piece.replace("\t", " ").split(" ") if x]
-    if len(w) <= OVERLAP:
-        if w:
-            yield " ".join(w), 0
-        return
-    h = [hashes[x] for x in w]
-    start = 0
-    for k in range(1, len(w) - OVERLAP + 1):
-        if (h[k] + 3 * h[k + 1] + 7 * h[k + 2]) % PERIOD == 0:
-            yield " ".join(w[start:k + OVERLAP]), OVERLAP
-            start = k
-    yield " ".join(w[start:]), 0
+def edges(inside: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the runs of marked bytes; a run also begins anew at each place in ``cut``."""
+    fresh = np.zeros(len(inside) + 1, bool)
+    fresh[cut] = True
+    starts = inside.copy()
+    starts[1:] &= ~inside[:-1] | fresh[1:-1]
+    ends = inside.copy()
+    ends[:-1] &= ~inside[1:] | fresh[1:-1]
+    return np.flatnonzero(starts), np.flatnonzero(ends) + 1
+
+
+def chunk_spans(text: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(first byte, end byte, first word, words, tail) of every chunk of the lower-cased rows that begin at the bytes ``at``."""
+    breaks = BREAK[text]
+    starts, ends = edges(~(breaks | BLANK[text]), at)
+    if not len(starts):
+        return (np.empty(0, np.int64),) * 5
+    h = span_hashes(text, starts, ends)
+    broken = np.concatenate([[0], np.cumsum(breaks)])[starts] + np.searchsorted(at, starts, side="right") * np.int64(len(text) + 1)
+    opens = np.concatenate([[True], broken[1:] != broken[:-1]])          # the word begins a piece
+    piece = np.cumsum(opens) - 1
+    first = np.flatnonzero(opens)
+    stop = np.append(first[1:], len(starts))[piece]                      # the word after the piece
+    window = (h + np.roll(h, -1) * np.uint64(3) + np.roll(h, -2) * np.uint64(7)) * MIX >> np.uint64(40)
+    trigger = (window % np.uint64(PERIOD) == 0) & (np.arange(len(h)) + OVERLAP <= stop)
+    begin = np.flatnonzero(opens | trigger)
+    last = np.append(opens[begin][1:], True)                             # the chunk ends its piece
+    stop = np.where(last, stop[begin], np.append(begin[1:], len(h)) + OVERLAP)
+    return starts[begin], ends[stop - 1], begin, stop - begin, np.where(last, 0, OVERLAP)
 
 
 def parse(docs: DataFrame) -> DataFrame:
     """The dictionary: (lang, chunk, tail, n)."""
-    names = ["lang", "chunk", "tail", "n"]
-
-    def rows(found: Counter) -> pa.RecordBatch:
-        lang, chunk, tail = zip(*found)
-        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(chunk, pa.string()), pa.array(tail, pa.int32()),
-                                           pa.array(found.values(), pa.int64())], names)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, held, hashes = Counter(), 0, word_hashes()
-        for batch in batches:
-            for lang, text in zip(batch.column(0), batch.column(1)):
-                lang, text = lang.as_py(), text.as_py().translate(LOWER)
-                for piece in PIECE_END.split(text):
-                    found.update((lang, c, tail) for c, tail in chunks_of(piece, hashes))
-                held += len(text)
-                if held >= FLUSH_CHARS and found:
-                    yield rows(found)
-                    found, held = Counter(), 0
-        if found:
-            yield rows(found)
+        for batch in row_slices(batches, 1, SLICE_BYTES):
+            text, at = utf8(batch.column(1))
+            text = LOWER[text]
+            a, b, _, _, tails = chunk_spans(text, at[:-1])
+            langs = batch.column(0).to_pylist()
+            row = np.searchsorted(at, a, side="right") - 1
+            raw, found = text.tobytes(), Counter()
+            for x, y, r, tail in zip(a.tolist(), b.tolist(), row.tolist(), tails.tolist()):
+                found[langs[r], raw[x:y], tail] += 1
+            merged = Counter()
+            for (lang, chunk, tail), n in found.items():
+                if b"\t" in chunk or b"  " in chunk:
+                    chunk = b" ".join(w for w in chunk.replace(b"\t", b" ").split(b" ") if w)
+                merged[lang, chunk, tail] += n
+            if merged:
+                lang, chunk, tail = zip(*merged)
+                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(chunk, pa.binary()).cast(pa.string()), pa.array(tail, pa.int32()),
+                                                  pa.array(merged.values(), pa.int64())], ["lang", "chunk", "tail", "n"])
 
     texts = docs.where(F.col("text").isNotNull()).select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     return texts.mapInArrow(run, DICTIONARY).groupBy("lang", "chunk", "tail").agg(F.sum("n").alias("n"))
@@ -102,28 +103,42 @@ def parse(docs: DataFrame) -> DataFrame:
 class Places:
     """The words of a batch of chunks in one row, with the hash of the phrase of each length that begins at each word its chunk owns."""
 
-    def __init__(self, batch: pa.RecordBatch, hashes: WordHashes):
-        self.langs, self.chunks = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        self.words = " ".join(self.chunks).split(" ")
-        sizes = np.fromiter((c.count(" ") + 1 for c in self.chunks), np.int64, len(self.chunks))
+    def __init__(self, batch: pa.RecordBatch):
+        self.langs = batch.column(0).to_pylist()
+        self.text, at = utf8(batch.column(1))
+        self.starts, self.ends = edges(self.text != 32, at[:-1])
+        first = np.searchsorted(self.starts, at)
+        sizes = np.diff(first)
         self.of = np.repeat(np.arange(len(sizes)), sizes)
-        place = np.arange(len(self.words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        place = np.arange(len(self.starts)) - first[self.of]
         self.left = sizes[self.of] - place
         self.owned = place < (sizes - np.asarray(batch.column(2)))[self.of]
         self.weights = np.asarray(batch.column(3))[self.of]
         seeds = {x: np.uint64(xxhash.xxh64_intdigest(x, seed=1)) for x in set(self.langs)}
         self.seed = np.array([seeds[x] for x in self.langs], np.uint64)[self.of]
-        self.hash = np.fromiter(map(hashes.__getitem__, self.words), np.uint64, len(self.words))
+        self.hash = span_hashes(self.text, self.starts, self.ends)
 
-    def phrases(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+    def phrases(self, k: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
         """Hash of the k words from each place, and whether they are a phrase of this chunk."""
-        h = self.seed + np.uint64(k)
+        h = self.seed + np.uint64(k + 16 * salt)
         for j in range(k):
             h = (h ^ np.roll(self.hash, -j)) * MIX
             h ^= h >> np.uint64(29)
         return h, self.left >= k
 
 
+def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """(a row of each distinct key, its sum) of (keys..., weight) columns."""
+    *keys, weight = (np.concatenate(c) for c in zip(*parts))
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    at = np.flatnonzero(new)
+    return order[at], np.add.reduceat(weight[order], at) if len(at) else weight[:0]
+
+
 def known(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
     at = h >> np.uint64(64 - BITS)
     return (bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
@@ -149,11 +164,8 @@ def bit_table(hashes: DataFrame) -> np.ndarray:
 def hash_sums(dictionary: DataFrame, lengths: tuple[int, ...], bits=None) -> DataFrame:
     """(h): hashes of phrases whose sum reaches ``LEAST``. With ``bits`` (a broadcast table of pairs), only phrases whose pairs are all in it."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            p, parts = Places(batch, hashes), []
+        for batch in row_slices(batches, 1, SLICE_BYTES):
+            p, parts = Places(batch), []
             if bits is not None:
                 pair = known(bits.value, p.phrases(2)[0])
             for k in lengths:
@@ -163,11 +175,9 @@ def hash_sums(dictionary: DataFrame, lengths: tuple[int, ...], bits=None) -> Dat
                     for j in range(k - 1):
                         use &= np.roll(pair, -j)
                 parts.append((h[use], p.weights[use]))
-            h, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
-            n = np.zeros(len(h), np.int64)
-            np.add.at(n, at, np.concatenate([x for _, x in parts]))
-            if len(h):
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+            at, n = summed(parts)
+            if len(at):
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x for x, _ in parts])[at].view(np.int64)), pa.array(n)], ["h", "n"])
 
     sums = dictionary.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     return sums.where(F.col("n") >= LEAST).select("h")
@@ -176,19 +186,19 @@ def hash_sums(dictionary: DataFrame, lengths: tuple[int, ...], bits=None) -> Dat
 def phrase_sums(dictionary: DataFrame, bits) -> DataFrame:
     """(lang, phrase, f) of every phrase of up to ``LONGEST`` words with a sum of at least ``LEAST``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = word_hashes()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            p, found = Places(batch, hashes), Counter()
+        for batch in row_slices(batches, 1, SLICE_BYTES):
+            p, parts, spans = Places(batch), [], []
             for k in range(1, LONGEST + 1):
                 h, whole = p.phrases(k)
-                for i in np.flatnonzero(whole & p.owned & known(bits.value, h)).tolist():
-                    found[p.langs[p.of[i]], " ".join(p.words[i:i + k])] += int(p.weights[i])
-            if found:
-                lang, phrase = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()),
-                                                  pa.array(found.values(), pa.int64())], ["lang", "phrase", "n"])
+                use = np.flatnonzero(whole & p.owned & known(bits.value, h))
+                parts.append((h[use], p.phrases(k, 1)[0][use], p.weights[use]))     # two hashes of 64 bits tell phrases apart
+                spans.append((p.starts[use], p.ends[use + k - 1], p.of[use]))
+            at, n = summed(parts)
+            if len(at):
+                a, b, row = (np.concatenate(c)[at].tolist() for c in zip(*spans))
+                raw = p.text.tobytes()
+                phrases = pa.array([raw[x:y] for x, y in zip(a, b)], pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([p.langs[r] for r in row], pa.string()), phrases, pa.array(n)], ["lang", "phrase", "n"])
 
     sums = dictionary.mapInArrow(run, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
     return sums.where(F.col("f") >= LEAST)

@@ -7,7 +7,9 @@ import types
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tidecast.session import shared_folder
@@ -57,6 +59,17 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: str
     return df.mapInArrow(run, schema)
 
 
+def row_slices(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with at most about ``size`` bytes of text in a column, at least one row each: what is worked out for a slice is bounded by its text, not by its rows."""
+    for batch in batches:
+        at = np.cumsum(np.append(0, pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy()))
+        k = 0
+        while k < batch.num_rows:
+            n = max(1, int(np.searchsorted(at, at[k] + size, side="right")) - 1 - k)
+            yield batch.slice(k, n)
+            k += n
+
+
 def worker_cache(name: str, make: Callable[[], object]) -> object:
     """An object kept by the Python worker between tasks. Task functions travel by value, so a module global would be
     made anew for each task."""
