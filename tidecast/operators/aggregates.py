@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from tidecast.functions.calendar import parity
 from tidecast.functions.scalars import ratio, strip_year
 from tidecast.operators.ranks import histogram_quantiles, running_share
 from tidecast.operators.spine import KEYS
+from tidecast.session import cut_lineage
 
 
 def resample(df: DataFrame, unit: str, columns, keys=KEYS, ds: str = "ds") -> DataFrame:
@@ -26,6 +27,35 @@ def pivot_months(df: DataFrame, value: Column, fn, keys=KEYS, ds: str = "ds", pr
     return out.select(*keys, "year", *[F.col(str(m)).alias(f"{prefix}{m:02d}") for m in range(1, 13)])
 
 
+def pivot_categories(df: DataFrame, category: str, value: str, ds: str = "ds", most: int = 500) -> DataFrame:
+    """Year × category totals, one column per category found in the data (lower case), zero where a year has none.
+
+    More than ``most`` categories are an error: a table that wide belongs in long form (``category_years``).
+    """
+    totals = cut_lineage(df.groupBy(F.year(ds).alias("year"), F.col(category).alias("_c")).agg(F.sum(value).alias("_v")))
+    names = [r["_c"] for r in totals.where(F.col("_c").isNotNull()).select("_c").distinct().orderBy("_c").limit(most + 1).collect()]
+    if len(names) > most:
+        raise ValueError(f"more than {most} categories: use category_years")
+    wide = totals.groupBy("year").pivot("_c", names).agg(F.sum("_v")).na.fill(0)
+    return wide.select("year", *[F.col(f"`{n}`").alias(n.lower()) for n in names])
+
+
+def category_years(df: DataFrame, category: str, value: str, ds: str = "ds") -> DataFrame:
+    """(year, category, total) for every category in every year that has any row, zero where it has none."""
+    totals = df.groupBy(F.year(ds).alias("year"), category).agg(F.sum(value).alias(value))
+    years = df.select(F.year(ds).alias("year")).distinct()
+    # one array with an entry per calendar year, for each category
+    spans = df.select(category).distinct().crossJoin(F.broadcast(years.agg(F.collect_set("year").alias("_years"))))
+    return (spans.select(category, F.explode("_years").alias("year")).join(totals, ["year", category], "left")
+            .select("year", category, F.coalesce(value, F.lit(0)).alias(value)))
+
+
+def range_ratio(stats: DataFrame, wide: str, narrow: str) -> DataFrame:
+    """(range_ratio, wider): range of one flag's monthly shares over that of another (see ``flag_share_stats``); NULL where the other never varies."""
+    span = lambda flag: F.max(F.when(F.col("flag") == flag, F.col("max_share") - F.col("min_share")))
+    return stats.agg(span(wide).alias("_a"), span(narrow).alias("_b")).select(ratio(F.col("_a"), F.col("_b")).alias("range_ratio"), (F.col("_a") > F.col("_b")).alias("wider"))
+
+
 def share_cumulative(totals: DataFrame, label: str, value: str, keys=()) -> DataFrame:
     """Share and running share in descending order, on already aggregated rows (one per label); any number of labels."""
     down = running_share(totals.select(*keys, label, value), label, value, keys)

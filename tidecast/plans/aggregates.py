@@ -75,15 +75,19 @@ def pivot_year_month(spark, sf):
     return out.select("series_id", "year", *[S(F.col(f"M{m:02d}"), 6).alias(f"M{m:02d}") for m in MONTHS])
 
 
-TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
+@query("pivot_year_category", """SELECT CAST(year(ds) AS INTEGER) AS year, """ + ", ".join(
+    f"coalesce(sum(CASE WHEN series_id = '{t}' THEN revenue END), 0) AS {t.lower()}" for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")) + " FROM x_sales GROUP BY 1")
+def pivot_year_category(spark, sf):
+    """Revenue by year, one column per category of the data."""
+    return ag.pivot_categories(daily_sales(spark, sf), "series_id", "revenue")
 
 
-@query("pivot_year_category", "SELECT CAST(year(ds) AS INTEGER) AS year, " + ", ".join(
-    f"coalesce(sum(CASE WHEN series_id = '{t}' THEN revenue END), 0) AS {t.lower()}" for t in TYPES)
-    + " FROM x_sales GROUP BY 1")
-def pivot_year_category(spark, sf):
-    out = daily_sales(spark, sf).groupBy(F.year("ds").alias("year")).pivot("series_id", list(TYPES)).agg(F.sum("revenue"))
-    return out.na.fill(0.0).select("year", *[F.col(t).alias(t.lower()) for t in TYPES])
+@query("category_long", """SELECT y.year, c.category, coalesce(s.revenue, 0) AS revenue FROM (SELECT DISTINCT CAST(year(ds) AS INTEGER) AS year FROM x_sales) y
+    CROSS JOIN (SELECT DISTINCT series_id AS category FROM x_sales) c LEFT JOIN (SELECT CAST(year(ds) AS INTEGER) AS year, series_id AS category, sum(revenue) AS revenue FROM x_sales GROUP BY 1, 2) s
+    ON s.year = y.year AND s.category = c.category""")
+def category_long(spark, sf):
+    """The same table in long form, for any number of categories."""
+    return ag.category_years(daily_sales(spark, sf), "series_id", "revenue").withColumnRenamed("series_id", "category")
 
 
 @query("share_cumulative", f"""SELECT category, revenue, {R('revenue / sum(revenue) OVER () * 100', 6)} AS share_pct,
@@ -126,6 +130,14 @@ def zero_variance(spark, sf):
                       "months_above_half", "months")
 
 
+@query("flag_range_ratio", f"""SELECT {R('(max(overstock_pct) - min(overstock_pct)) / nullif(max(stockout_pct) - min(stockout_pct), 0)', 5)} AS range_ratio,
+    max(overstock_pct) - min(overstock_pct) > max(stockout_pct) - min(stockout_pct) AS wider FROM x_month""")
+def flag_range_ratio(spark, sf):
+    """How many times wider the monthly share of one flag ranges than that of the other."""
+    out = ag.range_ratio(ag.flag_share_stats(inventory(spark, sf), ["stockout_flag", "overstock_flag"]), "overstock_flag", "stockout_flag")
+    return out.select(S(F.col("range_ratio"), 5).alias("range_ratio"), "wider")
+
+
 @query("describe", f"""SELECT "column", count(x) AS n, {R('avg(x)', 2)} AS mean, {R('stddev_samp(x)', 2)} AS std, min(x) AS min,
     {R('quantile_cont(x, 0.25)', 2)} AS q25, {R('quantile_cont(x, 0.5)', 2)} AS q50, {R('quantile_cont(x, 0.75)', 2)} AS q75, max(x) AS max
     FROM (SELECT 'revenue' AS "column", revenue AS x FROM x_sales_all UNION ALL SELECT 'cogs', cogs FROM x_sales_all) GROUP BY 1""")

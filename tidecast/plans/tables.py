@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tidecast.functions import calendar as cal, scalars as sc
@@ -13,7 +15,7 @@ from tidecast.plans import inputs as src
 from tidecast.plans.registry import query, settled as R
 from tidecast.session import cut_lineage, shared_folder
 from tidecast.sources.bindings import (SPLIT, daily_sales, exact_total, inventory, order_lines, orders_by_day, promotions, web_traffic)
-from tidecast.sources.tables import read_csv, read_parquet, write_csv
+from tidecast.sources.tables import read_csv, read_parquet, scan_csv, write_csv
 
 KEYS = ["series_id"]
 
@@ -34,10 +36,37 @@ def scan_dates(spark, sf):
              .agg(F.count("*").alias("n_orders"), F.min("o_orderkey").alias("first_order")))
 
 
+ORDER_LINES = """CASE WHEN o_orderkey % 40 = 11 THEN strftime(ds, '%d/%m/%Y') WHEN o_orderkey % 40 = 23 THEN 'unknown' ELSE CAST(ds AS VARCHAR) END"""
+
+
+def _order_csv(spark, sf):
+    """The orders as a CSV folder in which some dates are in another format or no dates at all."""
+    path = f"{shared_folder(spark)}/orders-{uuid.uuid4().hex}"
+    o = read_parquet(spark, sf, "orders").withColumn("ds", F.to_date("o_orderdate"))
+    k = F.pmod("o_orderkey", F.lit(40))
+    text = F.when(k == 11, F.date_format("ds", "dd/MM/yyyy")).when(k == 23, "unknown").otherwise(F.col("ds").cast("string"))
+    rows = o.select(F.col("o_orderkey").cast("string").alias("order_id"), text.alias("order_date"), F.col("o_orderpriority").alias("payment_method"),
+                    F.col("o_orderstatus").alias("device_type"), F.lit("web").alias("order_source"))
+    write_csv(rows, path, rows.columns, order=())
+    return path
+
+
+@query("scan_csv_dates", """SELECT ds, count(*) AS n_orders FROM x_orders WHERE o_orderkey % 40 NOT IN (11, 23) GROUP BY 1""")
+def scan_csv_dates(spark, sf):
+    """Dates parsed from the CSV form of all orders; lines with another date format are set aside, not turned into NULL."""
+    good, _ = scan_csv(spark, _order_csv(spark, sf), "orders")
+    return good.groupBy(F.col("order_date").alias("ds")).agg(F.count("*").alias("n_orders"))
+
+
+@query("scan_csv_rejects", f"""SELECT o_orderkey || ',' || {ORDER_LINES} || ',' || o_orderpriority || ',' || o_orderstatus || ',web' AS line FROM x_orders WHERE o_orderkey % 40 IN (11, 23)""")
+def scan_csv_rejects(spark, sf):
+    """The lines that do not parse, as they stand in the file."""
+    return scan_csv(spark, _order_csv(spark, sf), "orders")[1]
+
+
 @query("sink_csv", """SELECT ds, revenue, cogs FROM x_sales_all""")
 def sink_csv(spark, sf):
     """Daily sales written as CSV and read back with the declared schema."""
-    import uuid
     path = f"{shared_folder(spark)}/sales-{uuid.uuid4().hex}"
     daily = daily_sales(spark, sf, None).select(
         F.col("ds").alias("Date"), F.col("revenue").alias("Revenue"), F.col("cogs").alias("COGS"))
