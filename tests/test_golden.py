@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tests.conftest import column, day, series
 from tidecast.fixed_values import ALL_FEATURES
-from tidecast.operators import decisions as de, denoise as dn, events as ev, forecasting as fc, spine as sp, stats as st, windows as wn
+from tidecast.operators import aggregates as ag, decisions as de, denoise as dn, events as ev, forecasting as fc, spine as sp, stats as st, windows as wn
 from tidecast.operators.features import future_safe_features
 from tidecast.operators.ranks import average_rank, histogram_ranks
 
@@ -239,3 +239,14 @@ def test_decision_rules(spark):
     assert t[10]["excess_pct"] == pytest.approx((0 + 0 + 0.3) / 3 * 100)
     r = de.month_end_risk(e).collect()[0]
     assert (r["mid_risk_15"], r["end_risk_15"], r["end_risk_20"]) == (0.0, 50.0, 50.0)
+
+
+def test_categories_of_the_pivot_come_from_the_data(spark):
+    rows = [("2020-01-01", c, 1.0 + k) for k, c in enumerate("ABCDEFG")] + [("2021-01-01", "A", 9.0), ("2021-05-01", "A", 1.0)]
+    df = spark.createDataFrame(rows, "ds STRING, category STRING, revenue DOUBLE").withColumn("ds", F.to_date("ds"))
+    got = {r["year"]: r.asDict() for r in ag.pivot_categories(df, "category", "revenue").collect()}
+    assert got[2020]["g"] == 7.0 and got[2021]["g"] == 0.0 and got[2021]["a"] == 10.0 and len(got[2020]) == 8
+    long = {(r["year"], r["category"]): r["revenue"] for r in ag.category_years(df, "category", "revenue").collect()}
+    assert len(long) == 14 and long[2021, "B"] == 0.0 and long[2020, "B"] == 2.0
+    with pytest.raises(ValueError, match="more than 3"):
+        ag.pivot_categories(df, "category", "revenue", most=3)

@@ -5,7 +5,7 @@ import re
 import pytest
 
 from tests.conftest import SMALL
-from tidecast.operators import denoise as dn, stats as st
+from tidecast.operators import denoise as dn, recursive as rc, stats as st
 from tidecast.operators.features import future_safe_features
 from tidecast.plans import catalog, inputs as src
 
@@ -54,3 +54,15 @@ def test_scan_is_pruned_and_filtered(spark):
 
 def test_day_lag_needs_no_self_join(spark):
     assert "Join" not in plan(catalog.QUERIES["lag_calendar"](spark, SMALL)).split("HashAggregate")[0]
+
+
+def test_a_year_of_the_recursion_scans_three_years(spark, tmp_path):
+    """History of seven years on disk; the second forecast year lists the files of its own year and the two before it."""
+    days = spark.sql("SELECT 'a' AS series_id, explode(sequence(DATE '1996-01-01', DATE '2004-06-30')) AS ds")
+    state = days.selectExpr("*", "IF(ds < DATE '2003-01-01', sin(dayofyear(ds)), NULL) AS residual", "1.0D AS structural_pred", "1.0D AS structural_trend")
+    whole = rc.recursive_forecast(state, rc.naive_residual, "2003-01-01", "2004-06-30", folder=str(tmp_path / "run"))
+    assert whole.count() == 365 + 182
+    part = rc.read_years(spark, str(tmp_path / "run/state"), state.schema, 2002, 2004)
+    assert re.search(r"PartitionFilters: \[[^\]]*year[^\]]*2002", plan(part))
+    recent = rc.recursive_forecast(state.where("ds >= '2001-01-01'"), rc.naive_residual, "2003-01-01", "2004-06-30")
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, recent.collect()))

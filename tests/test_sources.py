@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tests.conftest import SMALL, series
 from tidecast.functions.tails import chi_square_upper, normal_two_sided, student_two_sided
 from tidecast.session import cut_lineage
-from tidecast.sources.tables import read_csv, read_parquet, write_csv, write_panel
+from tidecast.sources.tables import read_csv, read_parquet, scan_csv, write_csv, write_panel
 from tidecast.streaming import rollup as ru
 
 
@@ -48,6 +48,14 @@ def test_cut_lineage_uses_the_shared_folder(spark):
     assert df.agg(F.sum("x")).collect()[0][0] == 20
 
 
+def test_bad_lines_are_set_aside(spark, tmp_path):
+    lines = ["Date,Revenue,COGS", "2020-01-05,10.5,7", "05/01/2020,10.5,7", "2020-02-30,1,1", "2020-03-01,abc,1", "2020-03-02,1", "2020-03-03,,3", ",1,1"]
+    (tmp_path / "sales.csv").write_text("\n".join(lines) + "\n")
+    good, bad = scan_csv(spark, str(tmp_path / "sales.csv"), "sales")
+    assert sorted(map(str, good.collect())) == sorted(map(str, list(spark.createDataFrame([(date(2020, 1, 5), 10.5, 7.0), (date(2020, 3, 3), None, 3.0), (None, 1.0, 1.0)], "Date DATE, Revenue DOUBLE, COGS DOUBLE").collect())))
+    assert sorted(r["line"] for r in bad.collect()) == sorted(lines[2:6])
+
+
 def rows(df):
     return sorted(map(tuple, df.collect()))
 

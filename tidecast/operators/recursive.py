@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from datetime import date
-from typing import Callable
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from tidecast.operators.features import future_safe_features
 from tidecast.operators.joins import patch_update
 from tidecast.operators.spine import KEYS
-from tidecast.session import cut_lineage
+from tidecast.session import shared_folder
 
 Learner = Callable[[DataFrame], DataFrame]
 
@@ -34,25 +35,43 @@ def patch_actual_residuals(state: DataFrame, actual: DataFrame, start: str, end:
     return joined.withColumn("residual", F.coalesce(F.col("_y") - F.col("structural_pred"), "residual")).drop("_y")
 
 
-def recursive_forecast(state: DataFrame, learner: Learner, start: str, end: str, keys=KEYS) -> DataFrame:
+#: Calendar years before a year that its features read: the longest lag is 730 days.
+YEARS_BACK = 2
+
+
+def write_years(rows: DataFrame, folder: str, keys=KEYS) -> None:
+    """Rows as Parquet, one partition per calendar year, series spread over the files of a year."""
+    rows.withColumn("year", F.year("ds")).repartition("year", *keys).write.mode("append").partitionBy("year").parquet(folder)
+
+
+def read_years(spark, folder: str, schema: T.StructType, first: int, last: int) -> DataFrame:
+    """The years first…last of such a folder; other partitions are not listed in the scan."""
+    typed = T.StructType([*schema.fields, T.StructField("year", T.IntegerType())])
+    return spark.read.schema(typed).parquet(folder).where(F.col("year").between(first, last)).drop("year")
+
+
+def recursive_forecast(state: DataFrame, learner: Learner, start: str, end: str, keys=KEYS, folder: str | None = None) -> DataFrame:
     """``state``: (keys, ds, residual, structural_pred, structural_trend, driver lags…) over history and horizon.
 
     Years run one after the other because a year needs its predecessor's residuals; inside a year all series and
-    days are predicted at once. The residual table is written out between years, so the plan does not grow.
+    days are predicted at once. State and predictions are year-partitioned tables in ``folder`` (of the shared folder, if not given): a year scans itself and ``YEARS_BACK``
+    years, however long the history, and its plan does not hold those of earlier years.
     A year is predicted in one go, so the few days whose 364- or 365-day lag falls inside the same year see NULL.
     """
+    spark = state.sparkSession
+    folder = folder or f"{shared_folder(spark)}/recursion-{uuid.uuid4().hex}"
+    write_years(state, f"{folder}/state", keys)
     blocks = year_blocks(start, end)
-    done = []
+    made = T.StructType([*(state.schema[k] for k in keys), state.schema["ds"], T.StructField("structural_pred", T.DoubleType()), T.StructField("residual", T.DoubleType())])
     for i, (lo, hi) in enumerate(blocks):
-        feats = future_safe_features(state, keys, keep=("structural_pred",)).where(F.col("ds").between(lo, hi))
-        block = learner(feats).select(*keys, "ds", "structural_pred", F.col("residual_pred").alias("residual"))
-        if i + 1 < len(blocks):
-            block = cut_lineage(block)
-            state = patch_update(state, block, [*keys, "ds"], ["residual"])
-        done.append(block)
-    out = done[0]
-    for b in done[1:]:
-        out = out.unionByName(b)
+        rows = read_years(spark, f"{folder}/state", state.schema, lo.year - YEARS_BACK, lo.year)
+        if i:
+            known = read_years(spark, f"{folder}/predicted", made, lo.year - YEARS_BACK, lo.year - 1)
+            rows = patch_update(rows, known, [*keys, "ds"], ["residual"])
+        feats = future_safe_features(rows, keys, keep=("structural_pred",)).where(F.col("ds").between(lo, hi))
+        block = learner(feats).select(*keys, "ds", F.col("structural_pred").cast("double"), F.col("residual_pred").cast("double").alias("residual"))
+        write_years(block, f"{folder}/predicted", keys)
+    out = read_years(spark, f"{folder}/predicted", made, blocks[0][0].year, blocks[-1][0].year)
     return out.withColumn("forecast", F.col("structural_pred") + F.col("residual"))
 
 
