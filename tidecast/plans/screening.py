@@ -23,6 +23,16 @@ RANKED_SQL = """k AS (SELECT *, rank() OVER (PARTITION BY {g} ORDER BY x) + (cou
     rank() OVER (PARTITION BY {g} ORDER BY y) + (count(*) OVER (PARTITION BY {g}, y) - 1) / 2.0 AS ry FROM long WHERE x IS NOT NULL AND y IS NOT NULL)"""
 
 
+STEPS = 4000
+
+
+def upper_tail(base: str, key: str, start: str, width: str, density: str, times: int = 1) -> str:
+    """CTE ``tail`` (key, p): ``times`` the integral of ``density`` (of x) from ``start`` over ``width`` for every row of ``base``, by Simpson's rule."""
+    return f"""grid AS (SELECT i, CASE WHEN i IN (0, {STEPS}) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM range(0, {STEPS + 1}) g(i)),
+    point AS (SELECT b.*, {start} AS lo, {width} AS wide, i, w FROM {base} b CROSS JOIN grid), place AS (SELECT *, lo + wide * i / {STEPS} AS x FROM point),
+    tail AS (SELECT {key}, least(1.0, greatest(0.0, {times} * sum(w * ({density})) * any_value(wide) / {STEPS} / 3)) AS p FROM place GROUP BY {key})"""
+
+
 def _feature_pairs(spark, sf):
     """(series_id, feature, x, y): residual persistence against the residual, drivers against revenue.
 
@@ -39,24 +49,30 @@ def _feature_pairs(spark, sf):
     return p.select("series_id", F.explode(cells).alias("_c")).select("series_id", "_c.*")
 
 
-@query("spearman", f"""WITH rates AS (SELECT ds, avg(bounce_rate) AS bounce_rate, avg(avg_session_duration_sec) AS avg_session_duration_sec FROM x_traffic_src GROUP BY 1),
+SPEARMAN_ROWS = f"""rates AS (SELECT ds, avg(bounce_rate) AS bounce_rate, avg(avg_session_duration_sec) AS avg_session_duration_sec FROM x_traffic_src GROUP BY 1),
     long AS (SELECT series_id, feature, {R('x', 6)} AS x, {R('y', 3)} AS y FROM (
     SELECT n.series_id, 'resid_lag365' AS feature, l.residual AS x, n.residual AS y FROM x_naive n JOIN x_naive l ON l.series_id = n.series_id AND l.ds = n.ds - 365
     UNION ALL SELECT n.series_id, 'overstock_pct_lag365', e.overstock_pct, n.revenue FROM x_naive n JOIN x_exog e ON e.ds = n.ds - 365
     UNION ALL SELECT n.series_id, 'sessions_lag365', e.sessions, n.revenue FROM x_naive n JOIN x_exog e ON e.ds = n.ds - 365
     UNION ALL SELECT n.series_id, 'bounce_rate', r.bounce_rate, n.revenue FROM x_naive n JOIN rates r ON r.ds = n.ds
     UNION ALL SELECT n.series_id, 'avg_session_duration_sec', r.avg_session_duration_sec, n.revenue FROM x_naive n JOIN rates r ON r.ds = n.ds)),
-    {RANKED_SQL.format(g='series_id, feature')}
+    {RANKED_SQL.format(g='series_id, feature')}"""
+
+
+@query("spearman", f"""WITH {SPEARMAN_ROWS}
     SELECT series_id, feature, {R('corr(rx, ry)', 6)} AS r, count(*) AS n FROM k GROUP BY 1, 2""")
 def spearman(spark, sf):
     out = st.spearman(_feature_pairs(spark, sf), "x", "y", ["series_id", "feature"])
     return out.select("series_id", "feature", S(F.col("r"), 6).alias("r"), "n")
 
 
-@query("spearman_screen")
+@query("spearman_screen", f"""WITH {SPEARMAN_ROWS}, a AS (SELECT series_id, feature, corr(rx, ry) AS r, CAST(count(*) AS BIGINT) AS n FROM k GROUP BY 1, 2),
+    {upper_tail("a", "series_id, feature", "abs(r) * sqrt((n - 2) / (1 - r * r))", "60.0", "exp(lgamma((n - 1) / 2.0) - lgamma((n - 2) / 2.0)) / sqrt((n - 2) * pi()) * pow(1 + x * x / (n - 2), -(n - 1) / 2.0)", 2)}
+    SELECT series_id, feature, {R('r', 6)} AS r, n, {R('p', 6)} AS p_value, abs(r) >= 0.1 AND p < 0.05 AS keep FROM a JOIN tail USING (series_id, feature)""")
 def spearman_screen(spark, sf):
-    """The same statistic with its p-value and verdict (no Student tail in the comparison SQL)."""
-    return st.with_correlation_verdict(st.spearman(_feature_pairs(spark, sf), "x", "y", ["series_id", "feature"]))
+    """The same statistic with its p-value and verdict."""
+    out = st.with_correlation_verdict(st.spearman(_feature_pairs(spark, sf), "x", "y", ["series_id", "feature"]))
+    return out.select("series_id", "feature", S(F.col("r"), 6).alias("r"), "n", S(F.col("p_value"), 6).alias("p_value"), "keep")
 
 
 def _binary_rows(spark, sf):
@@ -68,14 +84,17 @@ def _binary_rows(spark, sf):
     return daily_sales(spark, sf).select("series_id", F.col("revenue").alias("y"), F.explode(flags).alias("_c")).select("series_id", "y", "_c.*")
 
 
-@query("mann_whitney", f"""WITH long AS (SELECT series_id, 'is_month_end' AS feature, revenue AS y, CASE WHEN last_day(ds) = ds THEN 1 ELSE 0 END AS flag FROM x_sales
+MANN_WHITNEY_ROWS = f"""long AS (SELECT series_id, 'is_month_end' AS feature, revenue AS y, CASE WHEN last_day(ds) = ds THEN 1 ELSE 0 END AS flag FROM x_sales
     UNION ALL SELECT series_id, 'is_neg_margin', revenue, CASE WHEN cogs > revenue THEN 1 ELSE 0 END FROM x_sales),
     k AS (SELECT *, rank() OVER (PARTITION BY series_id, feature ORDER BY y) + (count(*) OVER (PARTITION BY series_id, feature, y) - 1) / 2.0 AS r,
       CAST(count(*) OVER (PARTITION BY series_id, feature, y) AS DOUBLE) AS t FROM long),
     a AS (SELECT series_id, feature, sum(CASE WHEN flag = 1 THEN r END) AS r1, CAST(count(CASE WHEN flag = 1 THEN 1 END) AS DOUBLE) AS n1,
       CAST(count(CASE WHEN flag = 0 THEN 1 END) AS DOUBLE) AS n2, sum(t * t - 1) AS ties, median(CASE WHEN flag = 1 THEN y END) AS m1,
       median(CASE WHEN flag = 0 THEN y END) AS m2 FROM k GROUP BY 1, 2),
-    u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM a)
+    u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u, sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) AS sd FROM a)"""
+
+
+@query("mann_whitney", f"""WITH {MANN_WHITNEY_ROWS}
     SELECT series_id, feature, CAST(n1 AS BIGINT) AS n_flagged, CAST(n2 AS BIGINT) AS n_other, u, {R('greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sd', 5)} AS z,
     {R('(m1 - m2) / m2 * 100', 4)} AS effect_pct FROM u""")
 def mann_whitney(spark, sf):
@@ -83,9 +102,13 @@ def mann_whitney(spark, sf):
     return out.select("series_id", "feature", "n_flagged", "n_other", "u", S(F.col("z"), 5).alias("z"), S(F.col("effect_pct"), 4).alias("effect_pct"))
 
 
-@query("mann_whitney_screen")
+@query("mann_whitney_screen", f"""WITH {MANN_WHITNEY_ROWS}, a2 AS (SELECT series_id, feature, n1, n2, greatest(abs(u - n1 * n2 / 2) - 0.5, 0) / sd AS z FROM u),
+    {upper_tail("a2", "series_id, feature", "z", "14.0", "exp(-x * x / 2) / sqrt(2 * pi())", 2)}
+    SELECT series_id, feature, CAST(n1 AS BIGINT) AS n_flagged, CAST(n2 AS BIGINT) AS n_other, {R('z', 5)} AS z, {R('p', 6)} AS p_value, p < 0.05 AS keep FROM a2 JOIN tail USING (series_id, feature)""")
 def mann_whitney_screen(spark, sf):
-    return st.with_z_verdict(st.mann_whitney(_binary_rows(spark, sf), "y", "flag", ["series_id", "feature"]))
+    """The same statistic with its p-value and verdict."""
+    out = st.with_z_verdict(st.mann_whitney(_binary_rows(spark, sf), "y", "flag", ["series_id", "feature"]))
+    return out.select("series_id", "feature", "n_flagged", "n_other", S(F.col("z"), 5).alias("z"), S(F.col("p_value"), 6).alias("p_value"), "keep")
 
 
 LEVELS = ("month", "quarter", "dayofyear", "dayofweek", "weekofyear")
@@ -98,20 +121,27 @@ def _calendar_levels(spark, sf):
     return daily_sales(spark, sf).select("series_id", F.col("revenue").alias("y"), F.explode(cells).alias("_c")).select("series_id", "y", "_c.*")
 
 
-@query("kruskal_wallis", f"""WITH long AS (SELECT series_id, revenue AS y, feature, level FROM (SELECT series_id, revenue, month(ds) AS month, quarter(ds) AS quarter,
+KRUSKAL_ROWS = f"""long AS (SELECT series_id, revenue AS y, feature, level FROM (SELECT series_id, revenue, month(ds) AS month, quarter(ds) AS quarter,
       dayofyear(ds) AS dayofyear, isodow(ds) - 1 AS dayofweek, weekofyear(ds) AS weekofyear FROM x_sales) UNPIVOT (level FOR feature IN (month, quarter, dayofyear, dayofweek, weekofyear))),
     f AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY series_id, feature, level) AS size FROM long) WHERE size >= 2),
     k AS (SELECT *, rank() OVER (PARTITION BY series_id, feature ORDER BY y) + (count(*) OVER (PARTITION BY series_id, feature, y) - 1) / 2.0 AS r,
-      CAST(count(*) OVER (PARTITION BY series_id, feature, y) AS DOUBLE) AS t FROM f), {H_SQL.format(g='series_id, feature')}
+      CAST(count(*) OVER (PARTITION BY series_id, feature, y) AS DOUBLE) AS t FROM f), {H_SQL.format(g='series_id, feature')}"""
+
+
+@query("kruskal_wallis", f"""WITH {KRUSKAL_ROWS}
     SELECT series_id, feature, {R('(12 / (m * (m + 1)) * q - 3 * (m + 1)) / (1 - ties / (m * m * m - m))', 4)} AS h, levels, CAST(m AS BIGINT) AS n FROM s""")
 def kruskal_wallis(spark, sf):
     out = st.kruskal(_calendar_levels(spark, sf), "y", "level", ["series_id", "feature"])
     return out.select("series_id", "feature", S(F.col("h"), 4).alias("h"), "levels", "n")
 
 
-@query("kruskal_wallis_screen")
+@query("kruskal_wallis_screen", f"""WITH {KRUSKAL_ROWS}, b2 AS (SELECT series_id, feature, levels, m, (12 / (m * (m + 1)) * q - 3 * (m + 1)) / (1 - ties / (m * m * m - m)) AS h, (levels - 1) / 2.0 AS half FROM s),
+    {upper_tail("b2", "series_id, feature", "h", "greatest(2 * half - h, 0) + 40 * sqrt(4 * half) + 100", "exp((half - 1) * ln(greatest(x, 1e-300)) - x / 2 - half * ln(2) - lgamma(half))")}
+    SELECT series_id, feature, {R('h', 4)} AS h, levels, CAST(m AS BIGINT) AS n, {R('p', 6)} AS p_value, p < 0.05 AS keep FROM b2 JOIN tail USING (series_id, feature)""")
 def kruskal_wallis_screen(spark, sf):
-    return st.with_group_verdict(st.kruskal(_calendar_levels(spark, sf), "y", "level", ["series_id", "feature"]))
+    """The same statistic with its p-value and verdict."""
+    out = st.with_group_verdict(st.kruskal(_calendar_levels(spark, sf), "y", "level", ["series_id", "feature"]))
+    return out.select("series_id", "feature", S(F.col("h"), 4).alias("h"), "levels", "n", S(F.col("p_value"), 6).alias("p_value"), "keep")
 
 
 def _order_levels(spark, sf):
