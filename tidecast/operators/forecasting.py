@@ -10,6 +10,7 @@ from tidecast.functions.scalars import clip, cogs_ratio, ratio
 from tidecast.operators.aggregates import parity_month_median
 from tidecast.operators.joins import with_parity_month
 from tidecast.operators.spine import KEYS
+from tidecast.sources.tables import write_csv
 
 
 def blend(structural: Column, residual: Column) -> Column:
@@ -80,6 +81,20 @@ def follow_template(template: DataFrame, forecast: DataFrame, keys=KEYS) -> Data
     return template.select(*keys, "ds").join(forecast, [*keys, "ds"], "left")
 
 
+DELIVERED = ("ds", "revenue", "cogs")
+
+
+def deliver(template: DataFrame, forecast: DataFrame, path: str, keys=KEYS) -> None:
+    """Write the forecast in the template's dates as CSV: keys, date, revenue, cost, in that order and sorted."""
+    columns = [*keys, *DELIVERED]
+    write_csv(follow_template(template, forecast, keys), path, columns, order=[*keys, "ds"])
+
+
+def delivered(spark, path: str, key_type: str = "string", keys=KEYS) -> DataFrame:
+    schema = ", ".join([*(f"{k} {key_type}" for k in keys), "ds DATE, revenue DOUBLE, cogs DOUBLE"])
+    return spark.read.schema(schema).option("header", True).option("dateFormat", "yyyy-MM-dd").csv(path)
+
+
 def prediction_interval(forecast: DataFrame, errors: DataFrame, pred: str = "forecast", error: str = "error",
                         z: float = 1.96, keys=KEYS) -> DataFrame:
     """± z·σ of the validation errors around the forecast, lower end at zero."""

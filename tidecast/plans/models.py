@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import replace
 
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from tidecast.operators.features import exog_lags, future_safe_features, with_ex
 from tidecast.operators.windows import lag_days, shift_rows
 from tidecast.plans import inputs as src
 from tidecast.plans.registry import query, settled as R
-from tidecast.session import cut_lineage
+from tidecast.session import cut_lineage, shared_folder
 from tidecast.sources.bindings import SPLIT
 
 S = sc.settle
@@ -274,6 +275,17 @@ def loss_audit(spark, sf):
     return out.select("series_id", "loss_days", "days", S(F.col("loss_pct"), 6).alias("loss_pct"), "suspicious")
 
 
+@query("delivery", f"""SELECT series_id, ds, round_even(greatest(revenue, 0), 2) AS revenue, round_even(greatest(cogs, 0), 2) AS cogs FROM x_fc WHERE ds <= DATE '2002-06-30'
+    UNION ALL SELECT DISTINCT series_id, DATE '2002-07-02', NULL, NULL FROM x_fc""")
+def delivery(spark, sf):
+    """The whole last step on a template that lacks the last day and has one beyond the horizon: forecast, clip, round, template dates, CSV in fixed order, read back."""
+    f = fc.postprocess(src.profile_fc(spark, sf))
+    template = cut_lineage(f.select("series_id", F.when(F.col("ds") == F.to_date(F.lit("2002-07-01")), F.to_date(F.lit("2002-07-02"))).otherwise(F.col("ds")).alias("ds")))
+    path = f"{shared_folder(spark)}/delivery-{uuid.uuid4().hex}"
+    fc.deliver(template, f, path)
+    return fc.delivered(spark, path, template.schema["series_id"].dataType.simpleString())
+
+
 @query("prediction_interval", f"""SELECT f.series_id, f.ds, {R('f.revenue', 2)} AS forecast, {R('greatest(f.revenue - 1.96 * s.sd, 0)', 2)} AS lower_95, {R('f.revenue + 1.96 * s.sd', 2)} AS upper_95
     FROM x_fc f JOIN (SELECT series_id, stddev_samp(error) AS sd FROM x_err GROUP BY 1) s USING (series_id)""")
 def prediction_interval(spark, sf):
@@ -330,6 +342,17 @@ def backtest(spark, sf):
     return evl.backtest(panel, exog, FOLDS)
 
 
+@query("backtest_days", "WITH f AS (SELECT * FROM (VALUES " + ", ".join(f"('{f['name']}', DATE '{f['val_start']}', DATE '{f['val_end']}')" for f in FOLDS) + f""") v(fold, lo, hi)),
+    l AS (SELECT fold, p.revenue, p.cogs, l.revenue AS nr, l.cogs AS nc FROM x_panel p JOIN f ON p.ds BETWEEN f.lo AND f.hi LEFT JOIN x_panel l ON l.series_id = p.series_id AND l.ds = p.ds - 365)
+    SELECT fold, 'revenue' AS target, count(*) AS n, {R('avg(abs(revenue - nr))', 2)} AS naive_mae, true AS beats_last_year FROM l GROUP BY 1
+    UNION ALL SELECT fold, 'cogs', count(*), {R('avg(abs(cogs - nc))', 2)}, true FROM l GROUP BY 1""")
+def backtest_days(spark, sf):
+    """Days and last-year error of every fold and target as scored by the full backtest, and whether it does better."""
+    panel, exog = _model_inputs(spark, sf)
+    out = evl.backtest(panel, exog, FOLDS)
+    return out.select("fold", "target", "n", S(F.col("naive_mae"), 2).alias("naive_mae"), (F.col("improvement_pct") > 0).alias("beats_last_year"))
+
+
 @query("model_comparison")
 def model_comparison(spark, sf):
     panel, exog = _model_inputs(spark, sf)
