@@ -2,11 +2,11 @@
 
 Failing documents are found per filter and united by id: A to D are expressions of the row; E is an existential self-join, a left-semi join
 of the documents with themselves on hash, exact text and smaller doc_id. "Some row with this text has a smaller id" holds exactly when the row with the smallest
-id of that text has one, so the right side is reduced before the join to one row per text held twice or more (``first_of_text``, combined before its shuffle).
+id of that text has one, so the right side is reduced before the join to one row per text held twice or more (``texts_by_id``).
 The id sets are united, reduced to one bit combination per document and counted per part: at most 32 combinations times two labels. All orders, steps and Shapley sums
 are computed from those counts, because what a step does depends only on the set of filters before it.
 
-Hot keys: a text that a third of all rows hold is one row on the right; the rows on the left are a plain sort-merge join side that adaptive execution splits.
+Hot keys: a text that a third of all rows hold is one row on the right; the rows on the left are narrow and salted.
 
 Defined results: a null text is empty (no words, equal to every empty text); a null source is the part ''; a row with a null doc_id has no
 smaller id and is nobody's smaller id, so it never fails E, nor does a repeated row whose other copies have the same id; repeated rows are counted each; a label
@@ -15,13 +15,15 @@ holds if any row of ``labels`` with the id says so; an empty table gives an empt
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import permutations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from tidecast.llm.common import query, scan, words
+from tidecast.llm.common import query, scan, stored, words
 
 FILTERS = "ABCDE"
+SALTS = 32
 MIN_WORDS, MIN_DISTINCT_PCT, MAX_UPPER_PCT = 200, 50, 2
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")
 
@@ -35,24 +37,36 @@ def row_failures(text: Column) -> Column:
     return sum((F.when(fails[f], 1 << FILTERS.index(f)).otherwise(0) for f in fails), F.lit(0))
 
 
-def first_of_text(docs: DataFrame) -> DataFrame:
-    """(h, t, first): the smallest id of every text that at least two rows with an id hold."""
-    known = docs.where(F.col("doc_id").isNotNull())
-    per_text = known.groupBy("h", "t").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
-    return per_text.where("n > 1").drop("n")
+def texts_by_id(docs: DataFrame) -> DataFrame:
+    """(h, t, first, n): the smallest id of each text and the number of rows with an id; combined before the shuffle, so a frequent text is one row a task."""
+    return docs.where(F.col("doc_id").isNotNull()).groupBy("h", "t").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """Rows of (doc_id, part, h, t) whose text a row with a smaller id holds."""
-    earlier = first_of_text(docs)
-    same = (docs["h"] == earlier["h"]) & (docs["t"] == earlier["t"]) & (earlier["first"] < docs["doc_id"])
-    return docs.join(earlier, same, "left_semi")
-
-
-def bit_counts(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(part, bits, good, toxic, n): rows per combination of failed filters and labels."""
+    """(doc_id, part, h) of the rows of (doc_id, part, h, t) whose text a row with a smaller id holds.
+
+    Texts that share a hash are told apart by the texts themselves. Where a hash has one text, rows with the hash hold that text, and the join needs no text: its left rows are
+    narrow and dealt over ``SALTS`` keys, and its right rows, one per text held twice, are repeated for each (so it
+    grows with the input and is not broadcast). Hashes of several texts, if there are any, are joined with the text.
+    """
+    per_text = texts_by_id(docs)
+    per_hash = stored(per_text.groupBy("h").agg(F.count("*").alias("texts"), F.min("first").alias("first"), F.sum("n").alias("n"))
+                      .where("n > 1 OR texts > 1"), "hashes")
+    rows = docs.select("doc_id", "part", "h").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+    sole = per_hash.where("texts = 1").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")))
+    found = rows.join(sole.hint("merge"), (rows["h"] == sole["h"]) & (rows["salt"] == sole["salt"]) & (sole["first"] < rows["doc_id"]), "left_semi").drop("salt")
+    shared = per_hash.where("texts > 1").select("h")
+    if shared.isEmpty():
+        return found
+    some = per_text.where("n > 1").join(shared, "h", "left_semi")
+    same = (docs["h"] == some["h"]) & (docs["t"] == some["t"]) & (some["first"] < docs["doc_id"])
+    return found.unionByName(docs.join(some, same, "left_semi").select("doc_id", "part", "h"))
+
+
+def bit_counts(documents: DataFrame, labels: DataFrame, digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
+    """(part, bits, good, toxic, n): rows per combination of failed filters and labels. The result is the same for any ``digest`` that tells the texts of one id apart."""
     text = F.coalesce("text", F.lit(""))
-    docs = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), F.xxhash64(text).alias("h"), text.alias("t"))
+    docs = documents.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), digest(text).alias("h"), text.alias("t"))
     each = docs.select("doc_id", "part", "h", row_failures(F.col("t")).alias("bits"), F.lit(1).alias("n"))
     again = repeats(docs).select("doc_id", "part", "h", F.lit(1 << FILTERS.index("E")).alias("bits"), F.lit(0).alias("n"))
     united = each.unionByName(again).groupBy("doc_id", "part", "h").agg(F.bit_or("bits").alias("bits"), F.sum("n").alias("n"))
@@ -69,9 +83,9 @@ def every_step(spark) -> DataFrame:
     return spark.createDataFrame(rows, "filter_order string, step int, f int, before int")
 
 
-def audit(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def audit(documents: DataFrame, labels: DataFrame, digest: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """(part, filter_order, step, counts, shapley): 600 rows per part."""
-    cells = (bit_counts(documents, labels).withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(len(FILTERS) - 1))))
+    cells = (bit_counts(documents, labels, digest).withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(len(FILTERS) - 1))))
              .withColumn("before", F.explode(F.sequence(F.lit(0), F.lit((1 << len(FILTERS)) - 1))))
              .withColumn("bit", F.expr("shiftleft(1, f)")).where("before & bit = 0"))
     fails, earlier = F.expr("bits & bit <> 0"), F.expr("bits & before <> 0")
