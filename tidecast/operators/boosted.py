@@ -73,12 +73,3 @@ def gbt_predict(model: PipelineModel, features: DataFrame, columns=ALL_FEATURES)
         *[c for c in features.columns if c not in columns], *columns, "residual_pred")
     back = [F.nullif(F.col(c), F.lit(MISSING)).alias(c) if c in columns else F.col(c) for c in features.columns]
     return scored.select(*back, "residual_pred")
-
-
-def feature_importance(spark, model: PipelineModel) -> DataFrame:
-    """Ranked split-gain importances (one row per feature)."""
-    columns = model.stages[0].getInputCols()
-    weights = model.stages[1].featureImportances.toArray()
-    rows = [(c, float(w)) for c, w in zip(columns, weights)]
-    out = spark.createDataFrame(rows, "feature STRING, importance DOUBLE")
-    return out.orderBy(F.col("importance").desc(), "feature")

@@ -17,10 +17,6 @@ def blend(structural: Column, residual: Column) -> Column:
     return structural + residual
 
 
-def residual_of(actual: Column, structural: Column) -> Column:
-    return actual - structural
-
-
 def clipped_ratio(lo: float = 0.5, hi: float = 1.6) -> Column:
     return clip(cogs_ratio(F.col("revenue"), F.col("cogs")), lo, hi)
 

@@ -16,12 +16,6 @@ from tidecast.operators.spine import KEYS, by_day
 from tidecast.operators.windows import band, centred, rolling_column, shift_rows
 
 
-def to_long(df: DataFrame, columns, keep, name: str = "feature", value: str = "x") -> DataFrame:
-    """Wide features -> (keep…, feature, x) in one pass over the rows."""
-    pairs = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in columns])
-    return df.select(*keep, F.explode(pairs).alias("_p")).select(*keep, f"_p.{name}", f"_p.{value}")
-
-
 def spearman(long: DataFrame, x: str, y: str, group) -> DataFrame:
     """Rank correlation per group of a daily long table; rows with a missing side are left out."""
     pairs = long.where(F.col(x).isNotNull() & F.col(y).isNotNull())

@@ -1,7 +1,5 @@
 """Explicit schemas, so no scan ever infers types."""
 
-from pyspark.sql import types as T
-
 # retail input tables (CSV, header row)
 SALES = "Date DATE, Revenue DOUBLE, COGS DOUBLE"
 INVENTORY = (
@@ -42,7 +40,3 @@ PARQUET_TABLES = {
     "region": "r_regionkey INT, r_name STRING",
     "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
 }
-
-
-def struct_of(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
