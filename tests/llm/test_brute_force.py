@@ -3,6 +3,7 @@ import base64
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -37,14 +38,29 @@ def test_token_counts_equal_the_library(spark, small_docs):
         assert (got[r.doc_id].n_bytes, got[r.doc_id].n_tokens, got[r.doc_id].over_limit) == (len((r.text or "").encode()), n, n > 512)
 
 
+ODD_PREFIXES = [
+    "can't stop,  won't\n\n stop 123abc", "na\u00efve \u4e2d\u6587 x\u0301 \u00a0y", "   lead and trail   ", "<|endoftext|> a", "a <|endoftext|><|endoftext|>b<|endof", "x\n\n\nyes", "\n\n 12",
+    "\t\t!!", "''s 's ''", "\n's we'll \n\n'll they'r", "'!!!!'!! '''", " '", "\r\n\r\n  'tis", "a  \n  b", "1\u00b2\u00bd \u2460x", "\u2028\u2028z", "  \u3000q", "!!!<|endoftext|>", " <|endoftext|", "\x1c\x1dm",
+    "don\u2019t", "'sx 'rex", "I'm'm", "x  ", "\n", " ", "\n \n \n a", "e\u0301e\u0301 \U0001f600\U0001f600 !", "\u00a0\u00a0word", "AB12cd!? '", "''''a", "'d'd 'vee", "...\n\n...", "a\u200bb", "\ufb01 \u0130x",
+    "tab\tand\vfeed\f", "-- --  --", "a'b'c's", "\n\n\n", "9" * 40 + "x"]
+
+
 def test_every_prefix_has_its_own_count(spark):
-    texts = ["can't stop,  won't\n\n stop 123abc", "na\u00efve \u4e2d\u6587 x\u0301 \u00a0y", "   lead and trail   ", "<|endoftext|> a"]
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    df = spark.createDataFrame(list(enumerate(ODD_PREFIXES)), "doc_id bigint, text string")
     t = library()
     for r in token_counts.prefix_tables(df, public_tokenizers.path("byte_bpe_50k.json")).collect():
-        counts, text = token_counts.counts_of(bytes(r.prefix_deltas)), texts[r.doc_id]
-        assert counts[-1] == len(t.encode(text, add_special_tokens=False).ids)
-        assert len(counts) == len(text) + 1
+        counts, text = token_counts.counts_of(bytes(r.prefix_deltas)), ODD_PREFIXES[r.doc_id]
+        assert counts.tolist() == [len(t.encode(text[:k], add_special_tokens=False).ids) for k in range(len(text) + 1)], text
+
+
+@pytest.mark.parametrize("text", ["\n\n" + "ab" * 50_000, "'" + "!?" * 50_000, "\n" + "-" * 100_000, " \t" * 50_000 + "x", "<|endoftext|>" * 5_000], ids=["letters", "signs", "dashes", "white", "added"])
+def test_long_runs_take_linear_time(text):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), "rb") as f:
+        counter = token_counts.PrefixCounter(f.read())
+    begin = time.perf_counter()
+    table = counter.table(text)
+    assert time.perf_counter() - begin < 6
+    assert token_counts.counts_of(table)[-1] == len(library().encode(text, add_special_tokens=False).ids)
 
 
 def test_base_rules(spark, small_docs):

@@ -9,7 +9,7 @@ of a word gives the encoding of all of them. Texts are cut into units first, at
 depend on what follows; units repeat, so their deltas are kept per worker in a bounded table.
 
 Defined results: a null or empty text has no tokens and an empty table; added tokens of the vocabulary that occur in a text count as one token
-each, as in the library; a change beyond one byte cannot occur, as a character adds at most four tokens
+each, as in the library, and as plain text in prefixes that end inside them; a change beyond one byte cannot occur, as a character adds at most four tokens
 and takes away fewer than 128. Any length is handled, in time linear in the text (a token has at most 128 bytes).
 """
 
@@ -114,35 +114,47 @@ class PrefixCounter:
         elif unit[0].isspace() and unit[0] != " " and unit[1:].isalpha():  # as after a line end
             head = self.whole(unit[0])
             counts = [head, *(head + k for k in self.piece(unit[1:]))]
-        else:  # the cut may change while the unit grows
-            counts, pieces = [], self.split.findall(unit)
-            white = self.white.match(unit).end()
-            if white > 1:  # a run of white space is one piece until something follows
-                counts = self.piece(unit[:white])
-                stable = pieces[0] if white < len(unit) else ""
-                fixed = self.piece(stable)[-1] if stable else 0
-                rest = unit[len(stable):]
-                for k in range(white + 1 - len(stable), len(rest) + 1):
-                    counts.append(fixed + self.whole(rest[:k]))
-            else:
-                counts = [self.whole(unit[:k]) for k in range(1, len(unit) + 1)]
+        else:
+            counts = self.growing(unit)
         return bytes([(b - a) & 255 for a, b in zip([0, *counts], counts)])
 
+    def growing(self, unit: str) -> list[int]:
+        """Counts for all prefixes of white space and a run, each read once.
+
+        While it grows, white space is one piece. Once a character follows, its last character stands alone or, if it is a space, belongs to the run; from then on
+        all pieces but the last are fixed, and the last one grows by characters of its own kind. Only a contraction is a different cut while incomplete.
+        """
+        white = self.white.match(unit).end()
+        counts = self.piece(unit[:white]) if white else []
+        if white == len(unit):
+            return counts
+        joins = unit[:white].endswith(" ")
+        fixed = self.piece(unit[:white - 1])[-1] if white > 1 else 0
+        if white and not joins:
+            fixed += self.piece(unit[white - 1])[-1]
+        run = []
+        for piece in self.split.findall(unit[white - joins:]):
+            short = piece[0] == "'" and len(piece) <= 3
+            part = [self.whole(piece[:k]) for k in range(1, len(piece) + 1)] if short else self.piece(piece)
+            run += [fixed + k for k in part]
+            fixed += part[-1]
+        return counts + run[joins:]
+
     def whole(self, text: str) -> int:
         if self.plain.fullmatch(text):
             return self.piece(text)[-1]
         return sum(self.piece(p)[-1] for p in self.split.findall(text))
 
     def table(self, text: str) -> bytes:
-        """The prefix table of a text: one signed byte per character."""
-        if self.added and (m := self.added.search(text)):
-            out, at = [], 0
-            while m:
-                out += [self.table_plain(text[at:m.start()]), b"\1", bytes(m.end() - m.start() - 1)]
-                at = m.end()
-                m = self.added.search(text, at)
-            return b"".join([*out, self.table_plain(text[at:])])
-        return self.table_plain(text)
+        """The prefix table of a text: one signed byte per character. An added token is plain text until its last character, which makes it one token."""
+        out, at = [], 0
+        for m in self.added.finditer(text) if self.added else ():
+            before = m.start() - at
+            part = self.table_plain(text[at:m.end()])[:-1]
+            steps = np.frombuffer(part, np.int8)
+            out += [part, bytes([(1 - int(steps[before:].sum(dtype=np.int64))) & 255])]
+            at = m.end()
+        return b"".join([*out, self.table_plain(text[at:])])
 
     def table_plain(self, text: str) -> bytes:
         units = (self.unit if self.uncommon.search(text) else self.common_unit).findall(text)
