@@ -7,12 +7,14 @@ underscores, lower-cased). The search, over item-sized windows:
    shares a word run of that length (at most three words) with the item, and a window is placed where such a run would put it.
 2. The CGK walk embeds a window: step by step it writes the current word and moves on or stays, as a random bit of (step, word) says. Few
    edits become few differing places. A repeat samples ``SAMPLED`` places of its own walk; the sampled words are the key of a hash table over items.
-3. As many repeats are made as reach ``RECALL``, measured on the items themselves with the largest allowed number of random edits.
-4. Every pair that a table gives is verified by the exact edit distance between the item and any run of the words around the window.
+3. As many repeats are made as reach ``RECALL`` for the items of about one length, by the lower bound of the chance of one repeat, measured on those items with the largest allowed number of
+   random edits. Lengths that would need more than ``REPEATS`` (long items: an edit shifts many steps of the walk) skip the tables: every window of step 1 is verified, which misses nothing.
+4. Every pair that is left is verified by the exact edit distance between the item and any run of the words around the window; windows that overlap are verified together.
 
-The items are the stated query set: they are read in blocks of at most ``BLOCK_CHARS`` characters, each broadcast to one narrow pass.
+The items are the stated query set: they are read in blocks of at most ``BLOCK_CHARS`` characters, each broadcast to one narrow pass. Texts are searched in slices of
+``SLICE_BYTES``, and windows are embedded in blocks of ``CELLS`` words, so memory grows with one text and one item, not with their product.
 
-Defined results: items of fewer than ``MIN_WORDS`` words are not searched for (they occur everywhere); null and empty texts hold nothing;
+Defined results: an item of fewer than ``MIN_WORDS`` words is no evidence and is not searched for; null and empty texts hold nothing;
 of several places the one with fewest edits, then the first, is given; items with equal texts are found each by its id; repeated rows are searched one by one;
 an empty table on either side gives an empty result; other columns are not read. Whole texts are searched, at any length.
 """
@@ -28,14 +30,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidecast.llm.common import query, scan, worker_cache
+from tidecast.llm.common import query, row_slices, scan, worker_cache
 from tidecast.llm.hashing import mixed
 
-EDITS, RECALL = 20, 0.99
-SAMPLED, MAX_REPEATS = 2, 48
+EDITS, RECALL = 20, 0.999
+SAMPLED, REPEATS = 2, 160
 MIN_WORDS = 6
 BLOCK_CHARS = 8_000_000
-ROWS = 8192
+SLICE_BYTES, CELLS = 4_000_000, 4_000_000
+#: Beyond this many words a walk of the table would take more steps than the edit distance; such items are not walked.
+LONGEST_WALK = 400
 WORD = re.compile(r"\w+")
 PAD = -1
 
@@ -50,6 +54,22 @@ def intact(n: int) -> int:
     return max(1, min(3, (n - d) // (d + 1)))
 
 
+def length_class(n: np.ndarray) -> np.ndarray:
+    """Lengths within about a quarter of each other."""
+    return np.floor(np.log(np.maximum(n, 1)) / np.log(1.25)).astype(np.int64)
+
+
+def runs(sorted_places: list[int], reach: int):
+    """Runs of places, no two neighbours of which are further apart than half of ``reach``, cut where they grow beyond four times it."""
+    run = sorted_places[:1]
+    for at in sorted_places[1:]:
+        if at - run[-1] > reach // 2 or at - run[0] > 4 * reach:
+            yield run
+            run = []
+        run.append(at)
+    yield run
+
+
 def sampled_keys(rows: np.ndarray, sizes: np.ndarray, seed: int, symbols: int) -> np.ndarray:
     """The key of each row under one repeat. A row holds word numbers below ``symbols``, ``sizes`` of them, then PAD."""
     steps = 2 * int(sizes.max())
@@ -106,8 +126,15 @@ class Items:
                 found.sort()
                 codes, owner, offset = map(np.array, zip(*found))
                 self.seeds[q] = codes, owner, offset
-        self.repeats = self.needed()
-        keys = sorted((k, j) for r in range(self.repeats) for j, k in enumerate(self.keys_of(self.items, r).tolist()))
+        self.sizes = np.array([len(i) for i in self.items], np.int64)
+        #: Repeats by length class; 0 where every window is verified.
+        self.repeats = {c: self.needed(np.flatnonzero(length_class(self.sizes) == c)) for c in np.unique(length_class(self.sizes)).tolist()}
+        keys = []
+        for c, repeats in self.repeats.items():
+            members = np.flatnonzero(length_class(self.sizes) == c)
+            for r in range(repeats):
+                keys += zip(self.keys_of([self.items[j] for j in members], r).tolist(), members.tolist())
+        keys.sort()
         self.keys = np.array([k for k, _ in keys], np.uint64)
         self.owners = np.array([j for _, j in keys], np.int64)
 
@@ -133,23 +160,29 @@ class Items:
             out = out * self.base + ids[k:len(ids) - q + 1 + k]
         return out
 
-    def needed(self) -> int:
-        """Repeats for the target recall: the chance of one repeat, on items with as many random edits as are allowed."""
-        rng, hits, tries, edited = np.random.default_rng(11), 0, 0, []
-        for it in self.items[:200]:
-            row = it.tolist()
-            for _ in range(allowed(len(it))):
+    def needed(self, members: np.ndarray, copies: int = 400) -> int:
+        """Repeats for the target recall in one length class, or 0 where that takes too many. The chance of one repeat is measured on about ``copies`` copies of its items with
+        as many random edits as are allowed, and taken two deviations lower."""
+        if allowed(int(self.sizes[members].min())) and self.sizes[members].min() > LONGEST_WALK:
+            return 0
+        rng, hits, tries, edited, source = np.random.default_rng(11), 0, 0, [], []
+        for j in np.resize(members, copies).tolist():
+            row = self.items[j].tolist()
+            for _ in range(allowed(len(row))):
                 at, kind = int(rng.integers(len(row))), int(rng.integers(3))
                 row[at:at + (kind != 1)] = [] if kind == 0 else [0]
-            edited.append(np.array((row + [PAD] * len(it))[:len(it)]))
-        for r in range(4 if edited else 0):
-            same = self.keys_of(edited, r) == self.keys_of(self.items[:len(edited)], r)
+            edited.append(np.array((row + [PAD] * len(self.items[j]))[:len(self.items[j])]))
+            source.append(self.items[j])
+        for r in range(4):
+            same = self.keys_of(edited, r) == self.keys_of(source, r)
             hits, tries = hits + int(same.sum()), tries + len(same)
-        p = min(0.95, max(0.02, hits / tries)) if tries else 0.95
-        return min(MAX_REPEATS, math.ceil(math.log(1 - RECALL) / math.log(1 - p)))
+        p = hits / tries
+        p = min(0.95, p - 2 * math.sqrt(p * (1 - p) / tries))
+        repeats = math.ceil(math.log(1 - RECALL) / math.log(1 - p)) if p > 0 else REPEATS + 1
+        return repeats if repeats <= REPEATS else 0
 
     def candidates(self, ids: np.ndarray) -> np.ndarray:
-        """(start, item) pairs, each once, from the intact runs."""
+        """(start, item, place of the run) of every window that an intact run asks for; each (start, item) of a text once."""
         out = []
         for q, (codes, owner, offset) in self.seeds.items():
             known = np.flatnonzero(ids > 0)
@@ -164,51 +197,71 @@ class Items:
             some = n > 0
             lo, n, where = lo[some], n[some], known[some]
             each = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            out.append(np.column_stack([np.repeat(where, n) - offset[each], owner[each]]))
-        return np.unique(np.concatenate(out), axis=0) if out else np.empty((0, 2), np.int64)
+            out.append(np.column_stack([np.repeat(where, n) - offset[each], owner[each], np.repeat(where, n)]))
+        return np.concatenate(out) if out else np.empty((0, 3), np.int64)
+
+    def embedded(self, ids: np.ndarray, windows: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> set[tuple[int, int, int]]:
+        """(row, start, item) of the windows (row, start, size) whose key a table holds."""
+        found: set[tuple[int, int, int]] = set()
+        for c, repeats in self.repeats.items():
+            mine = windows[length_class(windows[:, 2]) == c]
+            mine = mine[np.argsort(mine[:, 2], kind="stable")]
+            step = max(1, CELLS // int(mine[-1, 2] + 1)) if len(mine) else 1
+            for part in range(0, len(mine) if repeats else 0, step):
+                row, start, n = mine[part:part + step].T
+                place = start[:, None] + np.arange(n.max() + 1)
+                inside = (place < (start + n)[:, None]) & (place >= begins[row][:, None]) & (place < ends[row][:, None])
+                words = np.where(inside, ids[np.clip(place, 0, len(ids) - 1)], PAD)
+                for r in range(repeats):
+                    key = sampled_keys(words, n, r, self.base)
+                    lo, hi = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
+                    for k in np.flatnonzero(hi > lo).tolist():
+                        found.update((int(row[k]), int(start[k]), int(j)) for j in self.owners[lo[k]:hi[k]])
+        return found
 
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(row, item number, edits, begin, end) of every item that a text holds; begin and end count words."""
         get = self.number.get
         numbered = [np.fromiter(map(get, WORD.findall(t.lower()), itertools.repeat(0)), np.int64) if t else np.empty(0, np.int64) for t in texts]
-        gap = max((len(i) for i in self.items), default=0)  # no window reaches from one text into the next
-        lengths = np.array([len(w) for w in numbered])
-        begins = np.cumsum(lengths + gap) - lengths
-        ids = np.full(int((lengths + gap).sum()) + 2 * gap + 1, PAD, np.int64)
+        lengths = np.array([len(w) for w in numbered], np.int64)
+        begins = np.cumsum(lengths + 1) - lengths                # a gap before each text: no run of words reaches over it
+        ends = begins + lengths
+        ids = np.full(int((lengths + 1).sum()) + 1, PAD, np.int64)
         for at, w in zip(begins, numbered):
             ids[at:at + len(w)] = w
-        pairs = self.candidates(ids)
-        if not len(pairs):
+        hits = self.candidates(ids)
+        if not len(hits):
             return []
-        sizes = np.array([len(i) for i in self.items], np.int64)
-        windows = np.unique(np.column_stack([pairs[:, 0], sizes[pairs[:, 1]]]), axis=0)
-        found: set[tuple[int, int]] = set()
-        for part in range(0, len(windows), 50_000):
-            start, n = windows[part:part + 50_000].T
-            span = np.arange(n.max() + 1)
-            rows = np.where(span < n[:, None], ids[np.clip(start[:, None] + span, 0, len(ids) - 1)], PAD)
-            for r in range(self.repeats):
-                key = sampled_keys(rows, n, r, self.base)
-                lo, hi = np.searchsorted(self.keys, key), np.searchsorted(self.keys, key, side="right")
-                for k in np.flatnonzero(hi > lo).tolist():
-                    found.update((int(start[k]), int(j)) for j in self.owners[lo[k]:hi[k]])
-        out: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for start, j in sorted(found):
-            item = self.items[j]
-            d = allowed(len(item))
-            row = int(np.clip(np.searchsorted(begins, start + gap // 2, side="right") - 1, 0, len(begins) - 1))
-            first = max(int(begins[row]), start - d)
-            words = ids[first:max(first, min(int(begins[row] + lengths[row]), start + len(item) + d))]
-            if np.isin(item, words).sum() < len(item) - d:  # each missing word costs an edit
-                continue
-            edits, end = best_run(item, words)
-            if edits <= d:
-                length = best_run(item[::-1], words[:end][::-1])[1]
-                stop = first + end - int(begins[row])
-                place = (edits, stop - length, stop)
-                if (row, j) not in out or place < out[row, j]:
-                    out[row, j] = place
-        return [(r, j, *place) for (r, j), place in sorted(out.items())]
+        row = np.searchsorted(begins, hits[:, 2], side="right") - 1
+        hits = np.unique(np.column_stack([row, hits[:, 0], hits[:, 1]]), axis=0)
+        whole = np.isin(length_class(self.sizes), [c for c, repeats in self.repeats.items() if not repeats])[hits[:, 2]]
+        walked = hits[~whole]
+        found = self.embedded(ids, np.unique(np.column_stack([walked[:, :2], self.sizes[walked[:, 2]]]), axis=0), begins, ends)
+        pairs: dict[tuple[int, int], list[int]] = {}
+        for r, start, j in itertools.chain(found, map(tuple, hits[whole].tolist())):
+            pairs.setdefault((r, j), []).append(start)
+        out = []
+        for (r, j), starts in sorted(pairs.items()):
+            item, n, d = self.items[j], len(self.items[j]), allowed(len(self.items[j]))
+            best = None
+            for near in runs(sorted(starts), 2 * d + n):
+                same = next((s for s in near if np.array_equal(ids[s:s + n], item)), None)
+                if same is not None:
+                    place = (0, same - int(begins[r]), same + n - int(begins[r]))
+                    best = min(best or place, place)
+                    continue
+                first = max(int(begins[r]), near[0] - d)
+                words = ids[first:max(first, min(int(ends[r]), near[-1] + n + d))]
+                if np.isin(item, words).sum() < n - d:            # each missing word costs an edit
+                    continue
+                edits, end = best_run(item, words)
+                if edits <= d:
+                    length = best_run(item[::-1], words[:end][::-1])[1]
+                    stop = first + end - int(begins[r])
+                    best = min(best or (edits, stop - length, stop), (edits, stop - length, stop))
+            if best:
+                out.append((r, j, *best))
+        return out
 
 
 def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_key: str = "item_id") -> DataFrame:
@@ -225,17 +278,14 @@ def contaminated(docs: DataFrame, items: DataFrame, key: str = "doc_id", item_ke
         shared, name = spark.sparkContext.broadcast(vars(Items([tuple(r) for r in rows]))), f"items_{uuid.uuid4().hex}"
 
         def run(batches, shared=shared, name=name):
-            for batch in batches:
+            for part in row_slices(batches, 1, SLICE_BYTES):
                 block = worker_cache(name, lambda: Items.of(shared.value))
-                ids = batch.column(0)
-                texts = batch.column(1).to_pylist()
-                for k in range(0, len(texts), ROWS):
-                    got = block.search(texts[k:k + ROWS])
-                    if got:
-                        row, j, edits, begin, end = zip(*got)
-                        yield pa.RecordBatch.from_arrays(
-                            [ids.take(pa.array([k + r for r in row])), pa.array([block.ids[x] for x in j], pa.int64()), pa.array([len(block.items[x]) for x in j], pa.int64()),
-                             *(pa.array(c, pa.int64()) for c in (edits, begin, end))], [f.split()[0] for f in schema.split(", ")])
+                got = block.search(part.column(1).to_pylist())
+                if got:
+                    row, j, edits, begin, end = zip(*got)
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column(0).take(pa.array(row)), pa.array([block.ids[x] for x in j], pa.int64()), pa.array([len(block.items[x]) for x in j], pa.int64()),
+                         *(pa.array(c, pa.int64()) for c in (edits, begin, end))], [f.split()[0] for f in schema.split(", ")])
 
         part = docs.select(key, "text").mapInArrow(run, schema)
         out = part if out is None else out.union(part)
