@@ -211,7 +211,13 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
     return index.select("file", "offset", "length").mapInArrow(run, out)
 
 
-@query("op5_warc_normaliser")
+#: Five hex digits' worth of 20 bits are four characters; 40 bits at a time fit a number.
+BASE32_SQL = " || ".join(f"translate(to_base(CAST('0x' || substr(h, {1 + 10 * k}, 10) AS BIGINT), 32, 8), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567')" for k in range(4))
+
+
+@query("op5_warc_normaliser", f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages)
+    SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {BASE32_SQL} AS payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id <> top THEN top END AS refers_to FROM p""")
 def op5_warc_normaliser(spark, folder):
     """All pages, written as monolithic archives, normalised, and read back record by record."""
     place = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
