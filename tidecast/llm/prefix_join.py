@@ -7,7 +7,8 @@ A document's set is its distinct word shingles. Two documents link when their se
   other. A task sends the prefix of a group once.
 * Shingles are ordered by hash, but those that often occur in prefixes come last, by frequency. Any order is right; this one keeps lists of
   shared passages short. The table of late shingles has at most ``MAX_LATE`` entries, whatever the corpus; with more, only the most frequent move.
-* A set's prefix is long enough that linked sets share ``SHARED`` prefix shingles (fewer for tiny sets). Pairs with fewer are no candidates.
+* A set's prefix is long enough that linked sets share ``SHARED`` prefix shingles (fewer for tiny sets). Pairs with fewer are no candidates, nor are pairs that meet at places from which
+  on the sets are too short for a link: documents that only share a passage meet late, as its shingles come last.
 * Round one compares each member of a list with one hub of the list, and each class of a group with one of the group, and joins what links. Round two
   lists the pairs that are still in different components. So a large group of near copies costs about one comparison a member, and yet no
   link between components is lost.
@@ -25,14 +26,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidecast.llm.common import query, scan, stored
+from tidecast.llm.common import query, row_slices, scan, stored
 from tidecast.llm.graph import components
 from tidecast.llm.hashing import ODD, mixed, window_hashes, word_hashes
 
 WORDS, PERCENT, SHARED = 5, 80, 3
 LATE_FROM, MAX_LATE = 8, 1_000_000
 FILTER_BITS = 1 << 26
-ROWS = 2048
+SLICE_BYTES = 1 << 20
 
 
 def shingle_sets(column: pa.Array) -> list[np.ndarray]:
@@ -80,10 +81,8 @@ def prefix(s: np.ndarray, late: np.ndarray, order: np.ndarray) -> np.ndarray:
 
 
 def batches_of(batches, columns: int):
-    for batch in batches:
-        for k in range(0, batch.num_rows, ROWS):
-            part = batch.slice(k, ROWS)
-            yield [part.column(j) for j in range(columns)], shingle_sets(part.column(columns))
+    for part in row_slices(batches, columns, SLICE_BYTES):
+        yield [part.column(j) for j in range(columns)], shingle_sets(part.column(columns))
 
 
 def late_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -166,33 +165,30 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                     at = (fp % FILTER_BITS, (fp >> 30) % FILTER_BITS)
                     if fp not in seen and all(int(words[k >> 6]) >> (k & 63) & 1 for k in at):
                         seen.add(fp)
-                        names.append(fp), values.append(s.tobytes())
+                        names.append(fp), values.append(s.view(np.int64))
             if names:
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(values, pa.binary())], ["fp", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(values, pa.list_(pa.int64()))], ["fp", "shingles"])
 
-    whole = docs.select("text").mapInArrow(sets, "fp bigint, shingles binary")
+    whole = docs.select("text").mapInArrow(sets, "fp bigint, shingles array<bigint>")
     whole = stored(whole.groupBy("fp").agg(F.first("shingles").alias("shingles")), "sets")
     left = pairs.join(whole.withColumnRenamed("shingles", "sa"), F.col("a") == F.col("fp")).drop("fp")
     full = left.join(whole.withColumnRenamed("shingles", "sb"), F.col("b") == F.col("fp")).select("a", "b", "sa", "sb")
 
-    def compare(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                same = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * same >= PERCENT * (len(x) + len(y) - same))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
-
-    return stored(full.mapInArrow(compare, "a bigint, b bigint"), "links")
+    same = F.size(F.array_intersect("sa", "sb"))
+    linked = 100 * same >= PERCENT * (F.size("sa") + F.size("sb") - same)
+    return stored(full.where(linked).select("a", "b"), "links")
 
 
 def like_sizes(x: str, y: str):
     return (100 * F.col(x) >= PERCENT * F.col(y)) & (100 * F.col(y) >= PERCENT * F.col(x))
 
 
+def enough_left(n: str, at: str, m: str, to: str):
+    """From a shared shingle on, both sets still hold what a link needs. Holds for the first ``SHARED`` common shingles of sets that link, so their count stands."""
+    need = F.ceil((F.col(n) + F.col(m)) * PERCENT / (100 + PERCENT))
+    return F.least(F.col(n) - F.col(at), F.col(m) - F.col(to)) >= need - (SHARED - 1)
+
+
 def ordered(a, b):
     return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
 
@@ -201,13 +197,13 @@ def links(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """(v, c): the component of every class that has a link."""
     classes = stored(marks.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("g").alias("g")), "classes")
     groups = classes.groupBy("g").agg(F.min("fp").alias("head"), F.first("n").alias("n"), F.count("*").alias("k"))
-    post = marks.where("prefix is not null").select("g", "n", F.explode("prefix").alias("shingle")).repartition("shingle").distinct()
-    sizes = post.groupBy("shingle").agg(F.count("*").alias("k"), F.min(F.struct("n", "g")).alias("hub")).where("k > 1")
-    lists = stored(post.join(sizes, "shingle").select("shingle", "g", "n", F.col("hub.g").alias("hub"), F.col("hub.n").alias("hub_n")), "lists")
+    post = marks.where("prefix is not null").select("g", "n", F.posexplode("prefix").alias("at", "shingle")).repartition("shingle").distinct()
+    sizes = post.groupBy("shingle").agg(F.count("*").alias("k"), F.min(F.struct("n", "g", "at")).alias("hub")).where("k > 1")
+    lists = stored(post.join(sizes, "shingle").select("shingle", "g", "n", "at", F.col("hub.g").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at")), "lists")
     need = F.least(F.lit(SHARED), F.ceil(F.least("n", "m") * PERCENT / 100))
 
     # round one: hubs
-    star = (lists.where("g <> hub").where(like_sizes("n", "hub_n")).groupBy("g", "hub").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("hub_n").alias("m"))
+    star = (lists.where("g <> hub").where(like_sizes("n", "hub_n") & enough_left("n", "at", "hub_n", "hub_at")).groupBy("g", "hub").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("hub_n").alias("m"))
             .where(F.col("k") >= need))
     head = groups.select(F.col("g").alias("_g"), "head")
     star = star.join(head, star["g"] == F.col("_g")).select("hub", F.col("head").alias("x")).join(head, F.col("hub") == F.col("_g"))
@@ -221,12 +217,12 @@ def links(docs: DataFrame, marks: DataFrame) -> DataFrame:
     spans = labelled.groupBy("g").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
     of_group = lists.join(spans, "g")
     hub = spans.select(F.col("g").alias("hub"), F.col("lo").alias("hub_c"))
-    of_group = of_group.join(hub, "hub").select("shingle", "g", "n", "lo", "hi", ((F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("hub_c"))).alias("odd"))
+    of_group = of_group.join(hub, "hub").select("shingle", "g", "n", "at", "lo", "hi", ((F.col("lo") != F.col("hi")) | (F.col("lo") != F.col("hub_c"))).alias("odd"))
     of_group = stored(of_group, "spans")
-    other = of_group.select("shingle", F.col("g").alias("og"), F.col("n").alias("m"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"), F.col("odd").alias("oodd"))
+    other = of_group.select("shingle", F.col("g").alias("og"), F.col("n").alias("m"), F.col("at").alias("oat"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"), F.col("odd").alias("oodd"))
     apart = (F.col("lo") != F.col("olo")) | (F.col("lo") != F.col("hi")) | (F.col("olo") != F.col("ohi"))
     met = of_group.where("odd").join(other, "shingle").where((F.col("g") != F.col("og")) & (~F.col("oodd") | (F.col("g") < F.col("og")))
-                                                             & apart & like_sizes("n", "m"))
+                                                             & apart & like_sizes("n", "m") & enough_left("n", "at", "m", "oat"))
     met = met.select(*ordered("g", "og"), "n", "m").groupBy("a", "b").agg(F.count("*").alias("k"), F.first("n").alias("n"), F.first("m").alias("m")).where(F.col("k") >= need)
     one = labelled.select(F.col("g").alias("a"), F.col("fp").alias("x"), F.col("c").alias("xc"))
     two = labelled.select(F.col("g").alias("b"), F.col("fp").alias("y"), F.col("c").alias("yc"))
@@ -253,7 +249,19 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         key, F.col("n").alias("n_shingles"), F.coalesce("class_id", own).alias("class_id"), F.coalesce("component_id", own).alias("component_id"))
 
 
-@query("op8_jaccard_join")
+COMPONENTS_SQL = r"""WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+    u AS (SELECT doc_id, len(w) AS size, unnest(w) AS w0, unnest(range(len(w))) AS p FROM t), l AS (SELECT doc_id, p, size, w0, lead(w0) OVER o AS w1, lead(w0, 2) OVER o AS w2, lead(w0, 3) OVER o AS w3,
+        lead(w0, 4) OVER o AS w4 FROM u WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+    g AS (SELECT DISTINCT doc_id, concat_ws(' ', w0, w1, w2, w3, w4) AS g FROM l WHERE w4 IS NOT NULL OR (size < 5 AND p = 0)),
+    x AS (SELECT doc_id, g, count(*) OVER (PARTITION BY doc_id) AS n FROM g), both_ AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+    link AS (SELECT a, b, n = m AND k = n AS same FROM both_ WHERE 100 * k >= 80 * (n + m - k)),
+    reach AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a)
+    SELECT t.doc_id, coalesce(n, 0) AS n_shingles, least(t.doc_id, coalesce(c.b, t.doc_id)) AS class_id, least(t.doc_id, coalesce(r.b, t.doc_id)) AS component_id
+    FROM t LEFT JOIN (SELECT doc_id, any_value(n) AS n FROM x GROUP BY 1) x USING (doc_id) LEFT JOIN (SELECT a, min(b) AS b FROM link WHERE same GROUP BY 1) c ON c.a = t.doc_id
+    LEFT JOIN (SELECT a, min(b) AS b FROM reach GROUP BY 1) r ON r.a = t.doc_id"""
+
+
+@query("op8_jaccard_join", COMPONENTS_SQL)
 def op8_jaccard_join(spark, folder):
     """Components of all whole documents."""
     return jaccard_components(scan(spark, folder, "documents", "doc_id", "text"))
