@@ -9,7 +9,8 @@ A document's set is its distinct word shingles. Two documents link when their se
   shared passages short. The table of late shingles has at most ``MAX_LATE`` entries, whatever the corpus; with more, only the most frequent move.
 * A set's prefix is long enough that linked sets share ``SHARED`` prefix shingles (fewer for tiny sets). Pairs with fewer are no candidates, nor are pairs that meet at places from which
   on the sets are too short for a link: documents that only share a passage meet late, as its shingles come last.
-* Round one compares each member of a list with one hub of the list, and each class of a group with one of the group, and joins what links. Round two
+* The hub of a list is the group that holds its shingle at the earliest place: the one with the fewest shingles of its own, as an original among its edited copies.
+* Round one compares each member of a list with the hub, and each class of a group with one of the group, and joins what links. Round two
   lists the pairs that are still in different components. So a large group of near copies costs about one comparison a member, and yet no
   link between components is lost.
 * Candidates are verified on whole sets. Those are worked out again from the text, for classes that are candidates only (a
@@ -198,7 +199,7 @@ def links(docs: DataFrame, marks: DataFrame) -> DataFrame:
     classes = stored(marks.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("g").alias("g")), "classes")
     groups = classes.groupBy("g").agg(F.min("fp").alias("head"), F.first("n").alias("n"), F.count("*").alias("k"))
     post = marks.where("prefix is not null").select("g", "n", F.posexplode("prefix").alias("at", "shingle")).repartition("shingle").distinct()
-    sizes = post.groupBy("shingle").agg(F.count("*").alias("k"), F.min(F.struct("n", "g", "at")).alias("hub")).where("k > 1")
+    sizes = post.groupBy("shingle").agg(F.count("*").alias("k"), F.min(F.struct("at", "n", "g")).alias("hub")).where("k > 1")
     lists = stored(post.join(sizes, "shingle").select("shingle", "g", "n", "at", F.col("hub.g").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at")), "lists")
     need = F.least(F.lit(SHARED), F.ceil(F.least("n", "m") * PERCENT / 100))
 
