@@ -5,11 +5,13 @@ A document's set is its distinct word shingles. Two documents link when their se
 
 * Equal sets are one class; classes with the same size and the same prefix are one group, and prefix lists hold groups, so copies never meet each
   other. A task sends the prefix of a group once.
-* Shingles are ordered by hash, but those that often occur in prefixes come last, by frequency. Any order is right; this one keeps lists of
-  shared passages short. The table of late shingles has at most ``MAX_LATE`` entries, whatever the corpus; with more, only the most frequent move.
+* Shingles are ordered by hash, but frequent ones come last, by frequency. Any order is right; this one keeps lists of
+  shared passages short, and a copy with edits of its own has them first, so that it meets others only if it is near enough. How frequent a shingle is is told from the whole sets of one class in
+  ``ORDER_ONE_IN``, chosen by hash, which is enough to find those of large groups; this sets the order only, all sets are joined. (Counts of prefixes would not do: behind the
+  frequent shingles of a prefix come others as frequent that were in no prefix.) The table of late shingles has at most ``MAX_LATE`` entries, whatever the corpus; with more, only the most frequent move.
 * A set's prefix is long enough that linked sets share ``SHARED`` prefix shingles (fewer for tiny sets). Pairs with fewer are no candidates, nor are pairs that meet at places from which
   on the sets are too short for a link: documents that only share a passage meet late, as its shingles come last.
-* The hub of a list is the group that holds its shingle at the earliest place: the one with the fewest shingles of its own, as an original among its edited copies.
+* The hub of a list is the group with the fewest early shingles in its prefix: the one with the least of its own, as an original among its edited copies. So the lists of near copies have the same hub.
 * Round one compares each member of a list with the hub, and each class of a group with one of the group, and joins what links. Round two
   lists the pairs that are still in different components. So a large group of near copies costs about one comparison a member, and yet no
   link between components is lost.
@@ -32,7 +34,7 @@ from tidecast.llm.graph import components
 from tidecast.llm.hashing import ODD, mixed, window_hashes, word_hashes
 
 WORDS, PERCENT, SHARED = 5, 80, 3
-LATE_FROM, MAX_LATE = 8, 1_000_000
+ORDER_ONE_IN, LATE_FROM, MAX_LATE = 16, 2, 1_000_000
 FILTER_BITS = 1 << 26
 SLICE_BYTES = 1 << 20
 
@@ -68,17 +70,19 @@ def prefix_length(n: int) -> int:
     return n - -(-PERCENT * n // 100) + least_shared(n)
 
 
-def prefix(s: np.ndarray, late: np.ndarray, order: np.ndarray) -> np.ndarray:
-    """The first shingles of a set in the common order. ``late`` is sorted; ``order`` gives the place of each among them."""
+def prefix(s: np.ndarray, late: np.ndarray, order: np.ndarray) -> tuple[np.ndarray, int]:
+    """The first shingles of a set in the common order, and how many of them are early. ``late`` is sorted; ``order`` gives the place of each among them."""
     n = prefix_length(len(s))
     if not len(late):
-        return s[:n]
+        return s[:n], n
     at = np.minimum(np.searchsorted(late, s), len(late) - 1)
     moved = late[at] == s
     if not moved.any():
-        return s[:n]
+        return s[:n], n
     early = s[~moved]
-    return early[:n] if len(early) >= n else np.concatenate([early, s[moved][np.argsort(order[at[moved]])][:n - len(early)]])
+    if len(early) >= n:
+        return early[:n], n
+    return np.concatenate([early, s[moved][np.argsort(order[at[moved]])][:n - len(early)]]), len(early)
 
 
 def batches_of(batches, columns: int):
@@ -87,17 +91,15 @@ def batches_of(batches, columns: int):
 
 
 def late_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles found in at least ``LATE_FROM`` prefixes under the plain order, and their order by frequency; over all documents."""
-    none = np.empty(0, np.uint64)
-
+    """Shingles of at least ``LATE_FROM`` of the classes that tell the order, and their places by frequency."""
     def run(batches):
         seen = set()
         for _, sets in batches_of(batches, 0):
             found = []
             for s in sets:
-                if len(s) and (name := fingerprint(s)) not in seen:
+                if len(s) and (name := fingerprint(s)) % ORDER_ONE_IN == 0 and name not in seen:
                     seen.add(name)
-                    found.append(prefix(s, none, none))
+                    found.append(s)
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], ["shingle"])
 
@@ -119,26 +121,26 @@ def late_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame, key: str) -> DataFrame:
-    """(key, n, fp, g, prefix) of every document: set size, class, group, and the prefix where this task names the group first."""
+    """(key, n, fp, g, early, prefix) of every document: set size, class, group, and the prefix, of which ``early`` shingles are not late, where this task names the group first."""
     late = docs.sparkSession.sparkContext.broadcast(late_shingles(docs.select("text")))
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
         seen = set()
         for (ids,), sets in batches_of(batches, 1):
-            n, fps, gs, prefixes = [], [], [], []
+            n, fps, gs, earlies, prefixes = [], [], [], [], []
             for s in sets:
                 if not len(s):
-                    n.append(0), fps.append(None), gs.append(None), prefixes.append(None)
+                    n.append(0), fps.append(None), gs.append(None), earlies.append(0), prefixes.append(None)
                     continue
-                p = prefix(s, *late.value)
+                p, early = prefix(s, *late.value)
                 g = fingerprint(np.concatenate([p, [np.uint64(len(s))]]))
-                n.append(len(s)), fps.append(fingerprint(s)), gs.append(g), prefixes.append(None if g in seen else p.view(np.int64))
+                n.append(len(s)), fps.append(fingerprint(s)), gs.append(g), earlies.append(early), prefixes.append(None if g in seen else p.view(np.int64))
                 seen.add(g)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(gs, pa.int64()),
-                                              pa.array(prefixes, pa.list_(pa.int64()))], [key, "n", "fp", "g", "prefix"])
+            yield pa.RecordBatch.from_arrays([ids, pa.array(n, pa.int64()), pa.array(fps, pa.int64()), pa.array(gs, pa.int64()), pa.array(earlies, pa.int32()),
+                                              pa.array(prefixes, pa.list_(pa.int64()))], [key, "n", "fp", "g", "early", "prefix"])
 
-    return stored(docs.select(key, "text").mapInArrow(run, f"{key} {kind}, n bigint, fp bigint, g bigint, prefix array<bigint>"), "signed")
+    return stored(docs.select(key, "text").mapInArrow(run, f"{key} {kind}, n bigint, fp bigint, g bigint, early int, prefix array<bigint>"), "signed")
 
 
 def wanted_bits(pairs: DataFrame) -> np.ndarray:
@@ -198,8 +200,8 @@ def links(docs: DataFrame, marks: DataFrame) -> DataFrame:
     """(v, c): the component of every class that has a link."""
     classes = stored(marks.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("g").alias("g")), "classes")
     groups = classes.groupBy("g").agg(F.min("fp").alias("head"), F.first("n").alias("n"), F.count("*").alias("k"))
-    post = marks.where("prefix is not null").select("g", "n", F.posexplode("prefix").alias("at", "shingle")).repartition("shingle").distinct()
-    sizes = post.groupBy("shingle").agg(F.count("*").alias("k"), F.min(F.struct("at", "n", "g")).alias("hub")).where("k > 1")
+    post = marks.where("prefix is not null").select("g", "n", "early", F.posexplode("prefix").alias("at", "shingle")).repartition("shingle").distinct()
+    sizes = post.groupBy("shingle").agg(F.count("*").alias("k"), F.min(F.struct("early", "n", "g", "at")).alias("hub")).where("k > 1")
     lists = stored(post.join(sizes, "shingle").select("shingle", "g", "n", "at", F.col("hub.g").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.at").alias("hub_at")), "lists")
     need = F.least(F.lit(SHARED), F.ceil(F.least("n", "m") * PERCENT / 100))
 
