@@ -1,8 +1,21 @@
 """What bounds memory and work must not change results, and work must not grow with the square of a group."""
 import random
 
+import pytest
+
+from tests.conftest import SMALL
 from tests.llm.conftest import brute_components, by_id
-from tidecast.llm import prefix_join
+from tidecast.llm import bloom_lm, prefix_join
+
+
+@pytest.mark.parametrize("capacity", [60_000, 0])
+def test_ngrams_that_the_filter_does_not_hold(spark, monkeypatch, capacity):
+    want = by_id(bloom_lm.op9_bloom_lm(spark, SMALL))
+    monkeypatch.setattr(bloom_lm, "CAPACITY", capacity)
+    got = by_id(bloom_lm.op9_bloom_lm(spark, SMALL))
+    assert want.keys() == got.keys()
+    for k, r in want.items():
+        assert got[k].score == pytest.approx(r.score, rel=1e-6) and got[k].base_score == pytest.approx(r.base_score, rel=1e-9)
 
 
 def near_copies(members, words=150, most_edits=14, seed=5):

@@ -7,8 +7,8 @@ back by probing 1, 2, 3 … until one is missing, so it is never below the store
 Pairs are pairs of classes: each of the ``CLASS_WORDS`` most frequent words is its own class, every other word belongs to the class of its
 last two bytes. P(v | u) = LAMBDA * pair(u, v) / context(u) * share(v) + (1 - LAMBDA) * (word(v) + 1) / (N + V + 1), where share is 1 for a frequent word
 and otherwise that of the word in its class; every number is a probe. Where the n-grams of the whole corpus do not fit at the
-designed error, those with the least counts are left to the smoothing, by the smallest cut-off for which the rest fits; the counts themselves always
-cover all training texts.
+designed error, those with counts below the smallest cut-off for which the rest fits are not put into the filter but joined: a probe below the level of the cut-off says that an n-gram is not
+stored, and its count, quantised likewise, then comes from the count tables. So the size of the filter decides what is joined, not what is counted.
 
 The base score needs exact counts of every word. The ``HEAD`` most frequent words are broadcast with exact counts; all other
 occurrences are joined with the count table, so the base is exact at any vocabulary size.
@@ -93,14 +93,15 @@ def least_count(counts: DataFrame, most: int, weight=lambda n: 1) -> int:
     """The least count so that what is counted at least that often fits into ``most``."""
     total = 0
     for r in counts.groupBy("n").agg(F.count("*").alias("k")).orderBy(F.desc("n")).toLocalIterator():
-        total += r["k"] * weight(r["n"])
+        total += r["k"] * int(weight(r["n"]))
         if total > most:
             return r["n"] + 1
     return 1
 
 
 def level(n):
-    return 1 + int(np.log(n) / np.log(BASE) + 1e-9)
+    """The level of a count, or of an array of counts of at least 1."""
+    return (1 + np.floor(np.log(n) / np.log(BASE) + 1e-9)).astype(np.int64)
 
 
 class Lookup:
@@ -160,7 +161,7 @@ def filter_bits(entries: DataFrame) -> np.ndarray:
 
     def fill(key, table):
         keys = table.column("h").to_numpy().view(np.uint64)
-        top = 1 + np.floor(np.log(table.column("n").to_numpy()) / np.log(BASE) + 1e-9).astype(np.int64)
+        top = level(table.column("n").to_numpy())
         bits = np.zeros(BLOCK_BITS, bool)
         for step in range(1, int(top.max()) + 1):
             h = level_hash(keys[top >= step], step)
@@ -212,36 +213,71 @@ def train(docs: DataFrame) -> dict:
     def salted(df, salt):
         return df.select(F.col("h").bitwiseXOR(F.lit(int(salt))).alias("h"), "n")
 
-    entries = salted(unigrams, WORD_SALT).union(salted(context, CONTEXT_SALT)).union(salted(pairs, PAIR_SALT))
-    cut = least_count(entries, CAPACITY, level)
-    bits = filter_bits(entries.where(F.col("n") >= cut))
-    return {"n": n, "v": v, "unigrams": unigrams, "least": least, "cut": cut, "shared": (keys, counts, own.keys, own.values, bits)}
+    contexts = salted(context, CONTEXT_SALT)  # at most CLASSES rows, never cut
+    entries = salted(unigrams, WORD_SALT).union(salted(pairs, PAIR_SALT))
+    cut = least_count(entries.union(contexts), CAPACITY, level)
+    bits = filter_bits(entries.where(F.col("n") >= cut).union(contexts))
+    return {"n": n, "v": v, "unigrams": unigrams, "pairs": pairs, "least": least, "cut": cut, "shared": (cut, keys, counts, own.keys, own.values, bits)}
 
 
 class Scorer:
-    def __init__(self, n, v, keys, counts, own_keys, own_values, bits):
+    def __init__(self, n, v, cut, keys, counts, own_keys, own_values, bits):
         self.n, self.v, self.bits = n, v, bits
+        self.stored = level(np.array([cut]))[0] if cut > 1 else 0  # a probe below says that the filter does not hold a key
         self.head, self.own = Lookup(keys, counts), Lookup(own_keys, own_values)
+        self.context = count_at(levels_of(np.arange(CLASSES, dtype=np.uint64) ^ CONTEXT_SALT, bits))
+        held = levels_of(self.head.keys ^ WORD_SALT, bits)
+        if len(held):
+            held = np.where(held < self.stored, level(self.head.values), held)
+        self.head_words = Lookup(self.head.keys, held)
 
     def read(self, keys: np.ndarray, salt: np.uint64) -> np.ndarray:
-        return count_at(levels_of(keys ^ salt, self.bits))
+        """The counts that the filter holds; -1 where it says that a key may have been left out."""
+        levels = levels_of(keys ^ salt, self.bits)
+        return np.where(levels < self.stored, -1.0, count_at(levels))
 
     def score(self, h, suffix, first):
-        """Per token: exact head count (-1: not in the head) and log10 probability."""
+        """Per token: exact head count (-1: not in the head), log10 probability (0 where a count is to be joined), and for the tokens with such counts: place, pair key, word, share in the
+        context or what that takes, mass of the class (0: a frequent word), count of the word. A negative share or count is to be joined."""
         unique, back = np.unique(h, return_inverse=True)
-        exact = self.head.of(unique, -1)[back]
-        word = self.read(unique, WORD_SALT)[back]
-        c = classes_of(h, suffix, self.own)
+        known = self.head.of(unique, -1)
+        word = count_at(self.head_words.of(unique, 0))
+        rare = np.flatnonzero(known < 0)
+        word[rare] = self.read(unique[rare], WORD_SALT)
+        c = self.own.of(unique, -1)[back]
+        c = np.where(c >= 0, c, suffix)
         keys = pair_keys(c, first)
         pairs, again = np.unique(keys, return_inverse=True)
-        context = self.read(pairs >> np.uint64(20), CONTEXT_SALT)
-        pair = self.read(pairs, PAIR_SALT)
-        seen = np.minimum(1.0, pair / np.maximum(np.maximum(context, pair), 1.0))[again]
-        kinds, of_kind = np.unique(c, return_inverse=True)
-        mass = np.maximum(1.0, self.read(kinds.astype(np.uint64), CONTEXT_SALT))[of_kind]
-        share = np.where(c <= CLASS_WORDS, 1.0, np.minimum(1.0, (word + 0.5) / (1.5 * mass)))
+        context, pair = self.context[(pairs >> np.uint64(20)).astype(np.int64)], self.read(pairs, PAIR_SALT)
+        seen = np.where(pair < 0, -1 - context, np.minimum(1.0, pair / np.maximum(np.maximum(context, pair), 1.0)))[again]
+        mass, word = np.where(c <= CLASS_WORDS, 0.0, np.maximum(1.0, self.context[c])), word[back]
+        share = np.where(mass == 0, 1.0, np.minimum(1.0, (word + 0.5) / (1.5 * np.maximum(mass, 1.0))))
         p = LAMBDA * seen * share + (1 - LAMBDA) * np.minimum(1.0, (word + 1) / (self.n + self.v + 1))
-        return exact, np.log10(p)
+        rest = (seen < 0) | (word < 0)
+        at = np.flatnonzero(rest)
+        return known[back], np.log10(np.where(rest, 1.0, p)), (at, keys[at].view(np.int64), h[at].view(np.int64), seen[at], mass[at], word[at])
+
+
+REST = "array<struct<pair:bigint,word:bigint,seen:double,mass:double,count:double>>"
+
+
+def rest_logs(first_pass: DataFrame, model: dict) -> DataFrame:
+    """(rid, rest_logs): log10 probabilities of the tokens with a word or pair that the filter does not hold, their counts joined."""
+    def left_out(counts, key, value):
+        top = 1 + F.floor(F.log(F.col("n")) / float(np.log(BASE)) + 1e-9)
+        return counts.where(F.col("n") < model["cut"]).select(F.col("h").alias(key), F.lit(True).alias(f"{key}_out"),
+                                                              F.when(top > 1, F.pow(F.lit(BASE), top - 0.5)).otherwise(F.lit(1.0)).alias(value))
+
+    t = first_pass.select("rid", F.explode("rest").alias("t")).select("rid", "t.*")
+    t = t.withColumns({"pair_out": F.col("seen") < 0, "word_out": F.col("count") < 0})  # what is known meets nothing, and is spread by its row
+    spread = F.xxhash64("rid", "pair", "word")
+    t = t.withColumns({"pair": F.when(F.col("pair_out"), F.col("pair")).otherwise(spread), "word": F.when(F.col("word_out"), F.col("word")).otherwise(spread)})
+    t = t.join(left_out(model["pairs"], "pair", "pair_count"), ["pair", "pair_out"], "left").join(left_out(model["unigrams"], "word", "word_count"), ["word", "word_out"], "left")
+    pair, word = F.coalesce("pair_count", F.lit(0.0)), F.when(F.col("word_out"), F.coalesce("word_count", F.lit(0.0))).otherwise(F.col("count"))
+    seen = F.when(F.col("pair_out"), F.least(F.lit(1.0), pair / F.greatest(-1 - F.col("seen"), pair, F.lit(1.0)))).otherwise(F.col("seen"))
+    share = F.when(F.col("mass") == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), (word + 0.5) / (1.5 * F.greatest("mass", F.lit(1.0)))))
+    p = LAMBDA * seen * share + (1 - LAMBDA) * F.least(F.lit(1.0), (word + 1) / float(model["n"] + model["v"] + 1))
+    return t.groupBy("rid").agg(F.sum(F.log10(p)).alias("rest_logs"))
 
 
 def scored(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
@@ -254,27 +290,33 @@ def scored(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
         tag, serial = uuid.uuid4().int >> 68, 0  # names rows within this attempt; the result is stored before it is used twice
         for (ids,), (h, suffix, first) in slices(batches, 1):
             model_here = worker_cache(name, lambda: Scorer(n, v, *shared.value))
-            exact, logs = model_here.score(h, suffix, first)
+            exact, logs, (later, *fields) = model_here.score(h, suffix, first)
             known, at = exact > 0, first[:-1]
             sums = np.add.reduceat(np.where(known, np.log10(np.maximum(exact, 0) + 1.0), 0.0), at)
             rest = np.flatnonzero(exact < 0)
             cuts = np.searchsorted(rest, first)
             tail = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(h[rest].view(np.int64)))
+            joined = pa.ListArray.from_arrays(pa.array(np.searchsorted(later, first).astype(np.int32)),
+                                              pa.StructArray.from_arrays([pa.array(x) for x in fields], ["pair", "word", "seen", "mass", "count"]))
             yield pa.RecordBatch.from_arrays(
                 [ids, pa.array([f"{tag:x}-{serial + k:x}" for k in range(len(at))]), pa.array(np.diff(first).astype(np.int64)),
-                 pa.array(np.add.reduceat(known.astype(np.int64), at)), pa.array(sums), pa.array(np.add.reduceat(logs, at)), tail],
-                [key, "rid", "n_tokens", "known", "logs", "score", "tail"])
+                 pa.array(np.add.reduceat(known.astype(np.int64), at)), pa.array(sums), pa.array(np.add.reduceat(logs, at)), tail, joined],
+                [key, "rid", "n_tokens", "known", "logs", "score", "tail", "rest"])
             serial += len(at)
 
     first_pass = stored(docs.select(key, "text").mapInArrow(
-        run, f"{key} {kind}, rid string, n_tokens bigint, known bigint, logs double, score double, tail array<bigint>"), "lm-scores")
+        run, f"{key} {kind}, rid string, n_tokens bigint, known bigint, logs double, score double, tail array<bigint>, rest {REST}"), "lm-scores")
     rare = model["unigrams"].where(F.col("n") < model["least"])
     tail = (first_pass.select("rid", F.explode("tail").alias("h")).join(rare, "h").groupBy("rid")
             .agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_logs")))
     out = first_pass.join(tail, "rid", "left")
+    score = F.col("score")
+    if model["cut"] > 1:
+        out = out.join(rest_logs(first_pass, model), "rid", "left")
+        score = score + F.coalesce("rest_logs", F.lit(0.0))
     base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * float(np.log10(n + v + 1))
     return out.select(key, "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(n).cast("bigint").alias("train_tokens"),
-                      base.alias("base_score"), "score")
+                      base.alias("base_score"), score.alias("score"))
 
 
 @query("op9_bloom_lm")
