@@ -24,6 +24,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from tidecast.llm.common import query, remainder, row_slices, scan, stored, worker_cache
@@ -225,57 +226,64 @@ class Scorer:
         self.n, self.v, self.bits = n, v, bits
         self.stored = level(np.array([cut]))[0] if cut > 1 else 0  # a probe below says that the filter does not hold a key
         self.head, self.own = Lookup(keys, counts), Lookup(own_keys, own_values)
-        self.context = count_at(levels_of(np.arange(CLASSES, dtype=np.uint64) ^ CONTEXT_SALT, bits))
+        self.context = levels_of(np.arange(CLASSES, dtype=np.uint64) ^ CONTEXT_SALT, bits)
         held = levels_of(self.head.keys ^ WORD_SALT, bits)
         if len(held):
             held = np.where(held < self.stored, level(self.head.values), held)
         self.head_words = Lookup(self.head.keys, held)
 
     def read(self, keys: np.ndarray, salt: np.uint64) -> np.ndarray:
-        """The counts that the filter holds; -1 where it says that a key may have been left out."""
+        """The levels that the filter holds; -1 where it says that a key may have been left out."""
         levels = levels_of(keys ^ salt, self.bits)
-        return np.where(levels < self.stored, -1.0, count_at(levels))
+        return np.where(levels < self.stored, -1, levels)
 
     def score(self, h, suffix, first):
-        """Per token: exact head count (-1: not in the head), log10 probability (0 where a count is to be joined), and for the tokens with such counts: place, pair key, word, share in the
-        context or what that takes, mass of the class (0: a frequent word), count of the word. A negative share or count is to be joined."""
+        """Per token: exact head count (-1: not in the head), log10 probability (0 where a count is to be joined), and for the tokens with such counts: place, pair key, word, and
+        the levels of pair, context, class (-1: a frequent word) and word. A pair or word of level -1 is to be joined."""
         unique, back = np.unique(h, return_inverse=True)
         known = self.head.of(unique, -1)
-        word = count_at(self.head_words.of(unique, 0))
+        word = self.head_words.of(unique, 0)
         rare = np.flatnonzero(known < 0)
         word[rare] = self.read(unique[rare], WORD_SALT)
         c = self.own.of(unique, -1)[back]
         c = np.where(c >= 0, c, suffix)
         keys = pair_keys(c, first)
         pairs, again = np.unique(keys, return_inverse=True)
-        context, pair = self.context[(pairs >> np.uint64(20)).astype(np.int64)], self.read(pairs, PAIR_SALT)
-        seen = np.where(pair < 0, -1 - context, np.minimum(1.0, pair / np.maximum(np.maximum(context, pair), 1.0)))[again]
-        mass, word = np.where(c <= CLASS_WORDS, 0.0, np.maximum(1.0, self.context[c])), word[back]
-        share = np.where(mass == 0, 1.0, np.minimum(1.0, (word + 0.5) / (1.5 * np.maximum(mass, 1.0))))
-        p = LAMBDA * seen * share + (1 - LAMBDA) * np.minimum(1.0, (word + 1) / (self.n + self.v + 1))
-        rest = (seen < 0) | (word < 0)
+        before, pair = self.context[(pairs >> np.uint64(20)).astype(np.int64)], self.read(pairs, PAIR_SALT)
+        context, held = count_at(before), count_at(pair)
+        seen = np.minimum(1.0, held / np.maximum(np.maximum(context, held), 1.0))[again]
+        times, word = count_at(word)[back], word[back]
+        share = np.where(c <= CLASS_WORDS, 1.0, np.minimum(1.0, (times + 0.5) / (1.5 * np.maximum(1.0, count_at(self.context)[c]))))
+        p = LAMBDA * seen * share + (1 - LAMBDA) * np.minimum(1.0, (times + 1) / (self.n + self.v + 1))
+        rest = (pair[again] < 0) | (word < 0)
         at = np.flatnonzero(rest)
-        return known[back], np.log10(np.where(rest, 1.0, p)), (at, keys[at].view(np.int64), h[at].view(np.int64), seen[at], mass[at], word[at])
+        levels = pair[again[at]], before[again[at]], np.where(c[at] <= CLASS_WORDS, -1, self.context[c[at]]), word[at]
+        return known[back], np.log10(np.where(rest, 1.0, p)), (at, keys[at].view(np.int64), h[at].view(np.int64), *(x.astype(np.int8) for x in levels))
 
 
-REST = "array<struct<pair:bigint,word:bigint,seen:double,mass:double,count:double>>"
+FIELDS = ["pair", "word", "pair_level", "context", "mass", "word_level"]
+REST = "array<struct<pair:bigint,word:bigint,pair_level:tinyint,context:tinyint,mass:tinyint,word_level:tinyint>>"
 
 
 def rest_logs(first_pass: DataFrame, model: dict) -> DataFrame:
-    """(rid, rest_logs): log10 probabilities of the tokens with a word or pair that the filter does not hold, their counts joined."""
-    def left_out(counts, key, value):
+    """(rid, rest_logs): log10 probabilities of the tokens with a word or pair that the filter does not hold, their counts joined. Rows carry levels, which are small, not counts."""
+    def left_out(counts, key):
         top = 1 + F.floor(F.log(F.col("n")) / float(np.log(BASE)) + 1e-9)
-        return counts.where(F.col("n") < model["cut"]).select(F.col("h").alias(key), F.lit(True).alias(f"{key}_out"),
-                                                              F.when(top > 1, F.pow(F.lit(BASE), top - 0.5)).otherwise(F.lit(1.0)).alias(value))
+        return counts.where(F.col("n") < model["cut"]).select(F.col("h").alias(key), F.lit(True).alias(f"{key}_out"), top.cast("tinyint").alias(f"{key}_top"))
+
+    def stood(at):
+        return F.when(at > 1, F.pow(F.lit(BASE), at - 0.5)).otherwise(at.cast("double"))
 
     t = first_pass.select("rid", F.explode("rest").alias("t")).select("rid", "t.*")
-    t = t.withColumns({"pair_out": F.col("seen") < 0, "word_out": F.col("count") < 0})  # what is known meets nothing, and is spread by its row
-    spread = F.xxhash64("rid", "pair", "word")
-    t = t.withColumns({"pair": F.when(F.col("pair_out"), F.col("pair")).otherwise(spread), "word": F.when(F.col("word_out"), F.col("word")).otherwise(spread)})
-    t = t.join(left_out(model["pairs"], "pair", "pair_count"), ["pair", "pair_out"], "left").join(left_out(model["unigrams"], "word", "word_count"), ["word", "word_out"], "left")
-    pair, word = F.coalesce("pair_count", F.lit(0.0)), F.when(F.col("word_out"), F.coalesce("word_count", F.lit(0.0))).otherwise(F.col("count"))
-    seen = F.when(F.col("pair_out"), F.least(F.lit(1.0), pair / F.greatest(-1 - F.col("seen"), pair, F.lit(1.0)))).otherwise(F.col("seen"))
-    share = F.when(F.col("mass") == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), (word + 0.5) / (1.5 * F.greatest("mass", F.lit(1.0)))))
+    t = t.withColumns({"pair_out": F.col("pair_level") < 0, "word_out": F.col("word_level") < 0})  # what is known meets nothing, and is spread by the other key
+    t = t.withColumns({"pair": F.when(F.col("pair_out"), F.col("pair")).otherwise(F.col("word")), "word": F.when(F.col("word_out"), F.col("word")).otherwise(F.col("pair"))})
+    t = t.join(left_out(model["pairs"], "pair"), ["pair", "pair_out"], "left")
+    t = t.select("rid", "word", "word_out", "context", "mass", "word_level", F.coalesce("pair_top", F.greatest("pair_level", F.lit(0).cast("tinyint"))).alias("pair_level"))
+    t = t.join(left_out(model["unigrams"], "word"), ["word", "word_out"], "left")
+    pair, context = stood(F.col("pair_level")), stood(F.col("context"))
+    word = stood(F.coalesce("word_top", F.greatest("word_level", F.lit(0).cast("tinyint"))))
+    seen = F.least(F.lit(1.0), pair / F.greatest(context, pair, F.lit(1.0)))
+    share = F.when(F.col("mass") < 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), (word + 0.5) / (1.5 * F.greatest(stood(F.col("mass")), F.lit(1.0)))))
     p = LAMBDA * seen * share + (1 - LAMBDA) * F.least(F.lit(1.0), (word + 1) / float(model["n"] + model["v"] + 1))
     return t.groupBy("rid").agg(F.sum(F.log10(p)).alias("rest_logs"))
 
@@ -287,7 +295,7 @@ def scored(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        tag, serial = uuid.uuid4().int >> 68, 0  # names rows within this attempt; the result is stored before it is used twice
+        serial = TaskContext.get().partitionId() << 40  # names rows; the result is stored before it is used twice
         for (ids,), (h, suffix, first) in slices(batches, 1):
             model_here = worker_cache(name, lambda: Scorer(n, v, *shared.value))
             exact, logs, (later, *fields) = model_here.score(h, suffix, first)
@@ -297,15 +305,15 @@ def scored(docs: DataFrame, model: dict, key: str = "doc_id") -> DataFrame:
             cuts = np.searchsorted(rest, first)
             tail = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(h[rest].view(np.int64)))
             joined = pa.ListArray.from_arrays(pa.array(np.searchsorted(later, first).astype(np.int32)),
-                                              pa.StructArray.from_arrays([pa.array(x) for x in fields], ["pair", "word", "seen", "mass", "count"]))
+                                              pa.StructArray.from_arrays([pa.array(x) for x in fields], FIELDS))
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array([f"{tag:x}-{serial + k:x}" for k in range(len(at))]), pa.array(np.diff(first).astype(np.int64)),
+                [ids, pa.array(np.arange(serial, serial + len(at))), pa.array(np.diff(first).astype(np.int64)),
                  pa.array(np.add.reduceat(known.astype(np.int64), at)), pa.array(sums), pa.array(np.add.reduceat(logs, at)), tail, joined],
                 [key, "rid", "n_tokens", "known", "logs", "score", "tail", "rest"])
             serial += len(at)
 
     first_pass = stored(docs.select(key, "text").mapInArrow(
-        run, f"{key} {kind}, rid string, n_tokens bigint, known bigint, logs double, score double, tail array<bigint>, rest {REST}"), "lm-scores")
+        run, f"{key} {kind}, rid bigint, n_tokens bigint, known bigint, logs double, score double, tail array<bigint>, rest {REST}"), "lm-scores")
     rare = model["unigrams"].where(F.col("n") < model["least"])
     tail = (first_pass.select("rid", F.explode("tail").alias("h")).join(rare, "h").groupBy("rid")
             .agg(F.count("*").alias("more"), F.sum(F.log10(F.col("n") + 1.0)).alias("more_logs")))
