@@ -5,7 +5,7 @@ import pytest
 
 from tests.conftest import SMALL
 from tests.llm.conftest import brute_components, by_id
-from tidecast.llm import bloom_lm, prefix_join
+from tidecast.llm import bloom_lm, common, prefix_join
 
 
 @pytest.mark.parametrize("capacity", [60_000, 0])
@@ -38,3 +38,11 @@ def test_pairs_of_a_large_group_of_near_copies(spark, monkeypatch):
     got = by_id(prefix_join.jaccard_components(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(4)))
     assert {k: (r.n_shingles, r.component_id) for k, r in got.items()} == brute_components(texts)
     assert sum(tested) < 8 * len(texts)
+
+
+def test_a_worker_keeps_one_object():
+    first = common.worker_cache("test_first", object)
+    assert common.worker_cache("test_first", object) is first
+    common.worker_cache("test_second", object)
+    assert common.worker_cache("test_first", object) is not first
+    common.drop_worker_cache()

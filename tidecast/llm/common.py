@@ -72,13 +72,22 @@ def row_slices(batches: Iterator[pa.RecordBatch], column: int, size: int) -> Ite
 
 def worker_cache(name: str, make: Callable[[], object]) -> object:
     """An object kept by the Python worker between tasks. Task functions travel by value, so a module global would be
-    made anew for each task."""
+    made anew for each task. A worker keeps the last one only: those of earlier stages are not needed again."""
     holder = sys.modules.setdefault("_tidecast_worker", types.ModuleType("_tidecast_worker"))
     if not hasattr(holder, name):
+        drop_worker_cache()
         setattr(holder, name, make())
     return getattr(holder, name)
 
 
+def drop_worker_cache() -> None:
+    """Frees what ``worker_cache`` keeps in this Python worker; for task functions that need the room themselves."""
+    holder = sys.modules.get("_tidecast_worker")
+    for name in [x for x in vars(holder or object) if not x.startswith("__")]:
+        delattr(holder, name)
+    pa.default_memory_pool().release_unused()
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared folder as Parquet and read it back: cuts the lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"

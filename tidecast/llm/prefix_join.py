@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidecast.llm.common import query, row_slices, scan, stored
+from tidecast.llm.common import drop_worker_cache, query, row_slices, scan, stored
 from tidecast.llm.graph import components
 from tidecast.llm.hashing import ODD, mixed, window_hashes, word_hashes
 
@@ -93,6 +93,7 @@ def batches_of(batches, columns: int):
 def late_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Shingles of at least ``LATE_FROM`` of the classes that tell the order, and their places by frequency."""
     def run(batches):
+        drop_worker_cache()
         seen = set()
         for _, sets in batches_of(batches, 0):
             found = []
@@ -126,6 +127,7 @@ def signed(docs: DataFrame, key: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
+        drop_worker_cache()
         seen = set()
         for (ids,), sets in batches_of(batches, 1):
             n, fps, gs, earlies, prefixes = [], [], [], [], []
@@ -159,6 +161,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     bits = docs.sparkSession.sparkContext.broadcast(wanted_bits(pairs))
 
     def sets(batches):
+        drop_worker_cache()
         seen, words = set(), bits.value.view(np.uint64)
         for _, found in batches_of(batches, 0):
             names, values = [], []
