@@ -1,5 +1,6 @@
 """What bounds memory and work must not change results, and work must not grow with the square of a group."""
 import random
+from pathlib import Path
 
 import pytest
 
@@ -18,6 +19,28 @@ def test_ngrams_that_the_filter_does_not_hold(spark, monkeypatch, capacity):
         assert got[k].score == pytest.approx(r.score, rel=1e-6) and got[k].base_score == pytest.approx(r.base_score, rel=1e-9)
 
 
+@pytest.mark.parametrize("bucket_bytes", [1 << 12, 1 << 27])
+def test_joined_counts_travel_packed(spark, monkeypatch, bucket_bytes):
+    paths, keep = [], bloom_lm.stored
+
+    def kept(df, name):
+        out = keep(df, name)
+        paths.extend({Path(f.removeprefix("file:")).parent for f in out.inputFiles()} if name == "lm-scores" else ())
+        return out
+
+    want = by_id(bloom_lm.op9_bloom_lm(spark, SMALL))
+    monkeypatch.setattr(bloom_lm, "CAPACITY", 0)
+    monkeypatch.setattr(bloom_lm, "BUCKET_BYTES", bucket_bytes, raising=False)
+    monkeypatch.setattr(bloom_lm, "stored", kept)
+    df = bloom_lm.op9_bloom_lm(spark, SMALL)
+    got = by_id(df)
+    assert want.keys() == got.keys()
+    for k, r in want.items():
+        assert got[k].n_known == r.n_known and got[k].score == pytest.approx(r.score, rel=1e-6) and got[k].base_score == pytest.approx(r.base_score, rel=1e-9)
+    size = sum(file.stat().st_size for folder in paths for file in folder.glob("*.parquet"))
+    assert size < 8 * sum(r.n_tokens for r in got.values())  # all tokens are joined: 5.2 to 5.7 bytes a token; 12.7 with a struct for each token
+
+
 def near_copies(members, words=150, most_edits=14, seed=5):
     """Copies of one text with words replaced by words of their own: some link with others, many do not."""
     draw = random.Random(seed)
